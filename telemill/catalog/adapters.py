@@ -104,8 +104,8 @@ def pod_info(spark: SparkSession, sf_dir: str) -> DataFrame:
     return base(spark, sf_dir).select("pod", "node", F.date_trunc("hour", "ts").alias("ts")).distinct()
 
 
-def steps(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Agent steps, one episode per user ``(episode, step, seq, action, throughput)``."""
+def steps(spark: SparkSession, sf_dir: str, with_ts: bool = False) -> DataFrame:
+    """Agent steps, one episode per user ``(episode, step, seq, action, throughput[, ts])``."""
     rows = events(spark, sf_dir).select(
         F.col("user_id").alias("episode"),
         "ts",
@@ -115,7 +115,7 @@ def steps(spark: SparkSession, sf_dir: str) -> DataFrame:
         _day().alias("_day"),
     )
     numbered = number_rows(rows, ["episode"], "_day", ["ts", "seq"], "step")
-    return numbered.select("episode", "step", "seq", "action", "throughput")
+    return numbered.select("episode", "step", "seq", "action", "throughput", *(["ts"] if with_ts else []))
 
 
 def urls(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -388,3 +388,26 @@ sql("best_arm", """select study_id, size, count(*) as trials, round(avg(reward),
   where reward is not null) group by study_id, size""")
 sql("training_metrics", f"""select episode, count(*) as steps, {rnd('sum(reward)', 6, 'total_reward')}, {rnd('avg(reward)', 6, 'mean_reward')}
   from x_usersteps group by episode""")
+
+# --- streams: the batch results of all ranges that the watermark has closed --------------------
+
+
+def closed(src: str) -> str:
+    return f"t <= ((select max(us) - 1 from {src}) // 1000) * 1000 - {HOUR}"
+
+
+CTE["x_net"] = "select * from x_counter where kind in ('rx', 'tx')"
+sql("stream_increase", f"select {SERIES}, {secs('t')}, inc from x_rate where {closed('x_counter')}")
+sql("stream_rate", f"select {SERIES}, {secs('t')}, {rnd('rate')} from x_rate where kind in ('rx', 'tx') and {closed('x_net')}")
+CTE["x_closed"] = f"select * from x_usage where {closed('x_gauge')} and {closed('x_cpu')}"
+sql("stream_right_size", f"select {secs('t')}, pod, {sizing()} from x_closed")
+sql("stream_actions", f"select {secs('t')}, pod, 'amf' as target_pod, {sizing()} from x_closed where contains(pod, 'amf')")
+sql("stream_config_updates", """select cfg_id, case when cfg_id % 2 = 0 then sha256(limits_body) when cfg_id % 7 <> 0 then sha256(group_body) else sha end as sha from x_cfg""")
+CTE["x_pairs"] = """select a.*, b.seq as next_seq, b.throughput as next_throughput, b.action as next_action
+  from x_steps a join x_steps b on a.episode = b.episode and b.step = a.step + 1"""
+sql("stream_transitions", "select * from x_pairs")
+sql("replay_stream", "select episode, step, seq, action, next_seq, next_throughput from x_pairs")
+sql("stream_step_counter", "select user_id as episode, count(*) as steps from events group by user_id")
+CTE["x_mark"] = f"select (max(us) // 1000) * 1000 - {15 * DAY} as mark from x_gauge"
+sql("late_samples", """select count(*) filter (dayofmonth(ts) > 15 or us > mark) as kept,
+  count(*) filter (dayofmonth(ts) <= 15 and us <= mark) as late from x_gauge, x_mark""")
