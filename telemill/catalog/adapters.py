@@ -30,8 +30,14 @@ NODES = [
 FORMER_TYPE = "m4.2xlarge"
 
 
+# Read with known schemas: no job has to open files just to find them out.
+EVENTS = "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string"
+PAGES = "page_id bigint, url string, html string"
+CUSTOMER = "c_custkey bigint, c_name string, c_nationkey int, c_acctbal double, c_mktsegment string"
+
+
 def events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/events.parquet")
+    return spark.read.schema(EVENTS).parquet(f"{sf_dir}/events.parquet")
 
 
 def _day():
@@ -125,12 +131,12 @@ def urls(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit("https://github.com/org"), (page % 7).cast("string"), F.lit("/repo/blob/feature/"), page.cast("string"),
         F.lit("/charts/core/values.yaml"),
     )
-    return spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", url.alias("url"), F.lit("charts").alias("dir_name"))
+    return spark.read.schema(PAGES).parquet(f"{sf_dir}/pages.parquet").select("page_id", url.alias("url"), F.lit("charts").alias("dir_name"))
 
 
 def page_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The pages' own addresses, which are no configuration files."""
-    return spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url", F.lit("charts").alias("dir_name"))
+    return spark.read.schema(PAGES).parquet(f"{sf_dir}/pages.parquet").select("page_id", "url", F.lit("charts").alias("dir_name"))
 
 
 def _sized(megabytes, milli):
@@ -138,7 +144,7 @@ def _sized(megabytes, milli):
 
 
 def customers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/customer.parquet").select("c_custkey", "c_nationkey", "c_acctbal", "c_mktsegment")
+    return spark.read.schema(CUSTOMER).parquet(f"{sf_dir}/customer.parquet").select("c_custkey", "c_nationkey", "c_acctbal", "c_mktsegment")
 
 
 def configs(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -19,7 +19,6 @@ from telemill.functions.rewards import hourly_reward
 from telemill.functions.timegrid import epoch_us
 from telemill.functions.urls import parse_config_url
 from telemill.operators import config, grid, lookup, quality, rangefn, replay, rollup, sizing, trials
-from telemill.operators.reward import with_hourly_reward
 from telemill.plans import observation, right_sizing, transitions
 from telemill.plans import trials as trial_plan
 from telemill.session import scratch_dir
@@ -119,9 +118,8 @@ VECTOR = ["rx_eth0", "rx_ogstun", "tx_eth0", "tx_ogstun", "cost"]
 
 def day_steps(spark, d):
     """One episode per day; the action asks for the large size when more was sent than received."""
-    steps = transitions.episode_steps(vectors(spark, d), "1 day", STEP)
     sent, received = F.coalesce("tx_ogstun", F.lit(0.0)), F.coalesce("rx_ogstun", F.lit(0.0))
-    return steps.withColumn("action", F.when(sent > received, 1).otherwise(0))
+    return transitions.episode_steps(vectors(spark, d), "1 day", STEP, F.when(sent > received, 1).otherwise(0))
 
 
 def user_steps(spark, d):

@@ -401,7 +401,10 @@ sql("stream_increase", f"select {SERIES}, {secs('t')}, inc from x_rate where {cl
 sql("stream_rate", f"select {SERIES}, {secs('t')}, {rnd('rate')} from x_rate where kind in ('rx', 'tx') and {closed('x_net')}")
 CTE["x_closed"] = f"select * from x_usage where {closed('x_gauge')} and {closed('x_cpu')}"
 sql("stream_right_size", f"select {secs('t')}, pod, {sizing()} from x_closed")
-sql("stream_actions", f"select {secs('t')}, pod, 'amf' as target_pod, {sizing()} from x_closed where contains(pod, 'amf')")
+CTE["x_amfgauge"] = "select * from x_gauge where contains(pod, 'amf')"
+CTE["x_amfcpu"] = "select * from x_cpu where contains(pod, 'amf')"
+sql("stream_actions", f"""select {secs('t')}, pod, 'amf' as target_pod, {sizing()} from x_usage where contains(pod, 'amf')
+  and {closed('x_amfgauge')} and {closed('x_amfcpu')}""")
 sql("stream_config_updates", """select cfg_id, case when cfg_id % 2 = 0 then sha256(limits_body) when cfg_id % 7 <> 0 then sha256(group_body) else sha end as sha from x_cfg""")
 CTE["x_pairs"] = """select a.*, b.seq as next_seq, b.throughput as next_throughput, b.action as next_action
   from x_steps a join x_steps b on a.episode = b.episode and b.step = a.step + 1"""

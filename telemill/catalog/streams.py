@@ -58,10 +58,13 @@ def stream_rate(spark, d):
     return shown(run(spark, rates.stream_rate(stream_of(spark, path), SERIES, RATE_D, STEP, DELAY)).select(*SERIES, "t", "rate"))
 
 
-def _sizes(spark, d):
+def _sizes(spark, d, pods: str = ""):
+    """Sizes of the pods whose name holds ``pods``; other pods are left out before the watermark."""
+    wanted = F.col("pod").contains(pods)
     cpu, mem = landed(spark, ad.counters(spark, d, "cpu")), landed(spark, ad.gauges(spark, d))
     return right_size.stream_right_size(
-        stream_of(spark, cpu), stream_of(spark, mem), SERIES, ["pod", "container"], RATE_D, OUTER_D, STEP, DELAY
+        stream_of(spark, cpu).where(wanted), stream_of(spark, mem).where(wanted), SERIES, ["pod", "container"],
+        RATE_D, OUTER_D, STEP, DELAY,
     )
 
 
@@ -74,7 +77,7 @@ def stream_right_size(spark, d):
 def stream_actions(spark, d):
     """One actions folder per cycle, from the sizes of the access pods."""
     out = scratch_dir(spark, "actions")
-    actions = sizing.as_actions(_sizes(spark, d).where(F.col("pod").contains("amf")), "amf")
+    actions = sizing.as_actions(_sizes(spark, d, "amf"), "amf")
     sinks.start(actions, scratch_dir(spark, "checkpoint"), sinks.batch_folder(out), available_now=True).awaitTermination()
     rows = sinks.read_batches(spark, out)
     return shown(rows.select(

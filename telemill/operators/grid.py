@@ -71,7 +71,9 @@ def update_flags(grid: DataFrame, marks: DataFrame, flags: Sequence[str], by: Se
     own = [F.max(F.when(F.col("_grid"), F.col(f))) for f in flags]
     new = [F.max(F.when(F.col("_grid").isNull(), F.col(f))) for f in flags]
     return (
-        stacked.groupBy(*by, t)
+        # by window, so that the windowed steps that follow need no shuffle of their own
+        stacked.repartition(*by)
+        .groupBy(*by, t)
         .agg(
             F.max("_grid").alias("_grid"),
             *[F.max(c).alias(c) for c in others],

@@ -85,7 +85,8 @@ def retain_latest(df: DataFrame, n: int, seq: str = "seq", by: Sequence[str] = (
     counts = df.groupBy(in_range.alias("_range")).agg(F.count("*").alias("_rows"))
     reach = counts.withColumn("_newer", F.coalesce(F.sum("_rows").over(newer), F.lit(0))).where(F.col("_newer") < n)
     oldest = reach.agg(F.min("_range")).scalar()
-    return df.where(in_range >= oldest).orderBy(F.desc(seq)).limit(n)
+    # compared as a sequence number, so that the scan itself can skip older rows
+    return df.where(F.col(seq) >= oldest * F.lit(width)).orderBy(F.desc(seq)).limit(n)
 
 
 def draw(k: Column, seed: int, n: Column) -> Column:

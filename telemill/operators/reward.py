@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from telemill.functions.rewards import hourly_reward, window_profit
@@ -12,10 +12,12 @@ from telemill.operators.grid import last_value, on_fraction
 from telemill.operators.rollup import total_throughput
 
 
-def with_hourly_reward(obs: DataFrame, ifaces: Sequence[str] = ("eth0", "ogstun")) -> DataFrame:
-    """Add total throughput and hourly reward to observation vectors."""
+def with_hourly_reward(
+    obs: DataFrame, ifaces: Sequence[str] = ("eth0", "ogstun"), reward: Callable[[Column, Column], Column] = hourly_reward
+) -> DataFrame:
+    """Add total throughput and reward to observation vectors; ``reward`` maps (throughput, cost) to a Column."""
     with_total = obs.withColumn("throughput", total_throughput(ifaces))
-    return with_total.withColumn("reward", hourly_reward(F.col("throughput"), F.col("cost")))
+    return with_total.withColumn("reward", reward(F.col("throughput"), F.col("cost")))
 
 
 def window_reward(

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from telemill.functions.timegrid import epoch_us, micros
@@ -24,13 +24,15 @@ def hourly_observations(counters: DataFrame, key: Sequence[str], nodes: DataFram
     return with_hourly_reward(observation_vector(interface_rates(counters, key, d, step), nodes))
 
 
-def episode_steps(obs: DataFrame, episode_width, step) -> DataFrame:
+def episode_steps(obs: DataFrame, episode_width, step, policy: Column | None = None) -> DataFrame:
     """Number observations by grid time: one episode per ``episode_width``, steps counted from 1.
 
-    The numbers follow from the time itself, so nothing has to be sorted.
+    The numbers follow from the time itself, so nothing has to be sorted. ``policy`` is an expression
+    over the observation columns that gives each step's action.
     """
     width, s = micros(episode_width), micros(step)
     e = epoch_us("t")
     episode = F.floor(e / F.lit(width)).cast("bigint")
     place = ((e - episode * F.lit(width)) / F.lit(s)).cast("bigint") + 1
-    return timesteps(obs.withColumn("episode", episode).withColumn("step", place))
+    steps = timesteps(obs.withColumn("episode", episode).withColumn("step", place))
+    return steps if policy is None else steps.withColumn("action", policy)

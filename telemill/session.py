@@ -17,7 +17,15 @@ def build_session(app: str = "telemill", master: str | None = None, shuffle_part
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
     )
     if master:
-        builder = builder.master(master).config("spark.ui.enabled", "false").config("spark.driver.memory", "12g")
+        builder = (
+            builder.master(master)
+            .config("spark.ui.enabled", "false")
+            .config("spark.driver.memory", "12g")
+            # one machine has few shuffle partitions already; merging them further would idle its cores
+            .config("spark.sql.adaptive.coalescePartitions.enabled", "false")
+            # call sites of column expressions are only of use when debugging
+            .config("spark.python.sql.dataFrameDebugging.enabled", "false")
+        )
     if shuffle_partitions:
         builder = builder.config("spark.sql.shuffle.partitions", str(shuffle_partitions))
     return builder.getOrCreate()
