@@ -83,10 +83,6 @@ def gauges(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def node_labels(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(NODES, "node string, instance_type string, nodegroup string")
-
-
 def node_info(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Info samples ``(node, ts, labels)``, one per event; nodes had another type in the first days.
 

@@ -239,11 +239,9 @@ def _updates(spark, d):
 
 @query
 def config_cas_apply(spark, d):
-    accepted, rejected = config.apply_updates(ad.configs(spark, d).select("cfg_id", "sha"), _updates(spark, d))
-    return (
-        accepted.select("cfg_id", "seq", F.lit("accepted").alias("status"), "sha")
-        .unionByName(rejected.select("cfg_id", "seq", F.lit("rejected").alias("status"), F.lit(None).cast("string").alias("sha")))
-    )
+    judged = config.judge_updates(ad.configs(spark, d).select("cfg_id", "sha"), _updates(spark, d))
+    status = F.when(F.col("accepted"), "accepted").otherwise("rejected")
+    return judged.select("cfg_id", "seq", status.alias("status"), F.when(F.col("accepted"), F.sha2("body", 256)).alias("sha"))
 
 
 @query

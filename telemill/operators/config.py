@@ -62,20 +62,25 @@ def unpatchable(patched: DataFrame) -> DataFrame:
     return patched.where(F.col("doc").isNull()).select("cfg_id", "base_sha")
 
 
-def apply_updates(current: DataFrame, updates: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Accept updates that were made from the current version; return (accepted, rejected).
+def judge_updates(current: DataFrame, updates: DataFrame) -> DataFrame:
+    """Add ``accepted`` to updates: made from the current version, and the first of those.
 
     ``current`` is ``(cfg_id, sha)`` with one row per config, ``updates`` ``(cfg_id, seq, base_sha,
-    body)`` with ``seq`` unique per config. Of several updates of the same version the first wins;
-    after it the others are stale. Winners are found on counts combined before the shuffle, and the
-    updates are then split by (config, seq), so many updates of one config stay spread out.
+    body)`` with ``seq`` unique per config. After the first update of a version the others are stale.
+    Winners are found on minima combined before the shuffle, and updates meet them by (config, seq),
+    so many updates of one config stay spread out.
     """
     first = updates.groupBy("cfg_id", "base_sha").agg(F.min("seq").alias("seq"))
     fresh = current.select("cfg_id", F.col("sha").alias("base_sha"))
-    winners = first.join(fresh, ["cfg_id", "base_sha"]).select("cfg_id", "seq")
-    accepted = updates.join(winners, ["cfg_id", "seq"], "left_semi").withColumn("sha", F.sha2("body", 256))
-    rejected = updates.join(winners, ["cfg_id", "seq"], "left_anti")
-    return accepted, rejected
+    winners = first.join(fresh, ["cfg_id", "base_sha"]).select("cfg_id", "seq", F.lit(True).alias("_won"))
+    return updates.join(winners, ["cfg_id", "seq"], "left").withColumn("accepted", F.coalesce("_won", F.lit(False))).drop("_won")
+
+
+def apply_updates(current: DataFrame, updates: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Compare-and-set: (accepted updates with their new ``sha``, rejected updates)."""
+    judged = judge_updates(current, updates)
+    accepted = judged.where("accepted").drop("accepted").withColumn("sha", F.sha2("body", 256))
+    return accepted, judged.where("not accepted").drop("accepted")
 
 
 def next_versions(current: DataFrame, accepted: DataFrame) -> DataFrame:

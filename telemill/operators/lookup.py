@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from telemill.functions.timegrid import at, ceil_to, epoch_us, floor_to, grid, micros
+from telemill.functions.timegrid import at, ceil_to, epoch_us, grid, micros
 
 
 def lookup_on_grid(
@@ -20,16 +20,13 @@ def lookup_on_grid(
     times they may serve. Without a ``value`` column the result tells presence only.
     """
     s, back = micros(step), micros(lookback)
-    e = epoch_us(ts)
-    sample = F.struct(e.alias("e"), F.col(value).alias("v")) if value else F.struct(e.alias("e"))
-    newest = samples.select(*key, ceil_to(e, s).alias("_cell"), sample.alias("_sample")).groupBy(*key, "_cell").agg(
-        F.max("_sample").alias("_sample")
-    )
+    rows = samples.select(*key, epoch_us(ts).alias("_e"), *([F.col(value).alias("_v")] if value else []))
+    newest = [F.max("_e").alias("_e"), *([F.max_by("_v", "_e").alias("_v")] if value else [])]
+    last = rows.groupBy(*key, ceil_to(F.col("_e"), s).alias("_cell")).agg(*newest)
     # t < e + lookback
-    times = grid(F.col("_cell"), F.col("_sample.e") + F.lit(back - 1), s)
-    seen = newest.withColumn("_t", F.explode(times)).groupBy(*key, "_t").agg(F.max("_sample").alias("_sample"))
-    found = [F.col("_sample.v").alias(value)] if value else []
-    return seen.select(*key, at(F.col("_t")).alias("t"), *found)
+    times = grid(F.col("_cell"), F.col("_e") + F.lit(back - 1), s)
+    seen = last.withColumn("_t", F.explode(times)).groupBy(*key, "_t").agg(*newest)
+    return seen.select(*key, at(F.col("_t")).alias("t"), *([F.col("_v").alias(value)] if value else []))
 
 
 def observation_windows(df: DataFrame, window, period, t: str = "t") -> DataFrame:
@@ -45,8 +42,3 @@ def window_slice(df: DataFrame, end, window, t: str = "t") -> DataFrame:
     """Rows of the one window that ends at ``end`` (a timestamp Column or literal)."""
     e, stop = epoch_us(t), epoch_us(F.lit(end) if not hasattr(end, "cast") else end)
     return df.where((e > stop - F.lit(micros(window))) & (e <= stop))
-
-
-def start_of(us, step):
-    """Grid time at or before ``us``."""
-    return floor_to(us, micros(step))

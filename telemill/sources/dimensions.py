@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -37,20 +38,20 @@ def node_dim(info: DataFrame, nodegroup_pattern: str = "upf.*") -> DataFrame:
 
 
 def last_label_per_node(rows: DataFrame) -> DataFrame:
-    """One row per node with the newest instance type and nodegroup."""
+    """One row per node with the newest instance type and nodegroup.
+
+    Rows are first reduced to the distinct label sets of each node, which hashes and combines before
+    the shuffle; only those few are compared by time.
+    """
+    sets = rows.groupBy("node", "instance_type", "nodegroup").agg(F.max("ts").alias("ts"))
     newest = F.max(F.struct("ts", "instance_type", "nodegroup")).alias("_last")
-    return rows.groupBy("node").agg(newest).select("node", "_last.instance_type", "_last.nodegroup")
+    return sets.groupBy("node").agg(newest).select("node", "_last.instance_type", "_last.nodegroup")
 
 
 def price_dim(spark: SparkSession, prices: Mapping[str, float] = PRICES) -> DataFrame:
     """Price list as a DataFrame ``(instance_type, usd_per_hour)``."""
-    return spark.createDataFrame(list(prices.items()), "instance_type string, usd_per_hour double")
-
-
-def size_price_dim(spark: SparkSession, agent: str = "bandit", prices: Mapping[str, float] = PRICES) -> DataFrame:
-    """Hourly price of each size as one agent counts it ``(size, size_cost)``."""
-    rows = [(size, prices[kind]) for size, kind in SIZES[agent].items()]
-    return spark.createDataFrame(rows, "size string, size_cost double")
+    table = pa.table({"instance_type": list(prices), "usd_per_hour": pa.array(prices.values(), pa.float64())})
+    return spark.createDataFrame(table)
 
 
 def size_cost(size: Column, agent: str = "bandit", prices: Mapping[str, float] = PRICES) -> Column:

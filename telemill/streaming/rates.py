@@ -58,7 +58,9 @@ def stream_increase(
     """
     d_us, s_us, cell = _widths(d, step, grain)
     cells = stream_counter_cells(with_event_time(df, delay, ts), key, cell, value, ts)
-    merged = cells.groupBy(F.window("at", interval(d_us), interval(s_us)), *key).agg(
+    # Spark's windows cannot slide by more than their width: such steps are picked from a finer slide
+    slide = s_us if s_us <= d_us else cell
+    merged = cells.groupBy(F.window("at", interval(d_us), interval(slide)), *key).agg(
         F.array_sort(F.collect_list("cell")).alias("_c")
     )
     first, last = F.col("_c")[0], F.element_at("_c", -1)
@@ -71,7 +73,7 @@ def stream_increase(
         first["ft"].alias("ft"), first["fv"].alias("fv"), last["lt"].alias("lt"),
         (last["lv"] - first["fv"] + inside + _drops(F.col("_c"), "fv", "lv")).alias("inc"),
     )
-    return out.where((F.col("n") >= 2) & (F.col("lt") > F.col("ft")))
+    return out.where((F.col("n") >= 2) & (F.col("lt") > F.col("ft")) & (F.pmod("_t", F.lit(s_us)) == 0))
 
 
 def stream_rate(df: DataFrame, key: Sequence[str], d, step, delay: str = "5 minutes", ts: str = "ts", value: str = "v", grain=None) -> DataFrame:
