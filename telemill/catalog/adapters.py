@@ -47,22 +47,18 @@ def _day():
 
 def base(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row per event with pod, node, kind and interface labels."""
-    user = F.pmod("user_id", F.lit(5))
-    pod = (
-        F.when(user == 0, "open5gs-upf-0").when(user == 1, "open5gs-upf-1").when(user == 2, "open5gs-amf-2")
-        .when(user == 3, "open5gs-smf-3").otherwise("x-open5gs-upf-4")
-    )
-    kind = F.col("event_type")
-    shift = F.floor((F.dayofmonth("ts") - 1) / F.lit(10.0)).cast("int")
-    return events(spark, sf_dir).select(
+    return events(spark, sf_dir).selectExpr(
         "event_id",
         "ts",
         "event_type",
-        F.round(F.col("value") * 1000).cast("bigint").alias("inc"),
-        pod.alias("pod"),
-        F.concat(F.lit("node-"), F.pmod(user + shift, F.lit(4)).cast("string")).alias("node"),
-        F.when(kind.isin("click", "view"), "tx").when(kind.isin("purchase", "signup"), "rx").otherwise("cpu").alias("kind"),
-        F.when(kind.isin("click", "purchase"), "eth0").when(kind.isin("view", "signup"), "ogstun").otherwise("c0").alias("iface"),
+        "cast(round(value * 1000) as bigint) as inc",
+        """case user_id % 5 when 0 then 'open5gs-upf-0' when 1 then 'open5gs-upf-1' when 2 then 'open5gs-amf-2'
+           when 3 then 'open5gs-smf-3' else 'x-open5gs-upf-4' end as pod""",
+        "concat('node-', (user_id % 5 + floor((dayofmonth(ts) - 1) / 10.0)) % 4) as node",
+        """case event_type when 'click' then 'tx' when 'view' then 'tx' when 'purchase' then 'rx' when 'signup' then 'rx'
+           else 'cpu' end as kind""",
+        """case event_type when 'click' then 'eth0' when 'purchase' then 'eth0' when 'view' then 'ogstun'
+           when 'signup' then 'ogstun' else 'c0' end as iface""",
     )
 
 

@@ -327,22 +327,22 @@ def counter_increase(spark, d):
 
 @query
 def max_over_time(spark, d):
-    return shown(rangefn.over_time(ad.gauges(spark, d), ["pod", "container"], OUTER_D, STEP, ["max"]))
+    return shown(rangefn.over_time(ad.gauges(spark, d), ["pod", "container"], OUTER_D, STEP, ["max"], suffix="_value"))
 
 
 @query
 def avg_over_time(spark, d):
-    return shown(rangefn.over_time(ad.gauges(spark, d), ["pod", "container"], OUTER_D, STEP, ["avg"]), 3)
+    return shown(rangefn.over_time(ad.gauges(spark, d), ["pod", "container"], OUTER_D, STEP, ["avg"], suffix="_value"), 3)
 
 
 @query
 def max_rate_subquery(spark, d):
-    return shown(rangefn.rate_over_time(cpu(spark, d), SERIES, RATE_D, OUTER_D, STEP, ["max"]))
+    return shown(rangefn.rate_over_time(cpu(spark, d), SERIES, RATE_D, OUTER_D, STEP, ["max"], suffix="_rate"))
 
 
 @query
 def avg_rate_subquery(spark, d):
-    return shown(rangefn.rate_over_time(cpu(spark, d), SERIES, RATE_D, OUTER_D, STEP, ["avg"]))
+    return shown(rangefn.rate_over_time(cpu(spark, d), SERIES, RATE_D, OUTER_D, STEP, ["avg"], suffix="_rate"))
 
 
 @query
@@ -551,7 +551,7 @@ def fifo_latest_n(spark, d):
 @query
 def epoch_to_ts(spark, d):
     parsed = responses.parse_range(ad.responses(spark, d, "matrix"))
-    return parsed.select(F.date_format("ts", "yyyy-MM-dd HH:mm:ss").alias("at"), F.col("labels")["pod"].alias("pod"))
+    return parsed.select(F.date_format("ts", "yyyy-MM-dd HH:mm:ss").alias("stamp"), F.col("labels")["pod"].alias("pod"))
 
 
 @query
@@ -564,14 +564,14 @@ def string_to_float(spark, d):
 @query
 def memory_quantity_of(spark, d):
     v = F.col("v")
-    return ad.gauges(spark, d).select("event_id", memory_quantity(v).alias("request"), memory_quantity(v, LIMIT_HEADROOM).alias("limit"))
+    return ad.gauges(spark, d).select("event_id", memory_quantity(v).alias("request_size"), memory_quantity(v, LIMIT_HEADROOM).alias("limit_size"))
 
 
 @query
 def cpu_quantity_of(spark, d):
     cores = F.col("inc") / F.lit(100000.0)
     return ad.base(spark, d).select(
-        "event_id", cpu_quantity(cores).alias("request"), cpu_quantity(cores, headroom=LIMIT_HEADROOM).alias("limit")
+        "event_id", cpu_quantity(cores).alias("request_size"), cpu_quantity(cores, headroom=LIMIT_HEADROOM).alias("limit_size")
     )
 
 

@@ -295,10 +295,10 @@ sql("vector_slice", f"select {secs('t')}, {rnd('rx_eth0', 6, 'first_part')}, {rn
 sql("counter_rate", f"select {SERIES}, {secs('t')}, {rnd('rate')} from x_rate")
 sql("counter_rate_plain", f"select {SERIES}, {secs('t')}, {rnd('plain', 6, 'rate')} from x_rate")
 sql("counter_increase", f"select {SERIES}, {secs('t')}, inc from x_rate")
-sql("max_over_time", f"select pod, container, {secs('t')}, max_mem as max from x_memover")
-sql("avg_over_time", f"select pod, container, {secs('t')}, {rnd('avg_mem', 3, 'avg')} from x_memover")
-sql("max_rate_subquery", f"select {SERIES}, {secs('t')}, {rnd('max_cpu', 6, 'max')} from x_cpuover")
-sql("avg_rate_subquery", f"select {SERIES}, {secs('t')}, {rnd('avg_cpu', 6, 'avg')} from x_cpuover")
+sql("max_over_time", f"select pod, container, {secs('t')}, max_mem as max_value from x_memover")
+sql("avg_over_time", f"select pod, container, {secs('t')}, {rnd('avg_mem', 3, 'avg_value')} from x_memover")
+sql("max_rate_subquery", f"select {SERIES}, {secs('t')}, {rnd('max_cpu', 6, 'max_rate')} from x_cpuover")
+sql("avg_rate_subquery", f"select {SERIES}, {secs('t')}, {rnd('avg_cpu', 6, 'avg_rate')} from x_cpuover")
 sql("instant_lookup", f"select {SERIES}, {secs('t')}, v from x_look")
 sql("window_slice", f"select {secs('obs_t')}, {secs('t')}, throughput from x_win")
 CTE["x_win10"] = windows_of("x_totals", 10 * HOUR)
@@ -342,12 +342,12 @@ sql("first_step_flag", "select episode, step, cast(case when step = 1 then 0 els
 sql("time_sort", f"select {secs('obs_t')}, {secs('t')}, {rnd('throughput')} from x_win order by 1, 2")
 sql("first_row", "select cast(t // 1000000 as bigint) as t, min(pod) as pod, round(arg_min(rate, pod), 6) as rate from x_podrate group by x_podrate.t")
 sql("fifo_latest_n", "select * from x_steps qualify row_number() over (partition by episode order by step desc) <= 3")
-sql("epoch_to_ts", "select strftime(ts, '%Y-%m-%d %H:%M:%S') as at, pod from x_gauge")
+sql("epoch_to_ts", "select strftime(ts, '%Y-%m-%d %H:%M:%S') as stamp, pod from x_gauge")
 sql("string_to_float", """select event_id, try_cast(json_extract_string(props, '$.k') as double) as k,
   try_cast(event_type as double) as no_number from events""")
-sql("memory_quantity_of", f"select event_id, {quantity_mem('v')} as request, {quantity_mem('v', ' * cast(1.05 as double)')} as \"limit\" from x_gauge")
+sql("memory_quantity_of", f"select event_id, {quantity_mem('v')} as request_size, {quantity_mem('v', ' * cast(1.05 as double)')} as limit_size from x_gauge")
 CTE["x_cores"] = "select event_id, inc / cast(100000 as double) as cores from x_base"
-sql("cpu_quantity_of", f"select event_id, {quantity_cpu('cores')} as request, {quantity_cpu('cores', '* 1.05')} as \"limit\" from x_cores")
+sql("cpu_quantity_of", f"select event_id, {quantity_cpu('cores')} as request_size, {quantity_cpu('cores', '* 1.05')} as limit_size from x_cores")
 sql("right_size", f"select {secs('t')}, pod, {sizing()} from x_usage")
 sql("right_size_by_max", f"select {secs('t')}, pod, {sizing('max_cpu')} from x_usage")
 sql("hourly_reward_of", f"select {secs('t')}, {rnd('throughput')}, {rnd('cost')}, {rnd('reward')} from x_vecr")
@@ -362,7 +362,7 @@ sql("action_decode", """select seq, case action when 0 then 'Small' when 1 then
 sql("grid_size", f"""select {secs('obs_t')}, count(*) as n_rows, cast(60 as bigint) as samples, cast({DELTA // 10**6} as bigint) as step_s,
   cast(15 as bigint) as live_step_s from x_obs group by obs_t""")
 sql("observation_bounds", " union all ".join(
-    [f"select {secs('t')}, '{c}' as \"column\", {rnd(c, 3, 'value')}, cast(null as bigint) as obs_t from x_vec "
+    [f"select {secs('t')}, '{c}' as field, {rnd(c, 3, 'value')}, cast(null as bigint) as obs_t from x_vec "
      f"where {c} is null or {c} < 0 or {c} > {hi}" for c, hi in
      [("rx_eth0", "1e10"), ("rx_ogstun", "1e10"), ("tx_eth0", "1e10"), ("tx_ogstun", "1e10"), ("cost", "35")]]
     + [f"select {secs('t')}, '{c}', {rnd(c, 3, 'value')}, {secs('obs_t')} from x_obs where {c} < 0 {more}" for c, more in

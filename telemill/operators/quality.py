@@ -15,11 +15,11 @@ WINDOW_BOUNDS = {"throughput": (0.0, float("inf")), "large_on": (0.0, 1.0), "sma
 
 
 def bounds_violations(df: DataFrame, bounds: Mapping[str, tuple[float, float]], keep: Sequence[str]) -> DataFrame:
-    """One row per value that is missing, not a number or out of its bounds ``(keep..., column, value)``."""
+    """One row per value that is missing, not a number or out of its bounds ``(keep..., field, value)``."""
     checks = []
     for name, (low, high) in bounds.items():
         v = F.col(name).cast("double")
         bad = v.isNull() | F.isnan(v) | ~v.between(low, high)
-        checks.append(F.when(bad, F.struct(F.lit(name).alias("column"), v.alias("value"))))
+        checks.append(F.when(bad, F.struct(F.lit(name).alias("field"), v.alias("value"))))
     found = F.filter(F.array(*checks), lambda x: x.isNotNull())
-    return df.select(*keep, F.explode(found).alias("_bad")).select(*keep, "_bad.column", "_bad.value")
+    return df.select(*keep, F.explode(found).alias("_bad")).select(*keep, "_bad.field", "_bad.value")

@@ -26,7 +26,7 @@ def tidy(pdf: pd.DataFrame) -> pd.DataFrame:
         if col.dtype == object or str(col.dtype).startswith("str"):
             out[c] = col.map(lambda x: None if x is None or x is pd.NA or (isinstance(x, float) and np.isnan(x)) else x)
         else:
-            out[c] = pd.to_numeric(col).astype("float64") + 0.0
+            out[c] = pd.to_numeric(col).astype("float64")
     pdf = pd.DataFrame(out)
     return pdf.sort_values(list(pdf.columns), na_position="first", ignore_index=True)
 
@@ -54,6 +54,8 @@ def differences(spark_df, con, sql: str) -> str | None:
     for c in want.columns:
         w, h = want[c], have[c]
         same = (w == h) | (w.isna() & h.isna())
+        if w.dtype == "float64":
+            same &= (np.signbit(w) == np.signbit(h)) | w.isna()  # 0.0 and -0.0 hash apart
         if not same.all():
             first = int(np.argmin(same.to_numpy()))
             return f"{c}: {int((~same).sum())} values differ, first: have {have.loc[first].to_dict()}, want {want.loc[first].to_dict()}"

@@ -172,6 +172,6 @@ def test_bin_mean_first_row_and_grid_size(spark):
 
 def test_bounds_violations(spark):
     df = spark.createDataFrame([(1, 0.5, 1.0), (2, -0.1, None), (3, 1.0, float("nan"))], "id int, a double, b double")
-    got = {(r["id"], r["column"]) for r in bounds_violations(df, {"a": (0, 1), "b": (0, float("inf"))}, ["id"]).collect()}
+    got = {(r["id"], r["field"]) for r in bounds_violations(df, {"a": (0, 1), "b": (0, float("inf"))}, ["id"]).collect()}
     assert got == {(2, "a"), (2, "b"), (3, "b")}
     assert bounds_violations(df.where(F.col("id") == 1), {"a": (0, 1), "b": (0, 1)}, ["id"]).count() == 0
