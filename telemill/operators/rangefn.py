@@ -27,12 +27,14 @@ def present(df: DataFrame, value: str) -> DataFrame:
     return df.where(~F.isnan(value)) if dict(df.dtypes)[value] in ("double", "float") else df
 
 
-def _widths(d, step, grain) -> tuple[int, int, int]:
+def widths(d, step, grain=None) -> tuple[int, int, int, int]:
+    """Range, step, cell and grain in microseconds; without a grain the grain is the cell."""
     d, step = micros(d), micros(step)
-    cell = micros(grain) if grain else gcd(d, step)
-    if d % cell or step % cell:
+    cell = gcd(d, step)
+    fine = micros(grain) if grain else cell
+    if cell % fine:
         raise ValueError("the grain must divide both the range and the step")
-    return d, step, cell
+    return d, step, cell, fine
 
 
 def counter_cells(samples: DataFrame, key: Sequence[str], cell: int, ts: str = "ts", value: str = "v") -> DataFrame:
@@ -62,6 +64,21 @@ def counter_cells(samples: DataFrame, key: Sequence[str], cell: int, ts: str = "
     )
 
 
+def merge_counter_cells(fine: DataFrame, key: Sequence[str], cell: int) -> DataFrame:
+    """Counter cells joined to wider ones; the drops between neighbours are added to those inside."""
+    rows = fine.withColumn("_cell", ceil_to(F.col("_cell"), cell))
+    before = F.lag("lv").over(Window.partitionBy(*key, "_cell").orderBy("ft"))
+    between = F.when(F.col("fv") < before, before).otherwise(F.col("fv") - F.col("fv"))
+    return (
+        rows.withColumn("adj", F.col("adj") + between)
+        .groupBy(*key, "_cell")
+        .agg(
+            F.sum("n").alias("n"), F.sum("adj").alias("adj"),
+            F.min("ft").alias("ft"), F.min_by("fv", "ft").alias("fv"), F.max("lt").alias("lt"), F.max_by("lv", "lt").alias("lv"),
+        )
+    )
+
+
 def gauge_cells(samples: DataFrame, key: Sequence[str], cell: int, ts: str = "ts", value: str = "v") -> DataFrame:
     """Count, sum, largest and smallest value of each cell, combined before the shuffle."""
     rows = present(samples, value).select(*key, ceil_to(epoch_us(ts), cell).alias("_cell"), F.col(value).alias("_v"))
@@ -158,8 +175,11 @@ def slide_gauge(cells: DataFrame, key: Sequence[str], d: int, step: int, cell: i
 
 
 def _increase_parts(samples, key, d, step, ts, value, grain) -> DataFrame:
-    d_us, s_us, cell = _widths(d, step, grain)
-    merged = slide_counter(counter_cells(samples, key, cell, ts, value), key, d_us, s_us, cell)
+    d_us, s_us, cell, fine = widths(d, step, grain)
+    cells = counter_cells(samples, key, fine, ts, value)
+    if fine < cell:
+        cells = merge_counter_cells(cells, key, cell)
+    merged = slide_counter(cells, key, d_us, s_us, cell)
     enough = merged.where((F.col("n") >= 2) & (F.col("lt") > F.col("ft")))
     return enough.withColumn("inc", F.col("lv") - F.col("fv") + F.col("adj"))
 
@@ -167,8 +187,8 @@ def _increase_parts(samples, key, d, step, ts, value, grain) -> DataFrame:
 def increase(samples: DataFrame, key: Sequence[str], d, step, ts: str = "ts", value: str = "v", grain=None) -> DataFrame:
     """Growth of each counter over ``(t - d, t]`` with resets added back ``(key, t, inc)``.
 
-    No row where the range holds fewer than two samples. ``grain`` may name a finer cell width for
-    series with very many samples per step.
+    No row where the range holds fewer than two samples. Where one series has so many samples that
+    a single cell is too much for a task, ``grain`` names the width of the pieces that are sorted.
     """
     return _increase_parts(samples, key, d, step, ts, value, grain).select(*key, at(F.col("_t")).alias("t"), "inc")
 
@@ -217,7 +237,7 @@ def over_time(
     samples: DataFrame, key: Sequence[str], d, step, aggs: Sequence[str] = ("max", "avg"), ts: str = "ts", value: str = "v", suffix: str = ""
 ) -> DataFrame:
     """Aggregates of a gauge over ``(t - d, t]`` for every grid time ``(key, t, <agg>...)``."""
-    d_us, s_us, cell = _widths(d, step, None)
+    d_us, s_us, cell, _ = widths(d, step)
     return _finish(slide_gauge(gauge_cells(samples, key, cell, ts, value), key, d_us, s_us, cell), key, aggs, suffix)
 
 

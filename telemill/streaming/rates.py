@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from telemill.functions.timegrid import epoch_us, micros
-from telemill.operators.rangefn import _widths, extrapolated_rate, present
+from telemill.operators.rangefn import extrapolated_rate, present, widths
 
 
 def interval(us: int) -> str:
@@ -49,29 +49,42 @@ def stream_counter_cells(df: DataFrame, key: Sequence[str], cell: int, value: st
     )
 
 
+def _joined(cells: Column) -> Column:
+    """Summary of neighbouring cells, in time order, as one cell."""
+    first, last = cells[0], F.element_at(cells, -1)
+    inside = F.aggregate(cells, first["fv"] - first["fv"], lambda acc, x: acc + x["adj"])
+    return F.struct(
+        first["ft"].alias("ft"), first["fv"].alias("fv"), last["lt"].alias("lt"), last["lv"].alias("lv"),
+        F.aggregate(cells, F.lit(0).cast("bigint"), lambda acc, x: acc + x["n"]).alias("n"),
+        (inside + _drops(cells, "fv", "lv")).alias("adj"),
+    )
+
+
+def _merged(cells: DataFrame, key: Sequence[str], width: int, slide: int) -> DataFrame:
+    listed = cells.groupBy(F.window("at", interval(width), interval(slide)), *key).agg(
+        F.array_sort(F.collect_list("cell")).alias("_c")
+    )
+    return listed.select("window", F.window_time("window").alias("at"), *key, _joined(F.col("_c")).alias("cell"))
+
+
 def stream_increase(
     df: DataFrame, key: Sequence[str], d, step, delay: str = "5 minutes", ts: str = "ts", value: str = "v", grain=None
 ) -> DataFrame:
-    """Growth over every closed range ``(window, at, key, t, inc, n, ft, fv, lt, _t)``.
+    """Growth over every closed range ``(at, key, t, inc, n, ft, fv, lt, _t)``.
 
-    ``t`` is the range's end; ``at`` is the event time for a following aggregate.
+    ``t`` is the range's end; ``at`` is the event time for a following aggregate. ``grain`` names
+    the width of the pieces in which samples wait, for series with very many samples per cell.
     """
-    d_us, s_us, cell = _widths(d, step, grain)
-    cells = stream_counter_cells(with_event_time(df, delay, ts), key, cell, value, ts)
+    d_us, s_us, cell, fine = widths(d, step, grain)
+    cells = stream_counter_cells(with_event_time(df, delay, ts), key, fine, value, ts)
+    if fine < cell:
+        cells = _merged(cells, key, cell, cell).select("at", *key, "cell")
     # Spark's windows cannot slide by more than their width: such steps are picked from a finer slide
-    slide = s_us if s_us <= d_us else cell
-    merged = cells.groupBy(F.window("at", interval(d_us), interval(slide)), *key).agg(
-        F.array_sort(F.collect_list("cell")).alias("_c")
-    )
-    first, last = F.col("_c")[0], F.element_at("_c", -1)
-    zero = first["fv"] - first["fv"]
-    inside = F.aggregate(F.col("_c"), zero, lambda acc, x: acc + x["adj"])
-    out = merged.select(
-        "window", F.window_time("window").alias("at"), *key,
-        F.col("window.end").alias("t"), F.unix_micros("window.end").alias("_t"),
-        F.aggregate(F.col("_c"), F.lit(0).cast("bigint"), lambda acc, x: acc + x["n"]).alias("n"),
-        first["ft"].alias("ft"), first["fv"].alias("fv"), last["lt"].alias("lt"),
-        (last["lv"] - first["fv"] + inside + _drops(F.col("_c"), "fv", "lv")).alias("inc"),
+    ranges = _merged(cells, key, d_us, s_us if s_us <= d_us else cell)
+    out = ranges.select(
+        "at", *key, F.col("window.end").alias("t"), F.unix_micros("window.end").alias("_t"),
+        "cell.n", "cell.ft", "cell.fv", "cell.lt",
+        (F.col("cell.lv") - F.col("cell.fv") + F.col("cell.adj")).alias("inc"),
     )
     return out.where((F.col("n") >= 2) & (F.col("lt") > F.col("ft")) & (F.pmod("_t", F.lit(s_us)) == 0))
 
