@@ -29,6 +29,13 @@ NODES = [
 ]
 FORMER_TYPE = "m4.2xlarge"
 
+# The event types behind each kind of counter, as conditions that the parquet scan can use.
+KINDS = {
+    "tx": "event_type in ('click', 'view')",
+    "rx": "event_type in ('purchase', 'signup')",
+    "cpu": "(event_type is null or event_type not in ('click', 'view', 'purchase', 'signup'))",
+}
+
 
 # Read with known schemas: no job has to open files just to find them out.
 EVENTS = "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string"
@@ -62,11 +69,16 @@ def base(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def counters(spark: SparkSession, sf_dir: str, *kinds: str) -> DataFrame:
-    """Counters that reset at every 500th event ``(event_id, kind, pod, node, iface, ts, v)``."""
+def counters(spark: SparkSession, sf_dir: str, *kinds: str, where=None) -> DataFrame:
+    """Counters that reset at every 500th event ``(event_id, kind, pod, node, iface, ts, v)``.
+
+    Series are picked by kind and by a condition on the labels before the totals are made.
+    """
     rows = base(spark, sf_dir)
     if kinds:
-        rows = rows.where(F.col("kind").isin(*kinds))
+        rows = rows.where(" or ".join(KINDS[kind] for kind in kinds))
+    if where is not None:
+        rows = rows.where(where)
     dated = rows.select("event_id", *SERIES, "ts", "inc", _day().alias("_day"))
     total = running_total(dated, SERIES, "_day", ["ts", "event_id"], F.col("inc"), "v", F.pmod("event_id", F.lit(500)) == 0)
     return total.select("event_id", *SERIES, "ts", "v")

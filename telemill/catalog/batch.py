@@ -62,7 +62,7 @@ def cpu(spark, d):
 
 def traffic(spark, d):
     """Receive and transmit counters of the user-plane pods."""
-    return ad.counters(spark, d, "rx", "tx").where(matches("pod", UPF)).withColumnRenamed("kind", "direction")
+    return ad.counters(spark, d, "rx", "tx", where=matches("pod", UPF)).withColumnRenamed("kind", "direction")
 
 
 TRAFFIC_KEY = ["direction", "pod", "node", "iface"]
@@ -85,7 +85,7 @@ def usage(spark, d):
 
 
 def user_plane(spark, d):
-    return ad.counters(spark, d, "tx").where(all_match(pod=UPF, iface=OGSTUN))
+    return ad.counters(spark, d, "tx", where=all_match(pod=UPF, iface=OGSTUN))
 
 
 def totals(spark, d):
@@ -131,7 +131,7 @@ def user_steps(spark, d):
 
 def ledger(spark, d):
     return trial_plan.ledger(
-        ad.counters(spark, d, "tx").where(matches("pod", UPF)), SERIES,
+        ad.counters(spark, d, "tx", where=matches("pod", UPF)), SERIES,
         ad.pod_info(spark, d).where(matches("pod", UPF)), all_nodes(spark, d), TRAFFIC_D, STEP,
     )
 
@@ -420,7 +420,7 @@ def rx_tx_align(spark, d):
 
 @query
 def sum_by_pod(spark, d):
-    rates = rangefn.rate(ad.counters(spark, d, "tx").where(matches("pod", UPF)), SERIES, TRAFFIC_D, STEP)
+    rates = rangefn.rate(ad.counters(spark, d, "tx", where=matches("pod", UPF)), SERIES, TRAFFIC_D, STEP)
     return shown(rollup.sum_by(rates, ["t", "pod"], "rate"))
 
 
@@ -536,7 +536,7 @@ def time_sort(spark, d):
 
 @query
 def first_row(spark, d):
-    rates = rangefn.rate(ad.counters(spark, d, "tx").where(matches("pod", UPF)), SERIES, TRAFFIC_D, STEP)
+    rates = rangefn.rate(ad.counters(spark, d, "tx", where=matches("pod", UPF)), SERIES, TRAFFIC_D, STEP)
     return shown(grid.first_row(rollup.sum_by(rates, ["t", "pod"], "rate"), ["t"], "pod", ["pod", "rate"]))
 
 
