@@ -30,7 +30,8 @@ QUERIES: dict = {}
 
 
 def query(fn):
-    QUERIES[fn.__name__] = fn
+    """Register a query under its function's name; a trailing underscore only avoids an import."""
+    QUERIES[fn.__name__.rstrip("_")] = fn
     return fn
 
 
@@ -562,13 +563,13 @@ def string_to_float(spark, d):
 
 
 @query
-def memory_quantity_of(spark, d):
+def memory_quantity_(spark, d):
     v = F.col("v")
     return ad.gauges(spark, d).select("event_id", memory_quantity(v).alias("request_size"), memory_quantity(v, LIMIT_HEADROOM).alias("limit_size"))
 
 
 @query
-def cpu_quantity_of(spark, d):
+def cpu_quantity_(spark, d):
     cores = F.col("inc") / F.lit(100000.0)
     return ad.base(spark, d).select(
         "event_id", cpu_quantity(cores).alias("request_size"), cpu_quantity(cores, headroom=LIMIT_HEADROOM).alias("limit_size")
@@ -587,7 +588,7 @@ def right_size_by_max(spark, d):
 
 
 @query
-def hourly_reward_of(spark, d):
+def hourly_reward_(spark, d):
     return shown(vectors(spark, d).select("t", "throughput", "cost", "reward"))
 
 

@@ -345,12 +345,12 @@ sql("fifo_latest_n", "select * from x_steps qualify row_number() over (partition
 sql("epoch_to_ts", "select strftime(ts, '%Y-%m-%d %H:%M:%S') as stamp, pod from x_gauge")
 sql("string_to_float", """select event_id, try_cast(json_extract_string(props, '$.k') as double) as k,
   try_cast(event_type as double) as no_number from events""")
-sql("memory_quantity_of", f"select event_id, {quantity_mem('v')} as request_size, {quantity_mem('v', ' * cast(1.05 as double)')} as limit_size from x_gauge")
+sql("memory_quantity", f"select event_id, {quantity_mem('v')} as request_size, {quantity_mem('v', ' * cast(1.05 as double)')} as limit_size from x_gauge")
 CTE["x_cores"] = "select event_id, inc / cast(100000 as double) as cores from x_base"
-sql("cpu_quantity_of", f"select event_id, {quantity_cpu('cores')} as request_size, {quantity_cpu('cores', '* 1.05')} as limit_size from x_cores")
+sql("cpu_quantity", f"select event_id, {quantity_cpu('cores')} as request_size, {quantity_cpu('cores', '* 1.05')} as limit_size from x_cores")
 sql("right_size", f"select {secs('t')}, pod, {sizing()} from x_usage")
 sql("right_size_by_max", f"select {secs('t')}, pod, {sizing('max_cpu')} from x_usage")
-sql("hourly_reward_of", f"select {secs('t')}, {rnd('throughput')}, {rnd('cost')}, {rnd('reward')} from x_vecr")
+sql("hourly_reward", f"select {secs('t')}, {rnd('throughput')}, {rnd('cost')}, {rnd('reward')} from x_vecr")
 sql("window_reward", f"""select {secs('obs_t')}, {rnd('throughput')}, {rnd('on_large')}, {rnd('on_small')},
   round(3.33e-9 * throughput - (cast(0.20 as double) / 60) * on_large * {WINDOW_MINUTES}
   - (cast(0.0416 as double) / 60) * on_small * {WINDOW_MINUTES}, 6) as reward from x_reward""")

@@ -54,7 +54,6 @@ def config_updates(configs: DataFrame, path: str) -> Callable[[DataFrame, int],
     """
 
     def apply(batch: DataFrame, batch_id: int) -> None:
-        # each batch brings its own session, in which the table is read again
         now = current_versions(configs, path, batch_id)
         accepted, _ = apply_updates(now, batch.select("cfg_id", "seq", "base_sha", "body"))
         accepted.write.mode("overwrite").parquet(f"{path}/batch={batch_id}")

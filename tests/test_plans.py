@@ -40,6 +40,13 @@ def test_increase_shuffles_samples_once_and_cells_once(samples):
     assert "ReadSchema: struct<k:string,ts:timestamp,v:bigint>" in plan(df)
 
 
+def test_long_ranges_take_running_sums_with_the_same_shuffles(samples):
+    df = rangefn.over_time(samples, ["k"], "10 hours", "1 minute")
+    assert shuffles(df) == ["k, _block", "k, _cell"]
+    assert "Window" in plan(df)
+    assert "Window" not in plan(rangefn.over_time(samples, ["k"], "10 minutes", "1 minute"))
+
+
 def test_over_time_combines_before_the_shuffle(samples):
     df = rangefn.over_time(samples, ["k"], "10 minutes", "1 minute")
     assert shuffles(df) == ["k, _block", "k, _cell"]

@@ -6,12 +6,21 @@ import random
 
 import pytest
 
+from telemill.operators import rangefn
 from telemill.operators.rangefn import increase, over_time, rate, rate_over_time
 
 T0 = dt.datetime(2024, 3, 1, tzinfo=dt.timezone.utc)
 E0 = int(T0.timestamp())
 
 
+@pytest.fixture(params=["repeated", "running"])
+def way(request, monkeypatch):
+    """Both ways of merging cells, whatever the widths would have chosen."""
+    limit = 10**9 if request.param == "repeated" else -1
+    monkeypatch.setattr(rangefn.slide_counter, "__defaults__", (limit,))
+    monkeypatch.setattr(rangefn.slide_gauge, "__defaults__", (limit,))
+
+
 def frame(spark, rows, kind="bigint"):
     """rows: (series, seconds after T0, value)"""
     return spark.createDataFrame(
@@ -77,7 +86,7 @@ def random_counter(seed, n=300, span=4000):
 
 
 @pytest.mark.parametrize(("seed", "d", "s"), [(1, 120, 60), (2, 600, 60), (3, 300, 120), (4, 60, 60), (5, 60, 180), (6, 1800, 60)])
-def test_increase_and_rate_of_random_counters(spark, seed, d, s):
+def test_increase_and_rate_of_random_counters(spark, way, seed, d, s):
     rows = random_counter(seed)
     want = {kt: w for kt, w in windows(rows, d, s).items() if len(w) >= 2}
     df = frame(spark, rows)
@@ -95,7 +104,7 @@ def test_finer_grain_changes_nothing(spark):
 
 
 @pytest.mark.parametrize(("seed", "d", "s"), [(1, 600, 60), (2, 300, 120), (3, 60, 60), (4, 60, 180)])
-def test_over_time_of_random_gauges(spark, seed, d, s):
+def test_over_time_of_random_gauges(spark, way, seed, d, s):
     rows = random_counter(seed, n=120)
     want = windows(rows, d, s)
     df = over_time(frame(spark, rows), ["k"], d, s, ["max", "min", "avg", "sum", "count"])
@@ -105,7 +114,7 @@ def test_over_time_of_random_gauges(spark, seed, d, s):
         assert result(df, name) == {kt: fn([v for _, v in w]) for kt, w in want.items()}
 
 
-def test_rate_over_time_is_over_time_of_rate(spark):
+def test_rate_over_time_is_over_time_of_rate(spark, way):
     rows = random_counter(11)
     rates = {kt: naive_rate(w, kt[1], 120) for kt, w in windows(rows, 120, 60).items() if len(w) >= 2}
     want = windows([(k, int(t), v) for (k, t), v in rates.items()], 900, 60)
@@ -118,17 +127,17 @@ def test_rate_over_time_is_over_time_of_rate(spark):
         assert mean[kt] == pytest.approx(sum(values) / len(values), rel=1e-9)
 
 
-def test_reset_inside_a_window(spark):
+def test_reset_inside_a_window(spark, way):
     df = frame(spark, [("a", 10, 100), ("a", 20, 130), ("a", 30, 5), ("a", 40, 25)])
     assert result(increase(df, ["k"], 60, 60), "inc")["a", 60] == 30 + 5 + 20
 
 
-def test_reset_at_the_first_sample_of_a_window_is_not_counted(spark):
+def test_reset_at_the_first_sample_of_a_window_is_not_counted(spark, way):
     df = frame(spark, [("a", 50, 100), ("a", 70, 5), ("a", 80, 25)])
     assert result(increase(df, ["k"], 60, 60), "inc")["a", 120] == 20
 
 
-def test_reset_between_two_cells_of_a_window(spark):
+def test_reset_between_two_cells_of_a_window(spark, way):
     df = frame(spark, [("a", 50, 100), ("a", 70, 5), ("a", 80, 25)])
     assert result(increase(df, ["k"], 120, 60), "inc")["a", 120] == 5 + 20
 
@@ -137,7 +146,7 @@ def test_one_sample_has_no_rate(spark):
     assert result(rate(frame(spark, [("a", 30, 7)]), ["k"], 60, 60), "rate") == {}
 
 
-def test_window_is_open_at_its_start_and_closed_at_its_end(spark):
+def test_window_is_open_at_its_start_and_closed_at_its_end(spark, way):
     df = frame(spark, [("a", 60, 1), ("a", 90, 2), ("a", 120, 4)])
     inc = result(increase(df, ["k"], 60, 60), "inc")
     assert inc == {("a", 120): 2}
@@ -154,7 +163,7 @@ def test_gaps_are_skipped(spark):
     assert result(over_time(df, ["k"], 60, 60, ["max"]), "max") == {("a", 60): 4.0}
 
 
-def test_missing_labels_form_a_series_of_their_own(spark):
+def test_missing_labels_form_a_series_of_their_own(spark, way):
     df = frame(spark, [(None, 10, 1), (None, 20, 3), ("a", 10, 5), ("a", 20, 9)])
     assert result(increase(df, ["k"], 60, 60), "inc") == {(None, 60): 2, ("a", 60): 4}
 
