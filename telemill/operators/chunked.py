@@ -18,8 +18,9 @@ def running_total(
 ) -> DataFrame:
     """Running sum of ``value`` per ``key`` in ``order``; it starts again at rows where ``reset`` holds.
 
-    ``chunk`` must not decrease along ``order``. Rows are shuffled by (key, chunk), so a key with a
-    large share of the rows is spread over its chunks. The carried totals have one row per chunk.
+    ``chunk`` must not decrease along ``order``; ``value`` is a BIGINT, and keys are not NULL. Rows are
+    shuffled by (key, chunk), so a key with a large share of the rows is spread over its chunks. The
+    carried totals have one row per chunk.
     """
     reset = F.lit(False) if reset is None else reset
     local = Window.partitionBy(*key, chunk).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
@@ -59,26 +60,31 @@ def number_rows(df: DataFrame, key: Sequence[str], chunk: str, order: Sequence[s
 
 
 def with_rows_ahead(df: DataFrame, position: str, size: int, ahead: int) -> DataFrame:
-    """Cut positions into chunks of ``size`` (column ``_chunk``) and copy the first ``ahead`` rows of
-    each chunk into the chunk before it, marked ``_guest``.
+    """Cut positions into chunks of ``size`` (column ``_chunk``, the chunk's first position) and copy
+    the first ``ahead`` rows of each chunk into the chunk before it, marked ``_guest``.
 
     A window by (key, ``_chunk``) then sees ``ahead`` following rows of every row that is no guest.
     """
     if not 0 < ahead <= size:
         raise ValueError("ahead must be between 1 and the chunk size")
-    pos = F.col(position)
-    home = F.floor(pos / F.lit(size)).cast("bigint")
-    copies = F.when(F.pmod(pos, F.lit(size)) < ahead, F.array(home, home - 1)).otherwise(F.array(home))
+    inside = F.pmod(F.col(position), F.lit(size))
+    home = F.col(position) - inside
+    copies = F.when(inside < ahead, F.array(home, home - size)).otherwise(F.array(home))
     return df.withColumn("_chunk", F.explode(copies)).withColumn("_guest", F.col("_chunk") != home)
 
 
+def range_start(seq: str, width: int) -> Column:
+    """First number of the range of ``width`` numbers that holds ``seq``."""
+    return F.col(seq) - F.pmod(F.col(seq), F.lit(width))
+
+
 def dense_index(df: DataFrame, seq: str, width: int = 1_000_000, out: str = "idx") -> DataFrame:
     """Number the rows 0, 1, 2, ... by the unique BIGINT ``seq``.
 
     Rows are numbered inside ranges of ``width`` sequence numbers, at most ``width`` rows each; the
     only part in one task is the running count over the ranges, one row per range.
     """
-    ranged = df.withColumn("_range", F.floor(F.col(seq) / F.lit(width)).cast("bigint"))
+    ranged = df.withColumn("_range", range_start(seq, width))
     before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
     offsets = ranged.groupBy("_range").agg(F.count("*").alias("_rows")).select(
         "_range", F.coalesce(F.sum("_rows").over(before), F.lit(0)).alias("_offset")

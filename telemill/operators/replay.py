@@ -11,7 +11,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from telemill.operators.chunked import dense_index, with_rows_ahead
+from telemill.operators.chunked import dense_index, range_start, with_rows_ahead
 
 CHUNK = 10_000
 
@@ -80,13 +80,12 @@ def retain_latest(df: DataFrame, n: int, seq: str = "seq", by: Sequence[str] = (
     if by:
         newest = Window.partitionBy(*by).orderBy(F.desc(seq))
         return df.withColumn("_rank", F.row_number().over(newest)).where(F.col("_rank") <= n).drop("_rank")
-    in_range = F.floor(F.col(seq) / F.lit(width)).cast("bigint")
     newer = Window.orderBy(F.desc("_range")).rowsBetween(Window.unboundedPreceding, -1)
-    counts = df.groupBy(in_range.alias("_range")).agg(F.count("*").alias("_rows"))
+    counts = df.groupBy(range_start(seq, width).alias("_range")).agg(F.count("*").alias("_rows"))
     reach = counts.withColumn("_newer", F.coalesce(F.sum("_rows").over(newer), F.lit(0))).where(F.col("_newer") < n)
     oldest = reach.agg(F.min("_range")).scalar()
-    # compared as a sequence number, so that the scan itself can skip older rows
-    return df.where(F.col(seq) >= oldest * F.lit(width)).orderBy(F.desc(seq)).limit(n)
+    # a range is known by its first number, so that the scan itself can skip older rows
+    return df.where(F.col(seq) >= oldest).orderBy(F.desc(seq)).limit(n)
 
 
 def draw(k: Column, seed: int, n: Column) -> Column:

@@ -14,10 +14,10 @@ from telemill.streaming.rates import interval, stream_rate, with_event_time
 
 
 def stream_rate_over_time(
-    df: DataFrame, key: Sequence[str], d, outer, step, delay: str = "5 minutes", ts: str = "ts", value: str = "v"
+    df: DataFrame, key: Sequence[str], d, outer, step, delay: str = "5 minutes", ts: str = "ts", value: str = "v", grain=None
 ) -> DataFrame:
     """Highest and mean rate over every closed outer range ``(at, key, max_cpu, avg_cpu)``."""
-    rates = stream_rate(df, key, d, step, delay, ts, value)
+    rates = stream_rate(df, key, d, step, delay, ts, value, grain)
     over = rates.groupBy(F.window("at", interval(micros(outer)), interval(micros(step))), *key).agg(
         F.max("rate").alias("max_cpu"), F.avg("rate").alias("avg_cpu")
     )
@@ -44,10 +44,10 @@ def stream_over_time(
 
 def stream_right_size(
     cpu: DataFrame, mem: DataFrame, cpu_key: Sequence[str], mem_key: Sequence[str],
-    d="2 minutes", outer="3 hours", step="1 minute", delay: str = "5 minutes", request_cpu: str = "avg",
+    d="2 minutes", outer="3 hours", step="1 minute", delay: str = "5 minutes", request_cpu: str = "avg", grain=None,
 ) -> DataFrame:
     """Requests and limits per pod for every closed grid time, each emitted once."""
-    cpu_use = stream_rate_over_time(cpu, cpu_key, d, outer, step, delay)
+    cpu_use = stream_rate_over_time(cpu, cpu_key, d, outer, step, delay, grain=grain)
     mem_use = stream_over_time(mem, mem_key, outer, step, delay)
     metrics = ["max_cpu", "avg_cpu", "max_mem", "avg_mem"]
 

@@ -74,7 +74,12 @@ def test_transitions_shuffle_once_by_chunk(samples):
 def test_retention_filters_at_the_scan(samples):
     text = plan(replay.retain_latest(samples, 10, width=100))
     assert "TakeOrderedAndProject" in text
-    assert re.search(r"DataFilters: \[[^\]]*isnotnull\(seq", text) or "PushedFilters: [IsNotNull(seq)" in text
+    assert "GreaterThanOrEqual(seq,ScalarSubquery" in text
+
+
+def test_written_samples_are_rebalanced(spark, samples):
+    hinted = samples.withColumn("date", F.to_date("ts")).hint("rebalance", "k", "date")
+    assert "REBALANCE_PARTITIONS_BY_COL" in plan(hinted)
 
 
 EAGER = {"sample_scan", "requested_actions_sink"}
