@@ -18,21 +18,25 @@ def _col(col: str | Column) -> Column:
 def matches(col: str | Column, pattern: str) -> Column:
     """``label =~ pattern``, anchored at both ends.
 
-    Plain texts, alternatives of plain texts and ``text.*`` become ``=``, ``IN`` and ``startswith``,
-    which the parquet scan can use; a regular expression can only be checked after the scan. A
-    missing label counts as the empty text, so it matches whenever the pattern accepts that.
+    Alternatives of plain texts and ``text.*`` become ``=``, ``IN`` and ``startswith``, which the
+    parquet scan can use; any other expression can only be checked after the scan. A missing label
+    counts as the empty text, so it matches whenever the pattern accepts that.
     """
     col = _col(col)
-    if pattern == ".*":
+    parts = pattern.split("|")
+    if ".*" in parts:
         return F.lit(True)
-    if PLAIN.fullmatch(pattern) and pattern:
-        return col == F.lit(pattern)
-    if pattern.endswith(".*") and PLAIN.fullmatch(pattern[:-2]):
-        return col.startswith(pattern[:-2])
-    if "|" in pattern and all(part and PLAIN.fullmatch(part) for part in pattern.split("|")):
-        return col.isin(pattern.split("|"))
-    anchored = rf"\A(?s:{pattern})\z"
-    return F.coalesce(col, F.lit("")).rlike(anchored)
+    prefixes = [p[:-2] for p in parts if p.endswith(".*") and PLAIN.fullmatch(p[:-2])]
+    texts = [p for p in parts if p and PLAIN.fullmatch(p)]
+    if len(prefixes) + len(texts) < len(parts):
+        return F.coalesce(col, F.lit("")).rlike(rf"\A(?s:{pattern})\z")
+    found = [col.startswith(p) for p in prefixes]
+    if texts:
+        found.append(col.isin(texts) if len(texts) > 1 else col == F.lit(texts[0]))
+    out = found[0]
+    for condition in found[1:]:
+        out = out | condition
+    return out
 
 
 def equals(col: str | Column, value: str) -> Column:

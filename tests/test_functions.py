@@ -41,6 +41,10 @@ def test_widths():
     (".*upf.*", [True, True, False, False]),
     ("open5gs-upf-[0-9]+", [True, False, False, False]),
     (".*", [True, True, True, True]),
+    ("amf|x-.*", [False, True, True, None]),
+    ("amf|", [False, False, True, True]),
+    ("a|.*", [True, True, True, True]),
+    ("(open5gs|x)-.*", [True, True, False, False]),
     ("(amf)?", [False, False, True, True]),
 ])
 def test_matchers_are_anchored(spark, pattern, want):
@@ -52,6 +56,8 @@ def test_prefix_patterns_reach_the_scan(spark, sf_dir):
     plan = spark.read.parquet(f"{sf_dir}/events.parquet").where(matches("event_type", "view.*")).select("event_id")
     text = plan._jdf.queryExecution().executedPlan().toString()
     assert "StringStartsWith(event_type,view)" in text
+    either = spark.read.parquet(f"{sf_dir}/events.parquet").where(matches("event_type", "vi.*|click|error"))
+    assert "Or(StringStartsWith(event_type,vi),In(event_type" in either._jdf.queryExecution().executedPlan().toString()
     assert "props" not in text
 
 
