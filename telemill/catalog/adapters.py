@@ -2,7 +2,7 @@
 
 The test tables hold events, not metrics, so each event is read as one sample: pods, nodes and
 interfaces come from its user, day and type, counters are running totals of its value. Running
-totals are cut by day (see ``operators.chunked``), so no series is sorted as a whole.
+totals are cut by hour (see ``operators.chunked``), so no series is sorted as a whole.
 """
 
 from __future__ import annotations
@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from telemill.functions.timegrid import epoch_us, floor_to, micros
 from telemill.operators.chunked import number_rows, running_total
 
 SERIES = ["kind", "pod", "node", "iface"]
@@ -47,9 +48,13 @@ def events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.schema(EVENTS).parquet(f"{sf_dir}/events.parquet")
 
 
-def _day():
-    # never NULL, so that both uses of the shuffled rows in a running total stay the same plan and are shuffled once
-    return F.coalesce(F.unix_date(F.to_date("ts")), F.lit(0))
+def _hour():
+    """Chunk of a running total: the rows of one hour.
+
+    Never NULL, so that both uses of the shuffled rows in a running total stay the same plan and are
+    shuffled once.
+    """
+    return F.coalesce(floor_to(epoch_us("ts"), micros("1 hour")), F.lit(0))
 
 
 def base(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -79,8 +84,8 @@ def counters(spark: SparkSession, sf_dir: str, *kinds: str, where=None) -> DataF
         rows = rows.where(" or ".join(KINDS[kind] for kind in kinds))
     if where is not None:
         rows = rows.where(where)
-    dated = rows.select("event_id", *SERIES, "ts", "inc", _day().alias("_day"))
-    total = running_total(dated, SERIES, "_day", ["ts", "event_id"], F.col("inc"), "v", F.pmod("event_id", F.lit(500)) == 0)
+    dated = rows.select("event_id", *SERIES, "ts", "inc", _hour().alias("_hour"))
+    total = running_total(dated, SERIES, "_hour", ["ts", "event_id"], F.col("inc"), "v", F.pmod("event_id", F.lit(500)) == 0)
     return total.select("event_id", *SERIES, "ts", "v")
 
 
@@ -122,9 +127,9 @@ def steps(spark: SparkSession, sf_dir: str, with_ts: bool = False) -> DataFrame:
         F.col("event_id").alias("seq"),
         F.when(F.col("event_type").isin("click", "error"), 0).otherwise(1).alias("action"),
         F.round(F.col("value") * 1000).cast("bigint").alias("throughput"),
-        _day().alias("_day"),
+        _hour().alias("_hour"),
     )
-    numbered = number_rows(rows, ["episode"], "_day", ["ts", "seq"], "step")
+    numbered = number_rows(rows, ["episode"], "_hour", ["ts", "seq"], "step")
     return numbered.select("episode", "step", "seq", "action", "throughput", *(["ts"] if with_ts else []))
 
 
