@@ -10,7 +10,8 @@ sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 import __spark_entry__ as spark_entry  # noqa: E402
 from compare import connect, differences  # noqa: E402
 
-QUERIES, SQL = spark_entry.queries(), spark_entry.oracle_sql()
+SQL = {name: text for name, text in spark_entry.oracle_sql().items() if name not in spark_entry.CORPUS_SQL}
+QUERIES = {name: query for name, query in spark_entry.queries().items() if name not in spark_entry.CORPUS_QUERIES}
 
 
 @pytest.fixture(scope="module")
