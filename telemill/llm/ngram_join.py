@@ -16,6 +16,7 @@ from telemill.llm.words import Words, mixed, shingles, text_batches, utf8
 
 ORDERS = 3
 SKETCH = 8  # longs of parity bits per document
+FINEST = 256  # longs of the sketches of the largest sets
 CHUNK = 1 << 20  # shingles counted at once for the frequency order
 LOCAL = 4  # documents of a chunk that a shingle must be in to be reported as frequent
 SHARE = 2000  # a shingle is frequent when more than one document in so many is known to hold it
@@ -33,6 +34,8 @@ class Join:
     """
 
     def __init__(self, words: int = 5, percent: int = 80):
+        if not 50 <= percent <= 100:
+            raise ValueError("percent must lie between 50 and 100")
         self.words, self.percent = words, percent
 
     # -- sets ------------------------------------------------------------------------------------------
@@ -88,16 +91,17 @@ class Join:
 
         def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for part, sets in self._sets(batches):
-                digests, bits = [_digest(s) for s in sets], [_sketch(s) for s in sets]
+                digests, bits = [_digest(s) for s in sets], [_sketch(s, SKETCH) for s in sets]
                 yield pa.RecordBatch.from_arrays(
                     [part.column("doc_id").cast(pa.int64()), pa.array([len(s) for s in sets], pa.int64())]
                     + [pa.array([d[k] for d in digests], pa.int64()) for k in range(2)]
                     + [_lists([_prefix(s, 0, percent, *order.value).view(np.int64) for s in sets])]
-                    + [pa.array([b[k] for b in bits], pa.int64()) for k in range(SKETCH)],
-                    ["doc_id", "n", "high", "low", "prefix0", *BITS],
+                    + [pa.array([b[k] for b in bits], pa.int64()) for k in range(SKETCH)]
+                    + [_lists([_fine(s) for s in sets])],
+                    ["doc_id", "n", "high", "low", "prefix0", *BITS, "fine"],
                 )
 
-        kinds = "doc_id long, n long, high long, low long, prefix0 array<long>" + "".join(f", {b} long" for b in BITS)
+        kinds = "doc_id long, n long, high long, low long, prefix0 array<long>" + "".join(f", {b} long" for b in BITS) + ", fine array<long>"
         return docs.select("doc_id", "text").mapInArrow(describe, kinds)
 
     def sets(self, docs: DataFrame, order: Broadcast) -> DataFrame:
@@ -116,18 +120,33 @@ class Join:
 
     # -- pairs -----------------------------------------------------------------------------------------
 
-    def _possible(self) -> Column:
-        """Whether sizes and sketches allow the similarity for the rows x and y.
+    def _sized(self, x: str, y: str) -> Column:
+        """Whether set sizes and places in the prefix allow the similarity for two rows of one token.
 
-        A token that only one of two sets holds flips one bit, so differing bits never outnumber such tokens.
+        If the token is the first that both share, no more than what follows it in either set can be common.
         """
-        n, m, t = F.col("x.n"), F.col("y.n"), self.percent
-        differ = sum((F.bit_count(F.col(f"x.bits{k}").bitwiseXOR(F.col(f"y.bits{k}"))) for k in range(SKETCH)), F.lit(0))
-        return (F.least(n, m) * 100 >= F.greatest(n, m) * t) & (differ * (100 + t) <= (n + m) * (100 - t))
+        n, m, t = F.col(f"{x}.n"), F.col(f"{y}.n"), self.percent
+        most = F.least(n - F.col(f"{x}.at"), m - F.col(f"{y}.at"))
+        return (F.least(n, m) * 100 >= F.greatest(n, m) * t) & (most * (100 + t) >= (n + m) * t)
+
+    def _sketched(self, n: Column, m: Column, differ: Column) -> Column:
+        """Whether so many differing bits allow the similarity: a token of only one set flips one bit."""
+        return differ * (100 + self.percent) <= (n + m) * (100 - self.percent)
+
+    def _verified(self, pairs: DataFrame, docs: DataFrame, heads: DataFrame, order: Broadcast) -> DataFrame:
+        """Pairs that share prefix tokens under all other orders too and whose whole sets are similar.
+
+        Sketches go first, because they are short; the sets and the prefixes of what is left are read from the texts.
+        """
+        about = heads.select("doc_id", "n", *BITS, "fine")
+        both = pairs.join(_named(about, "a"), "a").join(_named(about, "b"), "b")
+        short = sum((F.bit_count(F.col(f"a_{b}").bitwiseXOR(F.col(f"b_{b}"))) for b in BITS), F.lit(0))
+        k = F.least(F.size("a_fine"), F.size("b_fine"))
+        flips = F.zip_with(_folded("a_fine", k), _folded("b_fine", k), lambda x, y: F.bit_count(x.bitwiseXOR(y)))
+        for differ in (short, F.aggregate(flips, F.lit(0), lambda x, y: x + y)):
+            both = both.where(self._sketched(F.col("a_n"), F.col("b_n"), differ))
+        pairs = stored(both.select("a", "b"), "pairs")
 
-    def _verified(self, pairs: DataFrame, docs: DataFrame, order: Broadcast) -> DataFrame:
-        """Pairs that share prefix tokens under all other orders too and whose whole sets are similar."""
-        pairs = stored(pairs, "pairs")
         needed = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
         sets = stored(self.sets(only(docs.where("doc_id is not null"), needed, "doc_id"), order), "sets")
         both = pairs.join(_named(sets, "a"), "a").join(_named(sets, "b"), "b")
@@ -144,30 +163,30 @@ class Join:
         the one that shares most; what that links is one cluster and needs no more comparing. Then all rows of a
         token that lie in different clusters are compared, so no link between clusters is missed.
         """
-        post = heads.select("doc_id", F.explode("prefix0").alias("token")).repartition("token")
+        post = heads.select("doc_id", "n", F.posexplode("prefix0").alias("at", "token"))
         often = post.groupBy("token").agg(F.count("*").alias("held")).where("held > 1")
         known = stored(post.join(often, "token"), "postings")
         weight = known.groupBy("doc_id").agg(F.sum("held").alias("weight"))
-        about = heads.select("doc_id", "n", *BITS).join(weight, "doc_id")
-        rows = stored(known.join(about, "doc_id"), "rows")
-        pivot = rows.groupBy("token").agg(F.max(F.struct("weight", (-F.col("doc_id")).alias("order"), "doc_id", "n", *BITS)).alias("p"))
-        near = rows.alias("x").join(
-            pivot.select("token", "p.*").alias("y"), F.expr("x.token = y.token and x.doc_id <> y.doc_id") & self._possible()
-        )
-        first = self._verified(_ordered(near), docs, order)
+        pivot = known.join(weight, "doc_id").groupBy("token").agg(F.max(F.struct("weight", (-F.col("doc_id")).alias("order"), "n", "at")).alias("p"))
+        pivot = pivot.select("token", (-F.col("p.order")).alias("doc_id"), "p.n", "p.at")
+        near = known.alias("x").join(pivot.alias("y"), F.expr("x.token = y.token and x.doc_id <> y.doc_id") & self._sized("x", "y"))
+        first = self._verified(_ordered(near), docs, heads, order)
 
-        clusters = components(first).withColumnRenamed("node", "doc_id")
-        rows = rows.drop("held", "weight").join(clusters, "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
-        rows = stored(rows, "rows")
+        rows = known.drop("held").join(components(first).withColumnRenamed("node", "doc_id"), "doc_id", "left")
+        rows = stored(rows.withColumn("component", F.coalesce("component", "doc_id")), "rows")
         spread = rows.groupBy("token").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("held"))
         parts = ((F.col("held") / GROUP).cast("int") + 1).alias("parts")
-        open_rows = stored(rows.join(spread.where("low < high").select("token", parts), "token"), "open")
+        open_rows = rows.join(spread.where("low < high").select("token", parts), "token")
+        open_rows = stored(open_rows.join(heads.select("doc_id", *BITS), "doc_id"), "open")
         left = open_rows.withColumn("part", F.pmod(F.xxhash64("doc_id"), F.col("parts")).cast("int"))
         right = open_rows.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+        differ = sum((F.bit_count(F.col(f"x.{b}").bitwiseXOR(F.col(f"y.{b}"))) for b in BITS), F.lit(0))
         rest = left.alias("x").join(
-            right.alias("y"), F.expr("x.token = y.token and x.part = y.part and x.component < y.component") & self._possible()
+            right.alias("y"),
+            F.expr("x.token = y.token and x.part = y.part and x.component < y.component")
+            & self._sized("x", "y") & self._sketched(F.col("x.n"), F.col("y.n"), differ),
         )
-        return first.unionByName(self._verified(_ordered(rest), docs, order))
+        return first.unionByName(self._verified(_ordered(rest), docs, heads, order))
 
     def clusters(self, docs: DataFrame) -> DataFrame:
         """Per row of ``docs``: doc_id, n_shingles, component_id (smallest doc_id reachable by links, itself included)."""
@@ -194,6 +213,12 @@ def _named(df: DataFrame, end: str) -> DataFrame:
     return df.select(F.col("doc_id").alias(end), *[F.col(c).alias(f"{end}_{c}") for c in df.columns if c != "doc_id"])
 
 
+def _folded(sketch: str, longs: Column) -> Column:
+    """A sketch of twice as many longs brought to ``longs``; similar sets' sizes lie less than a factor of two apart."""
+    half = F.zip_with(F.slice(sketch, F.lit(1), longs), F.slice(sketch, longs + 1, longs), lambda x, y: x.bitwiseXOR(y))
+    return F.when(F.size(sketch) > longs, F.when(longs > 0, half).otherwise(F.array().cast("array<bigint>"))).otherwise(F.col(sketch))
+
+
 def _ordered(pairs: DataFrame) -> DataFrame:
     return pairs.select(F.least("x.doc_id", "y.doc_id").alias("a"), F.greatest("x.doc_id", "y.doc_id").alias("b")).distinct()
 
@@ -207,20 +232,26 @@ def _digest(tokens: np.ndarray) -> list[int]:
     return [int(np.bitwise_xor.reduce(mixed(tokens * np.uint64(k)), initial=np.uint64(len(tokens))).view(np.int64)) for k in (3, 5)]
 
 
-def _sketch(tokens: np.ndarray) -> np.ndarray:
-    bits = np.bincount((tokens & np.uint64(64 * SKETCH - 1)).astype(np.int64), minlength=64 * SKETCH)
+def _sketch(tokens: np.ndarray, longs: int) -> np.ndarray:
+    """Parity bits of the tokens that fall on each of ``64 * longs`` places; halves xor to the sketch of half as many."""
+    bits = np.bincount((tokens & np.uint64(64 * longs - 1)).astype(np.int64), minlength=64 * longs)
     return np.packbits(bits.astype(np.uint8) & 1).view(np.int64)
 
 
+def _fine(tokens: np.ndarray) -> np.ndarray:
+    """The sketch of a set too large for the short one, with a bit for about two tokens; empty for others."""
+    longs = min(FINEST, 1 << (max(len(tokens) - 1, 0) // 128).bit_length())
+    return _sketch(tokens, longs) if longs > SKETCH else np.zeros(0, np.int64)
+
+
 def _prefix(tokens: np.ndarray, k: int, percent: int, often: np.ndarray, ranks: np.ndarray) -> np.ndarray:
-    """The first tokens of a set under order ``k``, as many as a similar set must share one of."""
+    """The first tokens of a set in order ``k``, as many as a similar set must share one of."""
     n = len(tokens)
-    length = n - -(-n * percent // 100) + 1
-    if not 0 < length < n:
-        return tokens
+    length = n - -(-n * percent // 100) + 1 if n else 0
     # each order is another shuffle of all shingles, with the frequent ones last
     key = mixed(tokens ^ np.uint64(0xD1B54A32D192ED03 * (k + 1) & 0xFFFFFFFFFFFFFFFF)) >> np.uint64(8)
     if len(often):
         at = np.minimum(np.searchsorted(often, tokens), len(often) - 1)
         key |= np.where(often[at] == tokens, ranks[at], np.uint64(0)) << np.uint64(56)
-    return tokens[np.argpartition(key, length - 1)[:length]]
+    first = np.argpartition(key, length - 1)[:length] if 0 < length < n else np.arange(length)
+    return tokens[first[np.argsort(key[first], kind="stable")]]
