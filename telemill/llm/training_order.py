@@ -22,6 +22,7 @@ PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\
 LENGTH = 512  # tokens of a sequence
 END = 50256  # ends a document, and fills up its last sequence
 SHARD = 1024  # sequences of a shard
+TOGETHER = 16  # shards that one task writes
 ROUNDS = 6
 SECTION = 1 << 20  # characters tokenised at once; cut where white space begins, which no token spans
 
@@ -120,7 +121,7 @@ def shards(docs: DataFrame, path: str, key: int = 20240607, length: int = LENGTH
     """
     rows = sequences(docs, path, length)
     size = rows.count()
-    count = max(1, min(-(-size // shard), 20_000))
+    count = max(1, -(-size // (shard * TOGETHER)))
     ordered = placed(rows, size, key, shard).repartitionByRange(count, "shard").sortWithinPartitions("slot")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
