@@ -86,7 +86,8 @@ def judged(urls: DataFrame, rules: Sequence[Rule], edges: DataFrame | None = Non
     names = rows.groupBy("_plain").agg(F.max(F.col("_fit.verdict") == "allow").alias("allow"), F.max(F.col("_fit.verdict") == "block").alias("block"))
     names = names.where("_plain is not null").select(F.col("_plain").alias("node"), F.coalesce("allow", F.lit(False)).alias("allow"), F.coalesce("block", F.lit(False)).alias("block"))
     if edges is not None:
-        names = _with_edges(stored(names, "names"), edges, rules)
+        # read once: finding edges may mean reading whole pages
+        names = _with_edges(stored(names, "names"), stored(edges.select("source", "target"), "edges"), rules)
     spread = names.select(F.col("node").alias("_plain"), (F.col("block") & ~F.col("allow")).alias("_block"))
     # addresses without a resource would all meet in one task of the join
     rows = rows.withColumn("_plain", F.coalesce("_plain", F.concat(F.lit("\0"), F.monotonically_increasing_id().cast("string"))))
