@@ -130,18 +130,29 @@ class View:
         self.weights = fit(row, active.ravel(), len(active), self.columns, y, ridge=2.0)
 
     def calibrate(self, batch: pa.Table, y: np.ndarray) -> None:
-        """Fits slope and intercept to labelled rows that the weights were not fitted to; no slope below 0."""
-        raw, (a, b) = self.raw(batch), (1.0, 0.0)
-        if len(y) < 20 or len(np.unique(y)) < 2:
-            return
+        """Fits slope and intercept to labelled rows that the weights were not fitted to, held near 1 and 0 while rows are few."""
+        raw, self.scale = self.raw(batch), (1.0, 0.0)
+        good = y.sum()
+        # no row counts as quite certain, so that rows that fall apart cleanly leave finite odds
+        target = np.where(y == 1, (good + 1) / (good + 2), 1 / (len(y) - good + 2))
+        at = np.array([1.0, 0.0])
+
+        def loss(x: np.ndarray) -> float:
+            odds = np.clip(x[0] * raw + x[1], -40, 40)
+            return float((np.logaddexp(0, odds) - target * odds).sum() + 0.1 * ((x - [1, 0]) ** 2).sum())
+
         for _ in range(50):
-            p = sigmoid(a * raw + b)
+            p = sigmoid(at[0] * raw + at[1])
             curve = np.maximum(p * (1 - p), 1e-6)
-            gradient = np.array([((p - y) * raw).sum() + 1e-2 * (a - 1), (p - y).sum()])
-            hessian = np.array([[(curve * raw**2).sum() + 1e-2, (curve * raw).sum()], [(curve * raw).sum(), curve.sum() + 1e-6]])
+            gradient = np.array([((p - target) * raw).sum(), (p - target).sum()]) + 0.2 * (at - [1, 0])
+            hessian = np.array([[(curve * raw**2).sum() + 0.2, (curve * raw).sum()], [(curve * raw).sum(), curve.sum() + 0.2]])
             step = np.linalg.solve(hessian, gradient)
-            a, b = a - np.clip(step[0], -1, 1), b - np.clip(step[1], -2, 2)
-        self.scale = (max(a, 0.0), b)
+            while np.abs(step).max() > 1e-9 and loss(at - step) > loss(at):
+                step /= 2
+            at = at - step
+            if np.abs(step).max() < 1e-8:
+                break
+        self.scale = (max(float(at[0]), 0.0), float(at[1]))
 
 
 def _flat(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
@@ -169,7 +180,8 @@ def scored(docs: DataFrame, labels: DataFrame, label: str = "quality") -> DataFr
         score = float(y.mean()) if len(y) else 0.5
         return rows.select("doc_id", F.lit(score).alias("score"), F.lit(True).alias("keep"), F.lit(score).alias("content_score"), F.lit(score).alias("metadata_score"))
     views = [View(name, np.quantile(_flat(sample.column(name)).reshape(len(y), -1), np.linspace(0, 1, BINS + 1)[1:-1], axis=0).T) for name in ("content", "metadata")]
-    apart = np.arange(len(y)) % 4 == 0
+    place = np.where(y == 1, np.cumsum(y == 1), np.cumsum(y == 0))
+    apart = place % 4 == 0  # a quarter of either class
     held, own = sample.filter(pa.array(apart)), [v.active(sample)[~apart] for v in views]
     taught: list[tuple[np.ndarray, np.ndarray]] = [(a, y[~apart]) for a in own]
     for turn in range(ROUNDS + 1):
@@ -183,7 +195,7 @@ def scored(docs: DataFrame, labels: DataFrame, label: str = "quality") -> DataFr
                 for batch, target in other:
                     if batch.num_rows:
                         taught[k] = (np.vstack([taught[k][0], view.active(batch)]), np.append(taught[k][1], np.full(batch.num_rows, target)))
-    prior = logit(y[apart].mean())
+    prior = logit(y.mean())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -2,4 +2,77 @@
 
 from __future__ import annotations
 
-SQL: dict[str, str] = {}
+_LOWER = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
+
+NEAREST = """
+WITH v AS (
+    SELECT DISTINCT vec_id, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)::DOUBLE) AS v
+    FROM embeddings
+    WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
+      AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x::DOUBLE))) = 0
+), scored AS (
+    SELECT q.vec_id AS query_id, c.vec_id, list_dot_product(q.v, c.v)::BIGINT AS score
+    FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 100 = 0
+), ranked AS (
+    SELECT query_id, (row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id))::INTEGER AS rank, vec_id, score FROM scored
+)
+SELECT * FROM ranked WHERE rank <= 10
+"""
+
+_RULES = """
+rules(verdict, host, path) AS (
+    VALUES ('allow', 'com', '/'), ('block', 'example.com', '/en/'), ('allow', 'www.example.com', '/en/'), ('block', 'net', '/es/'), ('block', 'net', '/fr/')
+)
+"""
+
+URLS = f"""
+WITH {_RULES}, cut AS (
+    SELECT page_id, url,
+        translate(regexp_extract(coalesce(url, ''), '^.*?://([^/?#]*)', 1, 's'), {_LOWER}) AS host,
+        regexp_extract(coalesce(url, ''), '^.*?://[^/?#]*([^?#]*)', 1, 's') AS path
+    FROM pages
+), fitted AS (
+    SELECT c.page_id, arg_max(r.verdict, length(r.host || r.path)) AS verdict, arg_max(r.host || r.path, length(r.host || r.path)) AS rule
+    FROM cut c JOIN rules r ON (c.host = r.host OR ends_with(c.host, '.' || r.host)) AND starts_with(c.path, r.path)
+    GROUP BY c.page_id
+), named AS (
+    SELECT c.*, f.verdict, f.rule, CASE WHEN contains(url, '://') THEN
+        regexp_replace(regexp_replace(host, ':(80|443)$', ''), '^(www|m)\\.([^.]+\\.)', '\\2')
+        || regexp_replace(regexp_replace(path, '(/index)?\\.html?$', ''), '/+$', '') END AS plain
+    FROM cut c LEFT JOIN fitted f USING (page_id)
+), resource AS (
+    SELECT plain, bool_or(coalesce(verdict = 'allow', false)) AS allowed, bool_or(coalesce(verdict = 'block', false)) AS blocked
+    FROM named WHERE plain IS NOT NULL GROUP BY plain
+)
+SELECT page_id, host, path, rule, coalesce(verdict, CASE WHEN blocked AND NOT allowed THEN 'block' END, 'allow') AS verdict
+FROM named LEFT JOIN resource USING (plain)
+"""
+
+SIMILAR = f"""
+WITH RECURSIVE words AS (
+    SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), {_LOWER}), '[^\\x20\\x09-\\x0D]+') AS w FROM documents
+), sets AS (
+    SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 3 THEN [array_to_string(w, ' ')]
+        ELSE list_distinct(list_transform(range(1, len(w) - 1), lambda i: array_to_string(w[i:i + 2], ' '))) END AS s
+    FROM words
+), tokens AS (
+    SELECT doc_id, unnest(s) AS token, len(s) AS n FROM sets
+), common AS (
+    SELECT a.doc_id AS a, b.doc_id AS b, any_value(a.n) AS n, any_value(b.n) AS m, count(*) AS k
+    FROM tokens a JOIN tokens b ON a.token = b.token AND a.doc_id < b.doc_id AND 100 * least(a.n, b.n) >= 90 * greatest(a.n, b.n)
+    GROUP BY ALL
+), links AS (
+    SELECT a, b FROM common WHERE 100 * k >= 90 * (n + m - k)
+), both_ways AS (
+    SELECT a, b FROM links UNION ALL SELECT b, a FROM links
+), reach AS (
+    SELECT doc_id AS a, doc_id AS b FROM documents UNION SELECT r.a, l.b FROM reach r JOIN both_ways l ON r.b = l.a
+)
+SELECT s.doc_id, len(s.s)::BIGINT AS n_shingles, (SELECT min(r.b) FROM reach r WHERE r.a = s.doc_id) AS component_id FROM sets s
+"""
+
+SQL: dict[str, str] = {
+    "op7_pivot_distance_search": NEAREST,
+    "op8_redirect_equivalence": URLS,
+    "op9_ngram_jaccard_join": SIMILAR,
+}
