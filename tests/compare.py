@@ -33,8 +33,8 @@ def tidy(pdf: pd.DataFrame) -> pd.DataFrame:
 
 def kinds(dtypes) -> dict:
     families = {
-        "bigint": "long", "double": "double", "string": "text", "boolean": "bool",
-        "BIGINT": "long", "DOUBLE": "double", "VARCHAR": "text", "BOOLEAN": "bool",
+        "bigint": "long", "int": "int", "double": "double", "string": "text", "boolean": "bool",
+        "BIGINT": "long", "INTEGER": "int", "DOUBLE": "double", "VARCHAR": "text", "BOOLEAN": "bool",
     }
     return {name: families.get(str(kind), str(kind)) for name, kind in dtypes}
 
