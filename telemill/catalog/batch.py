@@ -524,7 +524,7 @@ def transition_pairs(spark, d):
 
 @query
 def first_step_flag(spark, d):
-    return shown(ad.steps(spark, d).select("episode", "step", replay.step_type().alias("step_type")))
+    return shown(replay.timesteps(ad.steps(spark, d)).select("episode", "step", "step_type"))
 
 
 # --- order and limits --------------------------------------------------------------------------

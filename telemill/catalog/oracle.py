@@ -174,13 +174,13 @@ CTE["x_pivot"] = """select t, sum(case when direction = 'rx' and iface = 'eth0'
   sum(case when direction = 'tx' and iface = 'eth0' then rate end) as tx_eth0,
   sum(case when direction = 'tx' and iface = 'ogstun' then rate end) as tx_ogstun from x_trate group by t"""
 CTE["x_used"] = "select distinct t, node from x_trate"
-CTE["x_cost"] = """select u.t, sum(p.usd_per_hour) as cost from x_used u join x_upf_nodes n on u.node = n.node
-  join x_price p on n.instance_type = p.instance_type group by u.t"""
+CTE["x_cost"] = """select u.t, coalesce(sum(p.usd_per_hour), 0) as cost from x_used u left join x_upf_nodes n on u.node = n.node
+  left join x_price p on n.instance_type = p.instance_type group by u.t"""
 CTE["x_vec"] = """select v.*, coalesce(c.cost, 0) as cost,
   coalesce(rx_eth0, 0) + coalesce(rx_ogstun, 0) + coalesce(tx_eth0, 0) + coalesce(tx_ogstun, 0) as throughput from x_pivot v left join x_cost c using (t)"""
 CTE["x_vecr"] = "select *, throughput * (cast(3.33 as double) / 1000000000) * 3600.0 - cost as reward from x_vec"
 CTE["x_daysteps"] = f"""select *, t // {DAY} as episode, cast((t % {DAY}) // {HOUR} + 1 as bigint) as step,
-  case when (t % {DAY}) // {HOUR} = 0 then 0 else 1 end as step_type,
+  case when t = min(t) over (partition by t // {DAY}) then 0 else 1 end as step_type,
   case when coalesce(tx_ogstun, 0) > coalesce(rx_ogstun, 0) then 1 else 0 end as action from x_vecr"""
 CTE["x_usersteps"] = """select *, throughput * (cast(3.33 as double) / 1000000000) * 3600.0 - case when action = 1 then cast(0.10 as double)
   else cast(0.0416 as double) end as reward from x_steps"""
@@ -338,7 +338,7 @@ sql("fill_zero", f"select {secs('obs_t')}, slot, {secs('t')}, {rnd('throughput',
 sql("last_value", f"select {secs('obs_t')}, {rnd('throughput', 3)} from x_reward")
 sql("transition_pairs", """select episode, step, seq, action, throughput, lead(seq) over w as next_seq, lead(throughput) over w as next_throughput,
   lead(action) over w as next_action from x_steps window w as (partition by episode order by step)""")
-sql("first_step_flag", "select episode, step, cast(case when step = 1 then 0 else 1 end as bigint) as step_type from x_steps")
+sql("first_step_flag", "select episode, step, cast(case when step = min(step) over (partition by episode) then 0 else 1 end as bigint) as step_type from x_steps")
 sql("time_sort", f"select {secs('obs_t')}, {secs('t')}, {rnd('throughput')} from x_win order by 1, 2")
 sql("first_row", "select cast(t // 1000000 as bigint) as t, min(pod) as pod, round(arg_min(rate, pod), 6) as rate from x_podrate group by x_podrate.t")
 sql("fifo_latest_n", "select * from x_steps qualify row_number() over (partition by episode order by step desc) <= 3")
@@ -374,7 +374,7 @@ NEXT = ", ".join(rnd(f"b.{c}", 6, f"next_{c}") for c in VEC)
 NOW = ", ".join(rnd(f"a.{c}", 6, c) for c in VEC)
 sql("trajectory_table", f"""select a.episode, a.step, cast(a.step_type as bigint) as step_type, {NOW}, cast(a.action as bigint) as action,
   cast(b.step_type as bigint) as next_step_type, {rnd('b.reward', 6, 'reward')}, cast(1 as double) as discount, {NEXT}
-  from x_daysteps a join x_daysteps b on a.episode = b.episode and b.step = a.step + 1""")
+  from x_daysteps a join x_daysteps b on a.episode = b.episode and b.step = (select min(c.step) from x_daysteps c where c.episode = a.episode and c.step > a.step)""")
 sql("replay_sequences", f"""select a.episode, a.step, a.seq as seq_1, b.seq as seq_2, a.action as action_1, b.action as action_2,
   {rnd('b.reward', 6, 'reward_2')} from x_usersteps a join x_usersteps b on a.episode = b.episode and b.step = a.step + 1""")
 sql("replay_retain", "select * from x_steps order by seq desc limit 128")

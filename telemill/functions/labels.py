@@ -24,7 +24,8 @@ def matches(col: str | Column, pattern: str) -> Column:
     """
     col = _col(col)
     parts = pattern.split("|")
-    if ".*" in parts:
+    # inside a group, a class or behind an escape the bar and the dot mean something else
+    if ".*" in parts and not re.search(r"[()\[\]\\]", pattern):
         return F.lit(True)
     prefixes = [p[:-2] for p in parts if p.endswith(".*") and PLAIN.fullmatch(p[:-2])]
     texts = [p for p in parts if p and PLAIN.fullmatch(p)]

@@ -24,9 +24,9 @@ def baseline(df: DataFrame, by: Sequence[str] = OBS, t: str = "t", value: str =
 
 
 def bin_mean(df: DataFrame, step, by: Sequence[str] = OBS, t: str = "t", value: str = "v") -> DataFrame:
-    """Mean per bin; a bin is named by its start."""
+    """Mean per bin of what is neither NULL nor NaN; a bin is named by its start."""
     bins = floor_to(epoch_us(t), micros(step))
-    return df.groupBy(*by, bins.alias("_bin")).agg(F.avg(value).alias(value)).withColumn(t, at(F.col("_bin"))).drop("_bin")
+    return df.groupBy(*by, bins.alias("_bin")).agg(F.avg(F.when(~F.isnan(value), F.col(value))).alias(value)).withColumn(t, at(F.col("_bin"))).drop("_bin")
 
 
 def resample(df: DataFrame, step, by: Sequence[str] = OBS, t: str = "t", value: str = "v") -> DataFrame:

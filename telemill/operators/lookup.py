@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from telemill.functions.timegrid import at, ceil_to, epoch_us, grid, micros
+from telemill.operators.rangefn import present
 
 
 def lookup_on_grid(
@@ -17,9 +18,11 @@ def lookup_on_grid(
 
     Only the newest sample of a grid cell can be seen at or after the cell's end, so samples are
     first reduced to one per cell (before the shuffle) and only those are repeated over the grid
-    times they may serve. Without a ``value`` column the result tells presence only.
+    times they may serve. NULL and NaN samples are gaps and hide nothing. Without a ``value`` column the
+    result tells presence only.
     """
     s, back = micros(step), micros(lookback)
+    samples = present(samples, value) if value else samples
     rows = samples.select(*key, epoch_us(ts).alias("_e"), *([F.col(value).alias("_v")] if value else []))
     newest = [F.max("_e").alias("_e"), *([F.max_by("_v", "_e").alias("_v")] if value else [])]
     last = rows.groupBy(*key, ceil_to(F.col("_e"), s).alias("_cell")).agg(*newest)

@@ -1,17 +1,18 @@
 """Time steps, transitions and replay tables.
 
-Steps are numbered consecutively inside an episode. The numbers cut episodes into chunks, so an
+Steps are ordered by number inside an episode; numbers may be missing. The numbers cut episodes into chunks, so an
 episode of any length is spread over tasks and only a few rows are copied across each cut.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from telemill.operators.chunked import dense_index, range_start, with_rows_ahead
+from telemill.operators.chunked import dense_index, number_rows, range_start, with_rows_ahead
 
 CHUNK = 10_000
 
@@ -19,26 +20,28 @@ CHUNK = 10_000
 FIRST, MID = 0, 1
 
 
-def step_type(step: str = "step", first: int = 1) -> Column:
-    """0 for the first step of an episode, 1 for the others. Needs no look at other rows."""
-    return F.when(F.col(step) == first, F.lit(FIRST)).otherwise(F.lit(MID))
+def timesteps(obs: DataFrame, step: str = "step", episode: str = "episode") -> DataFrame:
+    """Observation rows with their discount and step type: 0 for the lowest step of an episode, 1 for the others."""
+    first = obs.groupBy(episode).agg(F.min(step).alias("_first"))
+    kind = F.when(F.col(f"x.{step}") == F.col("_first"), F.lit(FIRST)).otherwise(F.lit(MID))
+    return _null_safe(obs, first, [episode], "left").select(*[F.col(f"x.{c}") for c in obs.columns], F.lit(1.0).alias("discount"), kind.alias("step_type"))
 
 
-def timesteps(obs: DataFrame, step: str = "step", first: int = 1) -> DataFrame:
-    """Observation rows with their discount and step type."""
-    return obs.withColumn("discount", F.lit(1.0)).withColumn("step_type", step_type(step, first))
+def _with_following(rows: DataFrame, ahead: int, episode: str, step: str, chunk: int) -> DataFrame:
+    """Rows cut into chunks by their place in the episode, so that steps that are missing leave no hole."""
+    cut = rows.withColumn("_from", F.col(step) - F.pmod(F.col(step), F.lit(chunk)))
+    return with_rows_ahead(number_rows(cut, [episode], "_from", [step], "_place"), "_place", chunk, ahead)
 
 
 def transition_pairs(
     steps: DataFrame, columns: Sequence[str], episode: str = "episode", step: str = "step", chunk: int = CHUNK
 ) -> DataFrame:
-    """Each step with ``next_<column>`` of the following step; an episode's last step has NULLs."""
-    spread = with_rows_ahead(steps, step, chunk, 1)
+    """Each step with ``next_<column>`` of the step after it, whatever the distance; an episode's last step has NULLs."""
+    spread = _with_following(steps, 1, episode, step, chunk)
     ordered = Window.partitionBy(episode, "_chunk").orderBy(step)
     following = F.lead(F.struct(step, *[c for c in columns if c != step])).over(ordered)
     paired = spread.withColumn("_next", following).where(~F.col("_guest"))
-    is_next = F.col(f"_next.{step}") == F.col(step) + 1
-    return paired.select(*steps.columns, *[F.when(is_next, F.col(f"_next.{c}")).alias(f"next_{c}") for c in columns])
+    return paired.select(*steps.columns, *[F.col(f"_next.{c}").alias(f"next_{c}") for c in columns])
 
 
 def trajectories(
@@ -60,14 +63,19 @@ def trajectories(
 def sequences(
     rows: DataFrame, n: int = 2, episode: str | None = "episode", step: str = "step", chunk: int = CHUNK
 ) -> DataFrame:
-    """All runs of ``n`` consecutive rows of an episode ``(episode, step, items)``, one per start."""
+    """All runs of ``n`` rows of an episode that follow each other ``(episode, step, items)``, one per start."""
     if n == 1:
         return rows.select(episode, step, F.array(F.struct(*rows.columns)).alias("items"))
-    spread = with_rows_ahead(rows, step, max(chunk, n), n - 1)
+    spread = _with_following(rows, n - 1, episode, step, max(chunk, n))
     run = Window.partitionBy(episode, "_chunk").orderBy(step).rowsBetween(0, n - 1)
     listed = spread.withColumn("items", F.collect_list(F.struct(*rows.columns)).over(run)).where(~F.col("_guest"))
-    whole = (F.size("items") == n) & (F.element_at("items", -1)[step] == F.col(step) + (n - 1))
-    return listed.where(whole).select(episode, step, "items")
+    return listed.where(F.size("items") == n).select(episode, step, "items")
+
+
+def _null_safe(df: DataFrame, other: DataFrame, keys: Sequence[str], how: str) -> DataFrame:
+    """Join on ``keys``, of which NULL is a value like others."""
+    on = reduce(lambda a, b: a & b, [F.col(f"x.{k}").eqNullSafe(F.col(f"y.{k}")) for k in keys])
+    return df.alias("x").join(other.alias("y"), on, how)
 
 
 def retain_latest(df: DataFrame, n: int, seq: str = "seq", by: Sequence[str] = (), width: int = 1_000_000) -> DataFrame:
@@ -75,9 +83,15 @@ def retain_latest(df: DataFrame, n: int, seq: str = "seq", by: Sequence[str] = (
 
     Overall: rows are counted per range of ``width`` sequence numbers; older ranges that the newest
     ``n`` rows cannot reach are dropped by a filter, so at most ``n + width`` rows meet in the final
-    sort, however large the table is.
+    sort, however large the table is. Per group, too: ranges that the group's newest ``n`` rows cannot
+    reach are dropped first, so a group with very many rows brings few to the sort.
     """
     if by:
+        counts = df.groupBy(*by, range_start(seq, width).alias("_range")).agg(F.count("*").alias("_rows"))
+        earlier = Window.partitionBy(*by).orderBy(F.desc("_range")).rowsBetween(Window.unboundedPreceding, -1)
+        reach = counts.withColumn("_newer", F.coalesce(F.sum("_rows").over(earlier), F.lit(0))).where(F.col("_newer") < n)
+        # rows meet their range, not their group, so a large group is spread over its ranges
+        df = _null_safe(df.withColumn("_range", range_start(seq, width)), reach.drop("_rows", "_newer"), [*by, "_range"], "left_semi").drop("_range")
         newest = Window.partitionBy(*by).orderBy(F.desc(seq))
         return df.withColumn("_rank", F.row_number().over(newest)).where(F.col("_rank") <= n).drop("_rank")
     newer = Window.orderBy(F.desc("_range")).rowsBetween(Window.unboundedPreceding, -1)

@@ -71,9 +71,21 @@ def unknown_instance_types(df: DataFrame, prices: Mapping[str, float] | DataFram
 
 
 def infra_cost(traffic: DataFrame, nodes: DataFrame, prices: Mapping[str, float] | DataFrame = PRICES) -> DataFrame:
-    """Hourly cost of the known nodes in use at each ``t``, every node counted once ``(t, cost)``."""
-    priced = with_price(with_instance(used_nodes(traffic, "t"), nodes), prices)
-    return priced.groupBy("t").agg(F.sum("usd_per_hour").alias("cost"))
+    """Hourly cost of the known nodes in use at each ``t``, every node counted once ``(t, cost)``.
+
+    A time at which only unknown nodes are in use costs 0.
+    """
+    priced = with_price(_with_known(used_nodes(traffic, "t"), nodes), prices, on_unknown="null")
+    return priced.groupBy("t").agg(_cost())
+
+
+def _with_known(df: DataFrame, nodes: DataFrame) -> DataFrame:
+    return df.join(nodes.select("node", "instance_type", F.lit(True).alias("_known")), "node", "left")
+
+
+def _cost() -> Column:
+    # nodes outside the dimension carry traffic but are not charged
+    return F.coalesce(F.sum(F.when(F.col("_known"), F.coalesce("usd_per_hour", _no_price()))), F.lit(0.0)).alias("cost")
 
 
 def interface_columns(ifaces: Sequence[str] = ("eth0", "ogstun")) -> list[str]:
@@ -100,11 +112,8 @@ def observation_vector(
     """
     columns = interface_columns(ifaces)
     per_node = pivot_interfaces(rates, ["t", "node"], "rate", ifaces)
-    known = nodes.select("node", "instance_type", F.lit(True).alias("_known"))
-    priced = with_price(per_node.join(known, "node", "left"), prices, on_unknown="null")
-    # nodes outside the dimension carry traffic but are not charged
-    cost = F.when(F.col("_known"), F.coalesce("usd_per_hour", _no_price()))
-    return priced.groupBy("t").agg(*[F.sum(c).alias(c) for c in columns], F.coalesce(F.sum(cost), F.lit(0.0)).alias("cost"))
+    priced = with_price(_with_known(per_node, nodes), prices, on_unknown="null")
+    return priced.groupBy("t").agg(*[F.sum(c).alias(c) for c in columns], _cost())
 
 
 def total_throughput(ifaces: Sequence[str] = ("eth0", "ogstun")) -> Column:

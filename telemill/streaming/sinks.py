@@ -49,13 +49,14 @@ def latest_counts(batches: DataFrame) -> DataFrame:
 def config_updates(configs: DataFrame, path: str) -> Callable[[DataFrame, int], None]:
     """Batch function that applies config updates by compare-and-set, once per batch.
 
-    Accepted updates are written to ``path/batch=<id>``. A batch compares with the versions that the
+    Accepted updates are written to ``path/batch=<id>``, rejected ones to ``path/rejected/batch=<id>``. A batch compares with the versions that the
     batches before it left behind, never with its own output, so it can be repeated.
     """
 
     def apply(batch: DataFrame, batch_id: int) -> None:
         now = current_versions(configs, path, batch_id)
-        accepted, _ = apply_updates(now, batch.select("cfg_id", "seq", "base_sha", "body"))
+        accepted, rejected = apply_updates(now, batch.select("cfg_id", "seq", "base_sha", "body"))
+        rejected.write.mode("overwrite").parquet(f"{path}/rejected/batch={batch_id}")
         accepted.write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
 
     return apply

@@ -3,6 +3,7 @@
 import datetime as dt
 
 import pytest
+from telemill.operators.lookup import lookup_on_grid
 from pyspark.sql import functions as F
 
 from telemill.functions.labels import drop_unlabelled, equals, instance_type, matches, to_number
@@ -194,3 +195,23 @@ def test_query_sets(spark):
     assert list(one.run(spark, "")) == ["a", "b"]
     assert {r["query_name"]: r["count"] for r in one.run_as_one(spark, "").groupBy("query_name").count().collect()} == {"a": 2, "b": 3}
     assert list(QuerySet.from_builder(lambda: {"z": lambda s, d: s.range(1)}).queries) == ["z"]
+
+
+def test_any_text_only_outside_groups(spark):
+    df = spark.createDataFrame([("abc",), ("xz",), ("x|.*",), (None,)], "pod string")
+    found = lambda pattern: {r["pod"] for r in df.where(matches("pod", pattern)).collect()}
+    assert found("(x|.*|y)z") == {"xz"}
+    assert found(r"x\|.*") == {"x|.*"}
+    assert found("a|.*") == {"abc", "xz", "x|.*", None}
+
+
+def test_gaps_hide_no_sample(spark):
+    rows = [("a", 10, 5.0), ("a", 50, None), ("a", 55, float("nan")), ("b", 20, float("nan"))]
+    samples = spark.createDataFrame(rows, "pod string, s long, v double").selectExpr("pod", "timestamp_seconds(s) as ts", "v")
+    assert [(r["pod"], r["v"]) for r in lookup_on_grid(samples, ["pod"], "1 minute", "1 minute").collect()] == [("a", 5.0)]
+
+
+def test_times_of_unknown_nodes_cost_nothing(spark):
+    used = spark.createDataFrame([(1, "n1"), (1, "n9"), (2, "n9")], "t int, node string")
+    known = spark.createDataFrame([("n1", "m4.2xlarge")], "node string, instance_type string")
+    assert {r["t"]: r["cost"] for r in infra_cost(used, known).collect()} == {1: 0.40, 2: 0.0}

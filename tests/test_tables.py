@@ -161,10 +161,14 @@ def test_trajectories_cross_chunks_but_not_episodes(spark, chunk):
     assert all(r["reward"] == r["step"] + 1 and r["next_obs"] == (r["step"] + 1) / 2 and r["next_step_type"] == 1 for r in got)
 
 
-def test_a_gap_in_the_step_numbers_is_no_transition(spark):
-    df = steps(spark, 5, ("a",)).where("step <> 3")
-    pairs = {r["step"]: r["next_obs"] for r in replay.transition_pairs(df, ["obs"]).collect()}
-    assert pairs == {1: 1.0, 2: None, 4: 2.5, 5: None}
+@pytest.mark.parametrize("chunk", [1, 2, 1000])
+def test_steps_pair_across_missing_numbers(spark, chunk):
+    df = steps(spark, 9, ("a",)).where("step not in (1, 3, 6, 7)").drop("discount", "step_type")
+    pairs = {r["step"]: r["next_step"] for r in replay.transition_pairs(df, ["step", "obs"], chunk=chunk).collect()}
+    assert pairs == {2: 4, 4: 5, 5: 8, 8: 9, 9: None}
+    assert {r["step"]: r["step_type"] for r in replay.timesteps(df).collect()} == {2: 0, 4: 1, 5: 1, 8: 1, 9: 1}
+    runs = {r["step"]: [i["step"] for i in r["items"]] for r in replay.sequences(df, 3, chunk=chunk).collect()}
+    assert runs == {2: [2, 4, 5], 4: [4, 5, 8], 5: [5, 8, 9]}
 
 
 @pytest.mark.parametrize(("n", "chunk"), [(1, 10), (2, 3), (3, 3), (5, 4)])
@@ -180,8 +184,10 @@ def test_retention_keeps_the_newest(spark, width):
     df = spark.createDataFrame([(s, s % 3) for s in seqs], "seq bigint, g int")
     for n in (1, 40, 150, 400):
         assert sorted(r["seq"] for r in replay.retain_latest(df, n, width=width).collect()) == sorted(seqs)[-n:]
-    per = replay.retain_latest(df, 5, by=["g"]).collect()
-    assert sorted(r["seq"] for r in per) == sorted(s for g in range(3) for s in sorted(x for x in seqs if x % 3 == g)[-5:])
+    for n in (5, 30, 100_000):
+        per = replay.retain_latest(df, n, by=["g"], width=width).collect()
+        assert sorted(r["seq"] for r in per) == sorted(s for g in range(3) for s in sorted(x for x in seqs if x % 3 == g)[-n:])
+    assert replay.retain_latest(df.withColumn("g", F.lit(None).cast("int")), 5, by=["g"], width=width).count() == 5
     assert replay.retain_latest(df.where("seq < 0"), 5).count() == 0
 
 
