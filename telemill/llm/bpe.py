@@ -25,7 +25,7 @@ from telemill.llm.words import text_batches
 NO_RANK = 1 << 62
 WIDTHS = (8, 16, 32)  # bytes of words that are merged together
 SHORT = 96  # parts up to which a word's array is scanned; longer words keep a heap of the same ranks
-KEPT = 400_000  # stretches whose ids a Python worker remembers at most
+KEPT = 100_000  # stretches whose ids a Python worker remembers at most
 
 #: Letters and digits of Unicode 17 and later, which the vocabulary's library takes for neither.
 LATER = (
