@@ -81,6 +81,14 @@ def all_nodes(spark, d):
     return dimensions.node_dim(ad.node_info(spark, d), "")
 
 
+def upf_history(spark, d):
+    return dimensions.node_history(ad.node_info(spark, d))
+
+
+def all_history(spark, d):
+    return dimensions.node_history(ad.node_info(spark, d), "")
+
+
 def usage(spark, d):
     return right_sizing.pod_usage(cpu(spark, d), ad.gauges(spark, d), SERIES, ["pod", "container"], RATE_D, OUTER_D, STEP)
 
@@ -103,7 +111,7 @@ def resampled(spark, d):
 
 def presence(spark, d):
     pods = ad.pod_info(spark, d).where(matches("pod", UPF))
-    return observation.windowed_presence(pods, all_nodes(spark, d), WINDOW, PERIOD, STEP, LOOKBACK)
+    return observation.windowed_presence(pods, all_history(spark, d), WINDOW, PERIOD, STEP, LOOKBACK)
 
 
 def observed(spark, d):
@@ -111,7 +119,7 @@ def observed(spark, d):
 
 
 def vectors(spark, d):
-    return transitions.hourly_observations(traffic(spark, d), TRAFFIC_KEY, upf_nodes(spark, d), TRAFFIC_D, STEP)
+    return transitions.hourly_observations(traffic(spark, d), TRAFFIC_KEY, upf_history(spark, d), TRAFFIC_D, STEP)
 
 
 VECTOR = ["rx_eth0", "rx_ogstun", "tx_eth0", "tx_ogstun", "cost"]
@@ -133,7 +141,7 @@ def user_steps(spark, d):
 def ledger(spark, d):
     return trial_plan.ledger(
         ad.counters(spark, d, "tx", where=matches("pod", UPF)), SERIES,
-        ad.pod_info(spark, d).where(matches("pod", UPF)), all_nodes(spark, d), TRAFFIC_D, STEP,
+        ad.pod_info(spark, d).where(matches("pod", UPF)), all_history(spark, d), TRAFFIC_D, STEP,
     )
 
 
@@ -451,6 +459,13 @@ def distinct_nodes(spark, d):
     return shown(rollup.used_nodes(traffic_rates(spark, d), "t"))
 
 
+@query
+def node_history(spark, d):
+    """Label changes of every node, in microseconds since the epoch."""
+    rows = all_history(spark, d)
+    return rows.select("node", "instance_type", "nodegroup", *[F.unix_micros(c).alias(c) for c in ("valid_from", "valid_to")])
+
+
 @query
 def last_label_per_node(spark, d):
     return all_nodes(spark, d)
@@ -458,7 +473,7 @@ def last_label_per_node(spark, d):
 
 @query
 def infra_cost(spark, d):
-    return shown(rollup.infra_cost(traffic_rates(spark, d), upf_nodes(spark, d)))
+    return shown(rollup.infra_cost(traffic_rates(spark, d), upf_history(spark, d)))
 
 
 @query
@@ -599,7 +614,7 @@ def window_reward(spark, d):
 
 @query
 def size_cost(spark, d):
-    sizes = trial_plan.placement_sizes(ad.pod_info(spark, d).where(matches("pod", UPF)), all_nodes(spark, d))
+    sizes = trial_plan.placement_sizes(ad.pod_info(spark, d).where(matches("pod", UPF)), all_history(spark, d))
     size = F.col("size")
     return sizes.select(
         "study_id", "trial_id", "size", dimensions.size_cost(size, "bandit").alias("bandit_cost"),

@@ -154,8 +154,8 @@ CTE["x_near"] = """select obs_t, t, x,
 CTE["x_lin"] = "select obs_t, t, coalesce(x, pv + (nv - pv) * (t - pt) / (nt - pt), pv) as x from x_near"
 CTE["x_podin"] = f"select node, us, 1 as v from x_pods where {UPF}"
 lookup_cte("x_nodeseen", "x_podin", "node", "1")
-CTE["x_typed"] = "select s.t, n.instance_type from x_nodeseen s join x_nodes n on s.node = n.node"
-CTE["x_present"] = windows_of("x_typed")
+CTE["x_seenwin"] = windows_of("x_nodeseen")
+CTE["x_present"] = "select w.obs_t, w.t, i.instance_type from x_seenwin w asof join x_info i on w.node = i.node and w.obs_t >= i.us"
 CTE["x_marks"] = """select obs_t, t, max(case when instance_type = 'm4.xlarge' then 1.0 end) as large,
   max(case when instance_type = 't3.medium' then 1.0 end) as small from x_present group by obs_t, t"""
 CTE["x_firston"] = """select g.obs_t, min(case when m.large = 1 then g.t end) as large_from, min(case when m.small = 1 then g.t end) as small_from
@@ -174,8 +174,9 @@ CTE["x_pivot"] = """select t, sum(case when direction = 'rx' and iface = 'eth0'
   sum(case when direction = 'tx' and iface = 'eth0' then rate end) as tx_eth0,
   sum(case when direction = 'tx' and iface = 'ogstun' then rate end) as tx_ogstun from x_trate group by t"""
 CTE["x_used"] = "select distinct t, node from x_trate"
-CTE["x_cost"] = """select u.t, coalesce(sum(p.usd_per_hour), 0) as cost from x_used u left join x_upf_nodes n on u.node = n.node
-  left join x_price p on n.instance_type = p.instance_type group by u.t"""
+CTE["x_usedas"] = "select u.t, i.instance_type, i.nodegroup from x_used u asof left join x_info i on u.node = i.node and u.t >= i.us"
+CTE["x_cost"] = """select u.t, coalesce(sum(p.usd_per_hour), 0) as cost from x_usedas u
+  left join x_price p on u.instance_type = p.instance_type and regexp_full_match(u.nodegroup, 'upf.*') group by u.t"""
 CTE["x_vec"] = """select v.*, coalesce(c.cost, 0) as cost,
   coalesce(rx_eth0, 0) + coalesce(rx_ogstun, 0) + coalesce(tx_eth0, 0) + coalesce(tx_ogstun, 0) as throughput from x_pivot v left join x_cost c using (t)"""
 CTE["x_vecr"] = "select *, throughput * (cast(3.33 as double) / 1000000000) * 3600.0 - cost as reward from x_vec"
@@ -228,8 +229,8 @@ CTE["x_judged"] = """select u.*, c.sha as now_sha, u.base_sha = c.sha and
 CTE["x_tx"] = f"select * from x_counter where kind = 'tx' and {UPF}"
 increase_cte("x_txrate", "x_tx", SERIES, TRAFFIC_D, STEP)
 CTE["x_podrate"] = "select t, pod, sum(rate) as rate from x_txrate group by t, pod"
-CTE["x_place"] = f"""select pod as study_id, us as t, arg_min(nodegroup, p.node) as grp from x_pods p join x_nodes n on p.node = n.node
-  where {UPF} group by pod, us"""
+CTE["x_podas"] = "select p.pod, p.node, p.us, i.nodegroup from x_pods p asof join x_info i on p.node = i.node and p.us >= i.us"
+CTE["x_place"] = f"select pod as study_id, us as t, arg_min(nodegroup, node) as grp from x_podas where {UPF} group by pod, us"
 CTE["x_sizes"] = f"""select study_id, t, t // {HOUR} as trial_id,
   case when grp like '%large' then 'Large' when grp like '%small' then 'Small' end as size from x_place"""
 CTE["x_ledger"] = """select s.study_id, s.trial_id, s.size, r.rate as throughput,
@@ -321,6 +322,9 @@ sql("sum_by_interface", "select cast(t // 1000000 as bigint) as t, direction, if
 sql("observation_pivot", f"select {secs('t')}, {rnd('rx_eth0')}, {rnd('rx_ogstun')}, {rnd('tx_eth0')}, {rnd('tx_ogstun')} from x_pivot")
 sql("distinct_nodes", f"select {secs('t')}, node from x_used")
 sql("last_label_per_node", "select node, instance_type, nodegroup from x_nodes")
+sql("node_history", """select node, instance_type, nodegroup, us as valid_from, lead(us) over (partition by node order by us) as valid_to
+  from (select *, lag(instance_type) over w is distinct from instance_type or lag(nodegroup) over w is distinct from nodegroup as new
+  from (select distinct node, us, instance_type, nodegroup from x_info) window w as (partition by node order by us)) where new""")
 sql("infra_cost", f"select {secs('t')}, {rnd('cost')} from x_cost")
 sql("total_throughput", f"select {secs('t')}, {rnd('throughput')} from x_vec")
 CTE["x_reward"] = f"""select obs_t, arg_max(throughput, slot) as throughput, sum(large_on) / {SAMPLES} as on_large, sum(small_on) / {SAMPLES} as on_small

@@ -64,8 +64,10 @@ def interpolate(df: DataFrame, by: Sequence[str] = OBS, t: str = "t", value: str
 def update_flags(grid: DataFrame, marks: DataFrame, flags: Sequence[str], by: Sequence[str] = OBS, t: str = "t") -> DataFrame:
     """Overwrite flag columns where a mark has exactly the grid row's time and a value.
 
-    Marks off the grid have no effect. Both sides are stacked and grouped once instead of joined.
+    Marks off the grid have no effect. Marks are reduced to one row per window and time, combined before
+    they are shuffled by both; then both sides are stacked and grouped once instead of joined.
     """
+    marks = marks.groupBy(*by, t).agg(*[F.max(f).alias(f) for f in flags])
     others = [c for c in grid.columns if c not in (*by, t, *flags)]
     stacked = grid.withColumn("_grid", F.lit(True)).unionByName(marks.select(*by, t, *flags), allowMissingColumns=True)
     own = [F.max(F.when(F.col("_grid"), F.col(f))) for f in flags]

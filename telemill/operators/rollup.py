@@ -41,9 +41,23 @@ def only_used(nodes: DataFrame, seen: DataFrame) -> DataFrame:
     return nodes.join(seen.select("node").distinct(), "node", "left_semi")
 
 
-def with_instance(df: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Add each node's instance type. Whether the dimension is broadcast is left to its measured size."""
-    return df.join(nodes.select("node", "instance_type"), "node")
+def with_instance(df: DataFrame, nodes: DataFrame, t: str = "t") -> DataFrame:
+    """Add each node's instance type: that of ``t`` if ``nodes`` is a node history."""
+    return labelled(df, nodes, ["instance_type"], t)
+
+
+def labelled(df: DataFrame, nodes: DataFrame, columns: Sequence[str], t: str = "t", how: str = "inner") -> DataFrame:
+    """Add ``columns`` of the node dimension; of a node history, those in force at ``t``.
+
+    Either is joined on the node. A history holds few ranges per node, of which one at most holds ``t``.
+    Whether the dimension is broadcast is left to its measured size.
+    """
+    if "valid_from" not in nodes.columns:
+        return df.join(nodes.select("node", *columns), "node", how)
+    ranges = nodes.select(F.col("node").alias("_node"), F.col("valid_from").alias("_from"), F.col("valid_to").alias("_to"), *columns)
+    time = F.col(t).cast("timestamp")
+    in_force = (time >= F.col("_from")) & (F.col("_to").isNull() | (time < F.col("_to")))
+    return df.join(ranges, (F.col("node") == F.col("_node")) & in_force, how).drop("_node", "_from", "_to")
 
 
 def with_price(df: DataFrame, prices: Mapping[str, float] | DataFrame = PRICES, on_unknown: str = "error") -> DataFrame:
@@ -73,14 +87,14 @@ def unknown_instance_types(df: DataFrame, prices: Mapping[str, float] | DataFram
 def infra_cost(traffic: DataFrame, nodes: DataFrame, prices: Mapping[str, float] | DataFrame = PRICES) -> DataFrame:
     """Hourly cost of the known nodes in use at each ``t``, every node counted once ``(t, cost)``.
 
-    A time at which only unknown nodes are in use costs 0.
+    With a node history, a node costs what its type of that time costs. A time at which only unknown nodes are in use costs 0.
     """
     priced = with_price(_with_known(used_nodes(traffic, "t"), nodes), prices, on_unknown="null")
     return priced.groupBy("t").agg(_cost())
 
 
 def _with_known(df: DataFrame, nodes: DataFrame) -> DataFrame:
-    return df.join(nodes.select("node", "instance_type", F.lit(True).alias("_known")), "node", "left")
+    return labelled(df, nodes.withColumn("_known", F.lit(True)), ["instance_type", "_known"], how="left")
 
 
 def _cost() -> Column:

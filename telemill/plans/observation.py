@@ -29,9 +29,12 @@ def throughput_series(samples: DataFrame, key: Sequence[str], step, lookback="5
 
 
 def windowed_presence(pods: DataFrame, nodes: DataFrame, window, period, step, lookback="5 minutes") -> DataFrame:
-    """Instance types in use at each grid time of each window ``(obs_t, t, instance_type)``."""
-    seen = lookup_on_grid(pods, ["node"], step, lookback, value=None)
-    return observation_windows(with_instance(seen, nodes), window, period).select("obs_t", "t", "instance_type")
+    """Instance types in use at each grid time of each window ``(obs_t, t, instance_type)``.
+
+    With a node history, the types are those that an observer at ``obs_t`` reads.
+    """
+    seen = observation_windows(lookup_on_grid(pods, ["node"], step, lookback, value=None), window, period)
+    return with_instance(seen, nodes, "obs_t").select("obs_t", "t", "instance_type")
 
 
 def observations(

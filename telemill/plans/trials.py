@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from telemill.functions.timegrid import epoch_us
 from telemill.operators.rangefn import rate
-from telemill.operators.rollup import sum_by
+from telemill.operators.rollup import labelled, sum_by
 from telemill.operators.trials import trial_ledger
 
 
@@ -19,12 +19,12 @@ def pod_throughput(counters: DataFrame, key: Sequence[str], d="1 hour", step="1
 
 
 def placement_sizes(pods: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Size in force per pod and hour, read off the nodegroup of the pod's node.
+    """Size in force per pod and hour, read off the nodegroup of the pod's node (at that time, if ``nodes`` is a node history).
 
     Where a pod was seen on several nodes in one hour, the first by name counts. ``nodes`` is
     ``(node, nodegroup)``; a nodegroup that names no size gives NULL.
     """
-    placed = pods.join(nodes.select("node", "nodegroup"), "node")
+    placed = labelled(pods, nodes, ["nodegroup"], "ts")
     one = placed.groupBy(F.col("pod").alias("study_id"), F.col("ts").alias("t")).agg(F.min_by("nodegroup", "node").alias("_group"))
     size = F.when(F.col("_group").endswith("large"), "Large").when(F.col("_group").endswith("small"), "Small")
     return one.select("study_id", F.floor(epoch_us("t") / F.lit(3600 * 10**6)).cast("bigint").alias("trial_id"), "t", size.alias("size"))

@@ -5,10 +5,11 @@ from __future__ import annotations
 from collections.abc import Mapping
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from telemill.functions.labels import instance_type, matches, nodegroup
+from telemill.functions.timegrid import at, epoch_us, floor_to, micros
 
 # fixed values: USD per hour by instance type
 PRICES = {"t2.micro": 0.0116, "t3.medium": 0.0416, "m4.large": 0.10, "m4.xlarge": 0.20, "m4.2xlarge": 0.40}
@@ -48,6 +49,34 @@ def last_label_per_node(rows: DataFrame) -> DataFrame:
     return sets.groupBy("node").agg(newest).select("node", "_last.instance_type", "_last.nodegroup")
 
 
+def node_history(info: DataFrame, nodegroup_pattern: str = "upf.*") -> DataFrame:
+    """Labels of each node over time ``(node, instance_type, nodegroup, valid_from, valid_to)``, one row per change.
+
+    Labels hold from the sample that first shows them, ``valid_from``, until other labels are seen, ``valid_to``
+    (NULL: still). Of several samples at one time the largest labels count. The nodegroup is matched after
+    the ranges are made, so a node that leaves the group is out of it from then on. Samples without node
+    or time are left out.
+
+    Changes are found within each node and hour first; a node's hours meet in one task only as one row
+    per hour and change.
+    """
+    rows = info.where(F.col("node").isNotNull() & F.col("ts").isNotNull()).select(
+        "node", epoch_us("ts").alias("_e"), F.struct(instance_type("labels").alias("instance_type"), nodegroup("labels").alias("nodegroup")).alias("_labels")
+    )
+    hourly = rows.withColumn("_hour", floor_to(F.col("_e"), micros("1 hour")))
+    changes = _changes(hourly, Window.partitionBy("node", "_hour").orderBy("_e", "_labels"))
+    whole = Window.partitionBy("node").orderBy("_e", "_labels")
+    ranges = _changes(changes, whole).withColumn("_end", F.lead("_e").over(whole)).where(F.col("_end").isNull() | (F.col("_end") > F.col("_e")))
+    out = ranges.select("node", "_labels.*", at(F.col("_e")).alias("valid_from"), at(F.col("_end")).alias("valid_to"))
+    return out.where(matches("nodegroup", nodegroup_pattern)) if nodegroup_pattern else out
+
+
+def _changes(rows: DataFrame, ordered) -> DataFrame:
+    """Rows whose labels differ from the row's before them, and each group's first row."""
+    before = rows.withColumn("_before", F.lag("_labels").over(ordered))
+    return before.where(F.col("_before").isNull() | ~F.col("_before").eqNullSafe(F.col("_labels"))).drop("_before")
+
+
 def price_dim(spark: SparkSession, prices: Mapping[str, float] = PRICES) -> DataFrame:
     """Price list as a DataFrame ``(instance_type, usd_per_hour)``."""
     table = pa.table({"instance_type": list(prices), "usd_per_hour": pa.array(prices.values(), pa.float64())})

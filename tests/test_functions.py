@@ -215,3 +215,26 @@ def test_times_of_unknown_nodes_cost_nothing(spark):
     used = spark.createDataFrame([(1, "n1"), (1, "n9"), (2, "n9")], "t int, node string")
     known = spark.createDataFrame([("n1", "m4.2xlarge")], "node string, instance_type string")
     assert {r["t"]: r["cost"] for r in infra_cost(used, known).collect()} == {1: 0.40, 2: 0.0}
+
+
+def test_labels_hold_from_one_change_to_the_next(spark):
+    rows = [("n1", 10, "old", "upf-a"), ("n1", 20, "old", "upf-a"), ("n1", 4000, "new", "upf-a"), ("n1", 4010, "old", "upf-a"),
+            ("n1", 9000, "old", "upf-a"), ("n1", 9000, "tie", "upf-a"), ("n1", 20000, "new", "other"), ("n2", 5, None, None), (None, 1, "x", "upf-x")]
+    info = spark.createDataFrame(rows, "node string, s long, i string, g string").select(
+        "node", F.timestamp_seconds("s").alias("ts"), F.create_map(
+            F.lit("label_node_kubernetes_io_instance_type"), "i", F.lit("label_eks_amazonaws_com_nodegroup"), "g").alias("labels"))
+    seconds = [F.unix_seconds(c).alias(c) for c in ("valid_from", "valid_to")]
+    got = {tuple(r) for r in dimensions.node_history(info, "").select("node", "instance_type", *seconds).collect()}
+    assert got == {("n1", "old", 10, 4000), ("n1", "new", 4000, 4010), ("n1", "old", 4010, 9000), ("n1", "tie", 9000, 20000),
+                   ("n1", "new", 20000, None), ("n2", None, 5, None)}
+    kept = {tuple(r) for r in dimensions.node_history(info).select("instance_type", *seconds).collect()}
+    assert kept == {("old", 10, 4000), ("new", 4000, 4010), ("old", 4010, 9000), ("tie", 9000, 20000)}
+    assert dimensions.node_history(info.limit(0)).count() == 0
+
+
+def test_cost_takes_the_type_of_its_time(spark):
+    history = spark.sql("""select 'n1' node, 'm4.2xlarge' instance_type, timestamp'2024-01-01' valid_from, timestamp'2024-01-03' valid_to
+        union all select 'n1', 't2.micro', timestamp'2024-01-03', null""")
+    used = spark.sql("select 'n1' node, explode(array(timestamp'2023-12-31', timestamp'2024-01-02', timestamp'2024-01-03')) t")
+    got = {r["d"]: r["cost"] for r in infra_cost(used, history).select(F.dayofmonth("t").alias("d"), "cost").collect()}
+    assert got == {31: 0.0, 2: 0.40, 3: 0.0116}

@@ -95,3 +95,9 @@ def test_no_cross_join_and_no_python(spark, sf_dir, name):
     text = plan(spark_entry.queries()[name](spark, sf_dir))
     for word in ("CartesianProduct", "BroadcastNestedLoopJoin", "Python", "ArrowEval", "MapInPandas"):
         assert word not in text
+
+
+def test_presence_is_reduced_before_it_is_shuffled_by_window(spark, sf_dir):
+    assert shuffles(batch.presence(spark, sf_dir)).count("obs_t") == 0
+    flagged = shuffles(batch.QUERIES["grid_flag_update"](spark, sf_dir))
+    assert "obs_t, t" in flagged
