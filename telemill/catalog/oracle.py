@@ -409,10 +409,19 @@ CTE["x_amfgauge"] = "select * from x_gauge where contains(pod, 'amf')"
 CTE["x_amfcpu"] = "select * from x_cpu where contains(pod, 'amf')"
 sql("stream_actions", f"""select {secs('t')}, pod, 'amf' as target_pod, {sizing()} from x_usage where contains(pod, 'amf')
   and {closed('x_amfgauge')} and {closed('x_amfcpu')}""")
-sql("stream_config_updates", """select cfg_id, case when cfg_id % 2 = 0 then sha256(limits_body) when cfg_id % 7 <> 0 then sha256(group_body) else sha end as sha from x_cfg""")
+# the first of a document's two updates wins, and so does the second if the first left the text as it was
+CTE["x_turns"] = """select cfg_id, sha, body, case when cfg_id % 2 = 0 then limits_body when cfg_id % 7 <> 0 then group_body else body end as first,
+  case when cfg_id % 2 = 1 then limits_body when cfg_id % 7 <> 0 then group_body end as second from x_cfg"""
+sql("stream_config_updates", "select cfg_id, sha256(case when first = body then coalesce(second, first) else first end) as sha from x_turns")
+sql("stream_rejected_updates", """select cfg_id, cfg_id * 2 + case when cfg_id % 2 = 0 then 1 else 0 end as seq, sha as base_sha from x_turns
+  where first <> body and second is not null""")
 CTE["x_pairs"] = """select a.*, b.seq as next_seq, b.throughput as next_throughput, b.action as next_action
   from x_steps a join x_steps b on a.episode = b.episode and b.step = a.step + 1"""
 sql("stream_transitions", "select * from x_pairs")
+CTE["x_stepgap"] = """select user_id as episode, cast(row_number() over w as bigint) as step, event_id as seq, epoch_us(cast(ts as timestamp)) as us,
+  lead(epoch_us(cast(ts as timestamp))) over w as next_us from events window w as (partition by user_id order by ts, event_id)"""
+sql("stream_unpaired_steps", f"""select episode, step, seq from x_stepgap where (next_us is null or next_us > us + {3 * DAY})
+  and us + {3 * DAY} < ((select max(us) from x_stepgap) // 1000) * 1000 - {HOUR}""")
 sql("replay_stream", "select episode, step, seq, action, next_seq, next_throughput from x_pairs")
 sql("stream_step_counter", "select user_id as episode, count(*) as steps from events group by user_id")
 CTE["x_mark"] = f"select (max(us) // 1000) * 1000 - {15 * DAY} as mark from x_gauge"

@@ -19,7 +19,7 @@ from telemill.streaming import rates, right_size, sinks, transitions
 QUERIES: dict = {}
 DELAY = "1 hour"
 SPREAD = "15 days"
-GAP = "40 days"
+GAP, SHORT_GAP = "40 days", "3 days"
 
 
 def query(fn):
@@ -86,19 +86,29 @@ def stream_actions(spark, d):
     ))
 
 
-@query
-def stream_config_updates(spark, d):
-    """Updates of the config documents arrive in two deliveries; the second is made from old versions."""
+def _config_log(spark, d):
+    """Updates of the config documents arrive in three deliveries, the later ones made from old versions."""
     configs = ad.configs(spark, d)
     limits = config.as_updates(config.patch_limits(configs, ad.limit_actions(spark, d), "amf"), F.col("cfg_id") * 2)
     groups = config.as_updates(config.patch_nodegroup(configs, ad.nodegroup_actions(spark, d), "upf"), F.col("cfg_id") * 2 + 1)
-    path = scratch_dir(spark, "updates")
-    limits.where(F.col("cfg_id") % 2 == 0).write.parquet(path)
-    log, checkpoint = scratch_dir(spark, "versions"), scratch_dir(spark, "checkpoint")
-    sinks.start(stream_of(spark, path), checkpoint, sinks.config_updates(configs, log), available_now=True).awaitTermination()
-    groups.write.mode("append").parquet(path)
-    sinks.start(stream_of(spark, path), checkpoint, sinks.config_updates(configs, log), available_now=True).awaitTermination()
-    return sinks.current_versions(configs, log)
+    path, log, checkpoint = scratch_dir(spark, "updates"), scratch_dir(spark, "versions"), scratch_dir(spark, "checkpoint")
+    even = F.col("cfg_id") % 2 == 0
+    for delivery in (limits.where(even), groups, limits.where(~even)):
+        delivery.write.mode("append").parquet(path)
+        sinks.start(stream_of(spark, path), checkpoint, sinks.config_updates(configs, log), available_now=True).awaitTermination()
+    return configs, log
+
+
+@query
+def stream_config_updates(spark, d):
+    return sinks.current_versions(*_config_log(spark, d))
+
+
+@query
+def stream_rejected_updates(spark, d):
+    """Updates that were made from a version that another update had replaced."""
+    _, log = _config_log(spark, d)
+    return sinks.read_batches(spark, f"{log}/rejected").select("cfg_id", "seq", "base_sha")
 
 
 def _transitions(spark, d):
@@ -111,6 +121,14 @@ def stream_transitions(spark, d):
     return shown(run(spark, _transitions(spark, d).drop("ts")))
 
 
+@query
+def stream_unpaired_steps(spark, d):
+    """Steps whose successor came more than three days later or not at all."""
+    path = landed(spark, ad.steps(spark, d, with_ts=True).select("episode", "step", "seq", "ts"))
+    waiting = transitions.stream_unpaired_steps(stream_of(spark, path), stream_of(spark, path), SHORT_GAP, DELAY)
+    return run(spark, waiting.drop("ts"))
+
+
 @query
 def replay_stream(spark, d):
     """Every transition appended to the replay table."""
@@ -139,7 +157,11 @@ def late_samples(spark, d):
     landed(spark, rows.where(day <= 15), path)
     out = scratch_dir(spark, "kept")
     kept = sinks.without_repeats(stream_of(spark, path, maxFilesPerTrigger=1), ["event_id"], SPREAD)
+    late = sinks.record_late(spark, scratch_dir(spark, "late"))
     query = sinks.start(kept, scratch_dir(spark, "checkpoint"), out, available_now=True)
     query.awaitTermination()
-    late = sinks.dropped_rows(query)
-    return spark.read.parquet(out).agg(F.count("*").alias("kept")).withColumn("late", F.lit(late).cast("bigint"))
+    late.finish(query)
+    spark.streams.removeListener(late)
+    mine = sinks.late_rows(spark, late.path).where(F.col("query") == str(query.id))
+    counts = spark.read.parquet(out).select(F.lit(1).alias("kept"), F.lit(0).alias("late")).unionByName(mine.select(F.lit(0).alias("kept"), "late"))
+    return counts.agg(F.sum("kept").cast("bigint").alias("kept"), F.sum("late").alias("late"))

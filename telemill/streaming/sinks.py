@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+import threading
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming import StreamingQuery, StreamingQueryListener
 
 from telemill.operators.config import apply_updates
 
@@ -73,12 +74,57 @@ def current_versions(configs: DataFrame, path: str, before_batch: int | None = N
     return start_rows.unionByName(log).groupBy("cfg_id").agg(F.max_by("sha", "_batch").alias("sha"))
 
 
-def dropped_rows(query: StreamingQuery) -> int:
-    """Rows that the stream's stateful steps dropped because they were older than the watermark.
+class LateRows(StreamingQueryListener):
+    """Writes how many rows each batch dropped as older than the watermark to a shared folder.
 
-    Aggregates count rows after partial combination; a deduplicating step counts input rows.
+    The count is of any number of batches and outlives restarts; a batch that is reported again counts once.
+    Aggregates count rows after partial combination; a deduplicating step counts input rows. Attach with
+    ``record_late`` before the streams start; all streams of the session are recorded.
     """
-    return sum(state.numRowsDroppedByWatermark for progress in query.recentProgress for state in progress.stateOperators)
+
+    def __init__(self, spark: SparkSession, path: str):
+        self._spark, self.path = spark, path
+        self._ended: set[str] = set()
+        self._changed = threading.Condition()
+
+    def onQueryStarted(self, event) -> None:
+        pass
+
+    def onQueryProgress(self, event) -> None:
+        late = sum(state.numRowsDroppedByWatermark for state in event.progress.stateOperators)
+        if late:
+            self._write(str(event.progress.id), event.progress.batchId, late)
+
+    def onQueryIdle(self, event) -> None:
+        pass
+
+    def onQueryTerminated(self, event) -> None:
+        with self._changed:
+            self._ended.add(str(event.runId))
+            self._changed.notify_all()
+
+    def _write(self, query: str, batch: int, late: int, rows: int = 1) -> None:
+        values = F.lit(query).alias("query"), F.lit(batch).cast("bigint").alias("batch"), F.lit(late).cast("bigint").alias("late")
+        self._spark.range(0, rows, 1, 1).select(*values).write.mode("append").parquet(self.path)
+
+    def finish(self, query: StreamingQuery, seconds: float = 600) -> None:
+        """Wait until all reports of a stopped stream are written: they arrive after the stream has ended."""
+        with self._changed:
+            if not self._changed.wait_for(lambda: str(query.runId) in self._ended, seconds):
+                raise TimeoutError("the stream's last reports have not arrived")
+
+
+def record_late(spark: SparkSession, path: str) -> LateRows:
+    """Attach a recorder of late rows; ``spark.streams.removeListener`` detaches it."""
+    recorder = LateRows(spark, path)
+    recorder._write("", 0, 0, rows=0)  # a folder without rows can be read
+    spark.streams.addListener(recorder)
+    return recorder
+
+
+def late_rows(spark: SparkSession, path: str) -> DataFrame:
+    """Late rows per stream and batch ``(query, batch, late)``."""
+    return spark.read.parquet(path).groupBy("query", "batch").agg(F.max("late").alias("late"))
 
 
 def without_repeats(df: DataFrame, ids: list[str], delay: str, ts: str = "ts") -> DataFrame:

@@ -15,16 +15,32 @@ def stream_transitions(
 
     ``steps`` and ``following`` are two reads of the same stream ``(episode, step, ts, ...)``. They
     are joined on episode and step number, so an episode with very many steps is spread over all
-    tasks. A step waits for its successor until the watermark has passed ``max_gap``.
+    tasks. A step waits for its successor until the watermark has passed ``max_gap``;
+    ``stream_unpaired_steps`` reports those that wait in vain.
     """
+    joined = _followed(steps, following, columns, max_gap, delay, ts, "inner")
+    return joined.drop("_episode", "_step", "_ts")
+
+
+def stream_unpaired_steps(
+    steps: DataFrame, following: DataFrame, max_gap: str, delay: str = "5 minutes", ts: str = "ts"
+) -> DataFrame:
+    """Steps that ``stream_transitions`` leaves out: no successor came within ``max_gap``.
+
+    A step is reported once the watermark has passed ``max_gap`` after it; an episode's last step is one of them.
+    """
+    joined = _followed(steps, following, [], max_gap, delay, ts, "leftOuter")
+    return joined.where(F.col("_step").isNull()).drop("_episode", "_step", "_ts")
+
+
+def _followed(steps: DataFrame, following: DataFrame, columns: Sequence[str], max_gap: str, delay: str, ts: str, how: str) -> DataFrame:
     now = steps.withWatermark(ts, delay)
     after = following.withWatermark(ts, delay).select(
         F.col("episode").alias("_episode"), F.col("step").alias("_step"), F.col(ts).alias("_ts"),
         *[F.col(c).alias(f"next_{c}") for c in columns],
     )
     in_reach = (F.col("_ts") >= F.col(ts)) & (F.col("_ts") <= F.col(ts) + F.expr(f"interval {max_gap}"))
-    joined = now.join(after, (F.col("episode") == F.col("_episode")) & (F.col("step") + 1 == F.col("_step")) & in_reach)
-    return joined.drop("_episode", "_step", "_ts")
+    return now.join(after, (F.col("episode") == F.col("_episode")) & (F.col("step") + 1 == F.col("_step")) & in_reach, how)
 
 
 def stream_step_counts(steps: DataFrame) -> DataFrame:

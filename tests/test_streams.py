@@ -143,10 +143,29 @@ def test_late_and_repeated_samples(spark):
     for part in ([at(60, i) for i in range(5)], [at(61, 0), at(60, 0)], [at(1, i) for i in range(7)] + [at(62, 0)]):
         deliver(frame(spark, part), path)
     kept = sinks.without_repeats(stream(spark, path), ["k"], "10 minutes")
-    query = sinks.start(kept, scratch_dir(spark, "cp"), out, available_now=True)
+    late, cp = sinks.record_late(spark, scratch_dir(spark, "late")), scratch_dir(spark, "cp")
+    query = sinks.start(kept, cp, out, available_now=True)
     query.awaitTermination()
+    late.finish(query)
     assert spark.read.parquet(out).count() == 5 + 1 + 1
-    assert sinks.dropped_rows(query) == 7
+    # 110 batches of one late row each, more than the stream itself remembers, after a restart
+    frame(spark, [at(2, i) for i in range(110)]).repartition(110).write.mode("append").parquet(path)
+    more = sinks.start(sinks.without_repeats(stream(spark, path), ["k"], "10 minutes"), cp, out, available_now=True)
+    more.awaitTermination()
+    late.finish(more)
+    spark.streams.removeListener(late)
+    assert more.id == query.id
+    assert sinks.late_rows(spark, late.path).agg(F.sum("late")).first()[0] == 7 + 110
+
+
+def test_steps_without_a_near_successor_are_reported(spark):
+    schema = "episode string, step bigint, ts timestamp"
+    rows = [("a", 1, 0), ("a", 2, 30), ("a", 3, 300), ("b", 1, 10), ("c", 1, 9000)]
+    path, out = scratch_dir(spark, "in"), scratch_dir(spark, "out")
+    deliver(frame(spark, [(e, i, T0 + dt.timedelta(seconds=s)) for e, i, s in rows], schema), path)
+    df = transitions.stream_unpaired_steps(stream(spark, path, schema), stream(spark, path, schema), "1 minute", "1 minute")
+    sinks.start(df, scratch_dir(spark, "cp"), out, available_now=True).awaitTermination()
+    assert sorted((r["episode"], r["step"]) for r in spark.read.parquet(out).collect()) == [("a", 2), ("a", 3), ("b", 1)]
 
 
 def test_scratch_needs_a_shared_folder_on_a_cluster(spark):

@@ -14,12 +14,12 @@ from telemill.sources.samples import read_samples, write_samples
 
 VECTOR = (
     '{"status":"success","data":{"resultType":"vector","result":['
-    '{"metric":{"pod":"open5gs-smf-684588d586-gbqss"},"value":[1681230632.08,"87298048"]},'
-    '{"metric":{},"value":[1681230632.08,"NaN"]},{"metric":{"pod":"b"},"value":[1681230632,"x"]}]}}'
+    '{"metric":{"pod":"web-7"},"value":[1700000000.25,"4096"]},'
+    '{"metric":{},"value":[1700000000.25,"NaN"]},{"metric":{"pod":"b"},"value":[1700000000,"x"]}]}}'
 )
 MATRIX = (
     '{"status":"success","data":{"resultType":"matrix","result":['
-    '{"metric":{"pod":"a","node":"n"},"values":[[1681230632,"1"],[1681230692.5,"2.5"]]}]}}'
+    '{"metric":{"pod":"a","node":"n"},"values":[[1700000000,"1"],[1700000060.5,"2.5"]]}]}}'
 )
 FAILED = '{"status":"error","errorType":"timeout"}'
 
@@ -33,7 +33,7 @@ def test_instant_answers(spark):
         "id", F.col("labels")["pod"].alias("pod"), F.unix_micros("ts").alias("us"), "v"
     ).collect()
     assert [r["id"] for r in rows] == [0, 0, 0]
-    assert (rows[0]["pod"], rows[0]["us"], rows[0]["v"]) == ("open5gs-smf-684588d586-gbqss", 1681230632080000, 87298048.0)
+    assert (rows[0]["pod"], rows[0]["us"], rows[0]["v"]) == ("web-7", 1700000000250000, 4096.0)
     assert rows[1]["pod"] is None
     assert rows[1]["v"] != rows[1]["v"]
     assert rows[2]["v"] is None
@@ -41,7 +41,14 @@ def test_instant_answers(spark):
 
 def test_range_answers(spark):
     rows = parse_range(bodies(spark, MATRIX, FAILED)).select(F.col("labels")["node"].alias("n"), F.unix_micros("ts").alias("us"), "v").collect()
-    assert [tuple(r) for r in rows] == [("n", 1681230632000000, 1.0), ("n", 1681230692500000, 2.5)]
+    assert [tuple(r) for r in rows] == [("n", 1700000000000000, 1.0), ("n", 1700000060500000, 2.5)]
+
+
+def test_stamps_that_are_no_number_and_answers_of_the_other_kind(spark):
+    odd = VECTOR.replace('[1700000000.25,"4096"]', '["soon","4096"]')
+    rows = parse_instant(bodies(spark, odd, MATRIX)).collect()
+    assert [(r["id"], r["ts"] is None) for r in rows] == [(0, True), (0, False), (0, False)]
+    assert parse_range(bodies(spark, odd, MATRIX)).select("id").distinct().collect() == [(1,)]
 
 
 def test_failed_answers_are_reported(spark):
