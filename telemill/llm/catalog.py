@@ -69,6 +69,10 @@ def similar(spark: SparkSession, sf_dir: str) -> DataFrame:
     return Join(words=3, percent=90).clusters(load(spark, sf_dir, "documents"))
 
 
+def similar_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return Join(words=3, percent=90).linked(load(spark, sf_dir, "documents"))
+
+
 def licensed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scanned(load(spark, sf_dir, "documents")).select(
         "doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score"
@@ -85,5 +89,6 @@ QUERIES: dict[str, Query] = {
     "op7_pivot_distance_search": nearest,
     "op8_redirect_equivalence": judged_urls,
     "op9_ngram_jaccard_join": similar,
+    "op9_ngram_jaccard_links": similar_links,
     "op10_license_scan": licensed,
 }

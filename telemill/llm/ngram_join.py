@@ -159,6 +159,8 @@ class Join:
     def links(self, docs: DataFrame, heads: DataFrame, order: Broadcast) -> DataFrame:
         """(a, b): links between class representatives that join all linked ones, though not every link in a cluster.
 
+        This is for callers that need components alone; ``all_links`` has every link.
+
         Rows of the first order's prefix tokens meet by token. First each is compared with one pivot of its token,
         the one that shares most; what that links is one cluster and needs no more comparing. Then all rows of a
         token that lie in different clusters are compared, so no link between clusters is missed.
@@ -175,26 +177,99 @@ class Join:
         rows = known.drop("held").join(components(first).withColumnRenamed("node", "doc_id"), "doc_id", "left")
         rows = stored(rows.withColumn("component", F.coalesce("component", "doc_id")), "rows")
         spread = rows.groupBy("token").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("held"))
+        rest = self._met(rows, spread.where("low < high"), heads, "component")
+        return first.unionByName(self._verified(_ordered(rest), docs, heads, order))
+
+    def all_links(self, docs: DataFrame, heads: DataFrame, order: Broadcast) -> DataFrame:
+        """(a, b): every link between class representatives, a < b. All rows of a token are compared."""
+        post = heads.select("doc_id", "n", F.posexplode("prefix0").alias("at", "token"))
+        often = post.groupBy("token").agg(F.count("*").alias("held")).where("held > 1")
+        return self._verified(_ordered(self._met(post, often, heads, "doc_id")), docs, heads, order)
+
+    def _met(self, rows: DataFrame, tokens: DataFrame, heads: DataFrame, apart: str) -> DataFrame:
+        """Pairs x, y of rows of one of ``tokens`` (token, held) that sizes, places and sketches allow, with x.apart < y.apart.
+
+        A token's rows are dealt to parts; each part meets all of them.
+        """
         parts = ((F.col("held") / GROUP).cast("int") + 1).alias("parts")
-        open_rows = rows.join(spread.where("low < high").select("token", parts), "token")
+        open_rows = rows.join(tokens.select("token", parts), "token")
         open_rows = stored(open_rows.join(heads.select("doc_id", *BITS), "doc_id"), "open")
         left = open_rows.withColumn("part", F.pmod(F.xxhash64("doc_id"), F.col("parts")).cast("int"))
         right = open_rows.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
         differ = sum((F.bit_count(F.col(f"x.{b}").bitwiseXOR(F.col(f"y.{b}"))) for b in BITS), F.lit(0))
-        rest = left.alias("x").join(
+        return left.alias("x").join(
             right.alias("y"),
-            F.expr("x.token = y.token and x.part = y.part and x.component < y.component")
+            F.expr(f"x.token = y.token and x.part = y.part and x.{apart} < y.{apart}")
             & self._sized("x", "y") & self._sketched(F.col("x.n"), F.col("y.n"), differ),
         )
-        return first.unionByName(self._verified(_ordered(rest), docs, heads, order))
 
-    def clusters(self, docs: DataFrame) -> DataFrame:
-        """Per row of ``docs``: doc_id, n_shingles, component_id (smallest doc_id reachable by links, itself included)."""
-        order = self.order(docs)
+    # -- results ---------------------------------------------------------------------------------------
+
+    def _classes(self, docs: DataFrame, order: Broadcast) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+        """Signatures of all rows, those that have words and an id, the classes of equal sets, and one signature per class."""
         rows = stored(self.signatures(docs, order).withColumn("row", F.monotonically_increasing_id()), "signatures")
         full = rows.where("doc_id is not null and n > 0")
         classes = stored(full.groupBy("high", "low", "n").agg(F.min(F.struct("doc_id", "row")).alias("m")).select("high", "low", "n", "m.*"), "classes")
         heads = stored(full.drop("high", "low").join(classes.select("row"), "row", "left_semi").drop("row"), "heads")
+        return rows, full, classes, heads
+
+    def _paired(self, docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+        """(doc_id, n) of every row; members (doc_id, class); all pairs (a, b) of similar classes."""
+        # a class is named by one row's hash, because an id with several texts may come first in several classes
+        uid = F.when(F.col("doc_id").isNotNull(), F.xxhash64(F.col("doc_id").cast("long"), "text"))
+        named = docs.select(uid.alias("doc_id"), F.col("doc_id").cast("long").alias("id"), "text")
+        order = self.order(docs)
+        rows, full, classes, heads = self._classes(named, order)
+        ids = stored(named.where("id is not null").select(F.col("doc_id").alias("uid"), "id").distinct(), "ids")
+        sizes = rows.select(F.col("doc_id").alias("uid"), "n").join(ids, "uid", "left").select(F.col("id").alias("doc_id"), "n")
+        head = classes.select("high", "low", "n", F.col("doc_id").alias("class"))
+        member = full.select(F.col("doc_id").alias("uid"), "high", "low", "n").join(head, ["high", "low", "n"]).join(ids, "uid")
+        member = stored(member.select(F.col("id").alias("doc_id"), "class").distinct(), "members")
+        return sizes, member, self.all_links(named, heads, order)
+
+    def pairs(self, docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """All links without loss: members (doc_id, class) and pairs (a, b) of classes, a < b.
+
+        Documents are linked if they share a class (their sets are equal) or if their classes are a pair. Empty
+        sets have no class, and an id with several texts is in a class for each set.
+        """
+        return self._paired(docs)[1:]
+
+    def linked(self, docs: DataFrame) -> DataFrame:
+        """Per row of ``docs``: doc_id, n_shingles, n_links (other documents similar to it), component_id as ``clusters`` has it."""
+        sizes, member, links = self._paired(docs)
+        several = member.groupBy("doc_id").agg(F.min("class").alias("a"), F.max("class").alias("last")).where("a < last")
+        several = stored(member.join(several.select("doc_id", "a"), "doc_id"), "several")
+        single = stored(member.join(several.select("doc_id").distinct(), "doc_id", "left_anti"), "single")
+        own = single.groupBy("class").agg(F.count("*").alias("held"))
+        each = member.select(F.col("class").alias("a"), F.col("class").alias("b")).distinct()
+        sight = each.unionByName(links).unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
+
+        def seen(sight: DataFrame, by: str) -> DataFrame:
+            """Documents in the classes ``b`` of each ``by``, those of several classes counted once, without itself."""
+            known = sight.join(own, sight["b"] == own["class"]).groupBy(by).agg(F.sum("held").alias("held"))
+            more = sight.join(several.select(F.col("class").alias("b"), F.col("doc_id").alias("other")), "b")
+            more = more.groupBy(by).agg(F.countDistinct("other").alias("more"))
+            n = F.coalesce("held", F.lit(0)) + F.coalesce("more", F.lit(0)) - 1
+            return known.join(more, by, "full_outer").select(by, n.alias("n_links"))
+
+        by_class = single.join(seen(sight, "a").withColumnRenamed("a", "class"), "class").select("doc_id", "n_links")
+        by_doc = several.select("doc_id", F.col("class").alias("a")).join(sight, "a").select("doc_id", "b").distinct()
+        counts = by_class.unionByName(seen(by_doc, "doc_id"))
+
+        found = components(links.unionByName(several.select("a", F.col("class").alias("b")))).withColumnRenamed("node", "class")
+        within = stored(member.join(found, "class", "left").withColumn("component", F.coalesce("component", "class")), "within")
+        least = within.groupBy("component").agg(F.min("doc_id").alias("component_id"))
+        least = within.select("doc_id", "component").distinct().join(least, "component").drop("component")
+        return sizes.join(counts, "doc_id", "left").join(least, "doc_id", "left").select(
+            "doc_id", F.col("n").alias("n_shingles"), F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"),
+            F.coalesce("component_id", "doc_id").alias("component_id"),
+        )
+
+    def clusters(self, docs: DataFrame) -> DataFrame:
+        """Per row of ``docs``: doc_id, n_shingles, component_id (smallest doc_id reachable by links, itself included)."""
+        order = self.order(docs)
+        rows, full, classes, heads = self._classes(docs, order)
         links = self.links(docs, heads, order)
 
         head = classes.select("high", "low", "n", F.col("doc_id").alias("head"))

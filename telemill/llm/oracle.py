@@ -71,8 +71,16 @@ WITH RECURSIVE words AS (
 SELECT s.doc_id, len(s.s)::BIGINT AS n_shingles, (SELECT min(r.b) FROM reach r WHERE r.a = s.doc_id) AS component_id FROM sets s
 """
 
+LINKED = f"""
+{SIMILAR.rpartition("SELECT s.doc_id")[0]}
+SELECT s.doc_id, len(s.s)::BIGINT AS n_shingles, (SELECT count(*) FROM both_ways l WHERE l.a = s.doc_id) AS n_links,
+    (SELECT min(r.b) FROM reach r WHERE r.a = s.doc_id) AS component_id
+FROM sets s
+"""
+
 SQL: dict[str, str] = {
     "op7_pivot_distance_search": NEAREST,
     "op8_redirect_equivalence": URLS,
     "op9_ngram_jaccard_join": SIMILAR,
+    "op9_ngram_jaccard_links": LINKED,
 }

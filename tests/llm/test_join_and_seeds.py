@@ -3,7 +3,7 @@ import re
 
 import pytest
 
-from telemill.llm import decontaminate
+from telemill.llm import decontaminate, ngram_join
 from telemill.llm.graph import components
 from telemill.llm.ngram_join import Join
 
@@ -69,6 +69,50 @@ def test_join_links_all_texts_of_one_id(spark):
     assert sorted((r["doc_id"], r["component_id"]) for r in have) == [(1, 1), (2, 1), (2, 1), (3, 1), (4, 4)]
 
 
+def brute_links(rows, words, percent):
+    """Other documents that each one is similar to by any of its texts."""
+    sets, links = [(d, sets_of([(d, t)], words)[d]) for d, t in rows], {d: set() for d, _ in rows}
+    for a, s in sets:
+        for b, t in sets:
+            if a != b and s & t and 100 * len(s & t) >= percent * len(s | t):
+                links[a].add(b)
+    return links
+
+
+@pytest.mark.parametrize(("words", "percent", "group"), [(3, 90, 1000), (1, 60, 3)])
+def test_every_link_is_found(spark, monkeypatch, words, percent, group):
+    monkeypatch.setattr(ngram_join, "GROUP", group)
+    rows = families(words)
+    base = [f"u{k}" for k in range(60)]
+    rows += [(500 + k, " ".join([*base[:k], f"x{k}", *base[k + 1 :]])) for k in range(0, 60, 3)]  # all similar, all different
+    # ids with several texts, one of them first in two classes
+    rows += [(1, rows[0][1]), (1, rows[9][1]), (2, "p q r s t"), (2, "t u v w x"), (3, "p q r s t"), (4, "t u v w x"), (5, rows[-4][1]), (5, rows[-2][1]), (6, None), (7, "")]
+    want = brute_links(rows, words, percent)
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    members, pairs = Join(words, percent).pairs(docs)
+    held = {}
+    for r in members.collect():
+        held.setdefault(r["class"], set()).add(r["doc_id"])
+    have = {d: set() for d in want}
+    for a, b in [(c, c) for c in held] + [tuple(r) for r in pairs.select("a", "b").collect()]:
+        for x, y in ((x, y) for x in held[a] for y in held[b] if x != y):
+            have[x].add(y)
+            have[y].add(x)
+    assert have == want
+    found = Join(words, percent).linked(docs).collect()
+    assert sorted((r["doc_id"], r["n_links"]) for r in found) == sorted((d, len(want[d])) for d, _ in rows)
+    same = {r["doc_id"]: r["component_id"] for r in Join(words, percent).clusters(docs).collect()}
+    assert {r["doc_id"]: r["component_id"] for r in found} == same
+
+
+def test_links_of_odd_rows(spark, odd):
+    have = Join(3, 90).linked(odd)
+    assert have.columns == ["doc_id", "n_shingles", "n_links", "component_id"]
+    rows = have.collect()
+    assert len(rows) == odd.count() and all(r["n_links"] == 0 and r["component_id"] == r["doc_id"] for r in rows)
+    assert Join(3, 90).linked(odd.limit(0)).collect() == []
+
+
 def test_components_of_chains_and_hubs(spark):
     pick = random.Random(5)
     names = pick.sample(range(10_000), 600)
