@@ -8,7 +8,9 @@ from pyspark.sql import functions as F
 from telemill.llm.tables import only, small, stored, without
 
 #: Word positions that each mask looks at; the ones between are free to differ.
-MASKS = ((0, 1, 3, 4, 6), (0, 2, 3, 5, 8), (0, 3, 4, 7, 8))
+MASKS = ((0, 1, 3, 4, 6), (0, 2, 3, 5, 8), (0, 3, 4, 7, 8), (0, 1, 2, 3))
+#: Items of fewer words need the last mask too: the others leave some of the allowed changes without a seed.
+SHORT = 18
 SPAN = 1 + max(max(m) for m in MASKS)
 #: Words of an item that are held against a document at once, and the percentage of them that must agree.
 WINDOW, AGREE = 20, 80
@@ -26,16 +28,19 @@ def _hashes(text: Column) -> Column:
 
 
 def _seeds(rows: DataFrame) -> DataFrame:
-    """A row per mask and position at which it fits into the words ``h``: key, at; ``h`` itself goes."""
+    """A row per mask and position at which it fits into the words ``h``: key, mask, at; ``h`` itself goes."""
     keep = [c for c in rows.columns if c != "h"]
-    last = F.size("h") - SPAN
+    spans = [1 + max(m) for m in MASKS]
+    last = F.size("h") - min(spans)
     every = rows.where(last >= 0).select("*", F.explode(F.sequence(F.lit(0), (last + 1) * len(MASKS) - 1)).alias("i"))
     at = F.floor(F.col("i") / len(MASKS)).cast("int")
-    every = every.select("*", (F.col("i") % len(MASKS)).alias("mask"), at.alias("at"))
-    word = F.col("h")
-    keys = [F.xxhash64(F.lit(k), *[word[F.col("at") + p] for p in mask]) for k, mask in enumerate(MASKS)]
-    key = F.when(F.col("mask") == 0, keys[0]).when(F.col("mask") == 1, keys[1]).otherwise(keys[2])
-    return every.select(*keep, key.alias("key"), "at")
+    every = every.select("*", (F.col("i") % len(MASKS)).cast("int").alias("mask"), at.alias("at"))
+    every = every.where(F.col("at") + F.array(*map(F.lit, spans))[F.col("mask")] <= F.size("h"))
+    keys = [F.xxhash64(F.lit(k), *[F.get("h", F.col("at") + p) for p in mask]) for k, mask in enumerate(MASKS)]
+    key = keys[-1]
+    for k in range(len(MASKS) - 1):
+        key = F.when(F.col("mask") == k, keys[k]).otherwise(key)
+    return every.select(*keep, key.alias("key"), "mask", "at")
 
 
 def overlaps(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
@@ -52,7 +57,8 @@ def overlaps(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     docs, uid = _with_uid(docs)
     items = benchmark.select("item_id", _hashes(F.col("text")).alias("h")).where(F.size("h") >= SPAN).distinct()
     items = stored(items.withColumn("item", F.monotonically_increasing_id()), "items")
-    seeds = small(_seeds(items.select("item", "h")).select("key", "item", F.col("at").alias("item_at")), BROADCAST_SEEDS)
+    seeds = _seeds(items.select("item", F.size("h").alias("size"), "h")).where((F.col("mask") < len(MASKS) - 1) | (F.col("size") < SHORT))
+    seeds = small(seeds.select("key", "item", F.col("at").alias("item_at")), BROADCAST_SEEDS)
     windows = _seeds(docs.select(uid, _hashes(F.col("text")).alias("h")))
     hits = windows.join(seeds, "key").select("uid", "item", (F.col("at") - F.col("item_at")).alias("shift"))
     hits = stored(hits.distinct(), "hits")

@@ -1,5 +1,6 @@
 import random
 import re
+from itertools import combinations
 
 import pytest
 
@@ -168,6 +169,17 @@ def test_leaks_are_brute_force(spark):
     assert len(want) > 20
 
 
+def test_short_items_are_found_with_any_fifth_of_the_words_replaced(spark):
+    items, docs = [], []
+    for size in range(decontaminate.SPAN, decontaminate.WINDOW):
+        item = [f"i{size}w{k}" for k in range(size)]
+        items.append((size, " ".join(item)))
+        for places in combinations(range(size), size - -(-size * decontaminate.AGREE // 100)):
+            docs.append((len(docs), size, " ".join("other" if k in places else w for k, w in enumerate(item))))
+    found = decontaminate.overlaps(spark.createDataFrame(docs, "doc_id long, size long, text string"), spark.createDataFrame(items, "item_id long, text string"))
+    assert {(r["doc_id"], r["item_id"]) for r in found.collect()} == {(d, size) for d, size, _ in docs}
+
+
 def test_leaks_of_odd_rows(spark, odd, benchmark_table):
     assert decontaminate.overlaps(odd, benchmark_table).collect() == []
     assert decontaminate.overlaps(odd.limit(0), benchmark_table).collect() == []
