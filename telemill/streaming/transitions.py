@@ -16,7 +16,8 @@ def stream_transitions(
     ``steps`` and ``following`` are two reads of the same stream ``(episode, step, ts, ...)``. They
     are joined on episode and step number, so an episode with very many steps is spread over all
     tasks. A step waits for its successor until the watermark has passed ``max_gap``;
-    ``stream_unpaired_steps`` reports those that wait in vain.
+    ``stream_unpaired_steps`` reports those that wait in vain. A step before a missing number is one of them:
+    unlike ``transition_pairs``, no pair is formed across it.
     """
     joined = _followed(steps, following, columns, max_gap, delay, ts, "inner")
     return joined.drop("_episode", "_step", "_ts")
