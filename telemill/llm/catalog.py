@@ -7,7 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from telemill.llm import bpe, cotraining, decontaminate, licenses, pivot_search, sharding, toxicity, training_order, url_rules
+from telemill.llm import (
+    bpe, conversations, cotraining, decontaminate, licenses, merkle, pieces, pivot_search, sharding, toxicity, training_order, url_rules,
+)
 from telemill.llm.ngram_join import Join
 from telemill.llm.tables import load
 
@@ -79,6 +81,39 @@ def licensed(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's proof, folded from a text that was tampered with in a fifth of the rows."""
+    docs = load(spark, sf_dir, "documents")
+    values = [F.col(c) for c in ("doc_id", "source", "lang", "n_chars", "text")]
+    lowered = F.translate("text", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    leaf = merkle.leaf_digest(values)
+    claimed = F.when(F.crc32(F.col("doc_id").cast("string")) % 5 == 0, merkle.leaf_digest([*values[:-1], lowered])).otherwise(leaf)
+    proofs = merkle.manifest(docs, leaf, carried=[F.col("doc_id"), claimed.alias("claimed")])
+    return proofs.select(
+        "doc_id", "leaf", "subroot", "root", F.sha2(merkle.siblings(F.col("path")), 256).alias("proof_sha256"),
+        merkle.folded(F.col("claimed"), F.col("path")).alias("folded_root"),
+    ).withColumn("verified", F.col("folded_root") == F.col("root"))
+
+
+def repaired(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conversations damaged by a hash of their rows' ids, and what it takes to repair them."""
+    given = load(spark, sf_dir, "conversations")
+    blank = F.lit(" ")
+    rows = given.select("conv_id", "turn", F.coalesce("role", blank).alias("role"), F.coalesce("text", blank).alias("text"))
+    id_of = F.concat(*[F.coalesce(F.col(c).cast("string"), blank) if c != ":" else F.lit(":") for c in ("conv_id", ":", "turn")])
+    fate = F.crc32(id_of) % 20
+    text = F.when(fate == 1, "").when(fate == 2, F.translate("text", ".!?", "")).otherwise(F.col("text"))
+    role = F.when(fate == 4, "user").otherwise(F.col("role"))
+    copies = F.explode(F.when(fate == 3, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0))))
+    rows = rows.where(fate != 0).select("conv_id", "turn", role.alias("role"), text.alias("text"), copies.alias("copy"))
+    return conversations.digests(rows, given)
+
+
+def pieced(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token ids of every text with the end id, and the text decoded from them."""
+    return pieces.digests(load(spark, sf_dir, "documents").select("doc_id", "text"), tokenizer("piece_bpe_32k.model"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_spaced_seed_decontamination": decontamination,
     "op2_hypergeometric_sharding": sharded,
@@ -91,4 +126,7 @@ QUERIES: dict[str, Query] = {
     "op9_ngram_jaccard_join": similar,
     "op9_ngram_jaccard_links": similar_links,
     "op10_license_scan": licensed,
+    "op11_merkle_manifest": manifest,
+    "op12_conversation_repair": repaired,
+    "op13_sentencepiece_bpe": pieced,
 }

@@ -12,7 +12,7 @@ def test_same_as_sql(spark, sf_dir, name):
 
 
 def test_one_query_per_operator():
-    assert {int(n[2:].split("_")[0]) for n in spark_entry.CORPUS_QUERIES if n.startswith("op")} == set(range(1, 11))
+    assert {int(n[2:].split("_")[0]) for n in spark_entry.CORPUS_QUERIES if n.startswith("op")} == set(range(1, 14))
     assert "pipeline" in spark_entry.queries()
 
 
