@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from telemill.functions.timegrid import epoch_us, floor_to, micros
+from telemill.operators.asof import asof_join
 from telemill.operators.chunked import number_rows, running_total
 
 SERIES = ["kind", "pod", "node", "iface"]
@@ -41,6 +42,7 @@ KINDS = {
 # Read with known schemas: no job has to open files just to find them out.
 EVENTS = "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string"
 PAGES = "page_id bigint, url string, html string"
+ORDERS = "o_orderkey bigint, o_custkey bigint, o_orderstatus string"
 CUSTOMER = "c_custkey bigint, c_name string, c_nationkey int, c_acctbal double, c_mktsegment string"
 
 
@@ -200,6 +202,20 @@ def nodegroup_actions(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def order_updates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Updates of the customers' configs built on each other, one per order ``(cfg_id, seq, base_sha, body)``.
+
+    Every fifth author had not seen the update before, so that two updates have the same base.
+    """
+    orders = spark.read.schema(ORDERS).parquet(f"{sf_dir}/orders.parquet")
+    body = F.to_json(F.struct(F.col("o_orderkey").alias("order"), F.col("o_orderstatus").alias("status")))
+    own = orders.select(F.col("o_custkey").alias("cfg_id"), F.col("o_orderkey").alias("seq"), body.alias("body"))
+    seen = own.where("seq % 5 <> 0").select("cfg_id", "seq", F.sha2("body", 256).alias("_sha"))
+    based = asof_join(own, seen, ["cfg_id"], "seq", ["_sha"], width=100_000, direction="backward", exact=False)
+    start = configs(spark, sf_dir).select("cfg_id", "sha")
+    return based.join(start, "cfg_id").select("cfg_id", "seq", F.coalesce("_sha", "sha").alias("base_sha"), "body")
+
+
 def responses(spark: SparkSession, sf_dir: str, kind: str) -> DataFrame:
     """JSON answers ``(body_id, body)`` made from the gauges, at most 100 samples each.
 

@@ -260,6 +260,20 @@ def config_next_versions(spark, d):
     return config.next_versions(current, accepted)
 
 
+@query
+def config_chain_apply(spark, d):
+    """Updates that follow each other: each accepted one is the base of the next."""
+    judged = config.judge_chains(ad.configs(spark, d).select("cfg_id", "sha"), ad.order_updates(spark, d))
+    return judged.select("cfg_id", "seq", "base_sha", "accepted")
+
+
+@query
+def config_chain_versions(spark, d):
+    current = ad.configs(spark, d).select("cfg_id", "sha", F.to_json("doc").alias("body"))
+    accepted, _ = config.apply_updates(current, ad.order_updates(spark, d), chains=True)
+    return config.next_versions(current, accepted)
+
+
 @query
 def requested_actions_sink(spark, d):
     path = scratch_dir(spark, "actions")
@@ -359,6 +373,14 @@ def instant_lookup(spark, d):
     return shown(lookup.lookup_on_grid(ad.counters(spark, d), SERIES, STEP, LOOKBACK))
 
 
+@query
+def event_lookup(spark, d):
+    """The memory gauge of a pod as each of its purchases found it."""
+    rows = ad.base(spark, d).where("event_type = 'purchase'").select("event_id", "pod", "ts")
+    memory = ad.gauges(spark, d).where("container <> 'purchase'").select("pod", "ts", "v")
+    return shown(lookup.lookup_at(rows, memory, ["pod"], "1 hour").select("event_id", "pod", "v"))
+
+
 @query
 def window_slice(spark, d):
     return shown(windows(spark, d).select("obs_t", "t", F.col("throughput").cast("bigint").alias("throughput")))
@@ -394,6 +416,13 @@ def node_instance_lookup(spark, d):
     return rollup.with_instance(placed, all_nodes(spark, d))
 
 
+@query
+def event_instance(spark, d):
+    """Each event with its node's type as of its own time, the rows of a node spread over time."""
+    rows = ad.base(spark, d).select("event_id", "node", "ts")
+    return rollup.labelled(rows, all_history(spark, d), ["instance_type"], "ts", "left", spread="1 day").select("event_id", "node", "instance_type")
+
+
 @query
 def price_lookup(spark, d):
     placed = ad.pod_info(spark, d).groupBy("pod", "node").agg(F.count("*").alias("hours"))

@@ -224,6 +224,16 @@ CTE["x_upd"] = """select cfg_id, cfg_id * 2 as seq, case when cfg_id % 10 = 0 th
 CTE["x_judged"] = """select u.*, c.sha as now_sha, u.base_sha = c.sha and
   row_number() over (partition by u.cfg_id order by u.base_sha <> c.sha, u.seq) = 1 as ok from x_upd u join x_cfg c using (cfg_id)"""
 
+CTE["x_own"] = """select o_custkey as cfg_id, o_orderkey as seq,
+  concat('{"order":', cast(o_orderkey as varchar), ',"status":"', o_orderstatus, '"}') as body from orders"""
+CTE["x_shas"] = "select cfg_id, seq, sha256(body) as sha from x_own where seq % 5 <> 0"
+CTE["x_chain"] = """select o.cfg_id, o.seq, coalesce(s.sha, c.sha) as base_sha, o.body, sha256(o.body) as sha
+  from x_own o join x_cfg c on o.cfg_id = c.cfg_id asof left join x_shas s on o.cfg_id = s.cfg_id and o.seq > s.seq"""
+CTE["x_links"] = """select a.cfg_id, a.seq, min(b.seq) as next_seq from x_chain a join x_chain b
+  on a.cfg_id = b.cfg_id and a.sha = b.base_sha and b.seq > a.seq group by all"""
+CTE["x_won"] = """with recursive won as (select u.cfg_id, min(u.seq) as seq from x_chain u join x_cfg c on u.cfg_id = c.cfg_id and u.base_sha = c.sha group by all
+  union all select l.cfg_id, l.next_seq from won w join x_links l on l.cfg_id = w.cfg_id and l.seq = w.seq) select * from won"""
+
 # --- trials ------------------------------------------------------------------------------------
 
 CTE["x_tx"] = f"select * from x_counter where kind = 'tx' and {UPF}"
@@ -262,6 +272,13 @@ sql("config_next_versions", """select c.cfg_id, coalesce(sha256(j.body), c.sha)
   from x_cfg c left join (select * from x_judged where ok) j on c.cfg_id = j.cfg_id""")
 
 
+sql("config_chain_apply", """select u.cfg_id, u.seq, u.base_sha, w.seq is not null as accepted
+  from x_chain u left join x_won w on u.cfg_id = w.cfg_id and u.seq = w.seq""")
+sql("config_chain_versions", """select c.cfg_id, coalesce(n.sha, c.sha) as sha, coalesce(n.body, c.body) as body from x_cfg c left join (
+  select u.cfg_id, arg_max(u.sha, u.seq) as sha, arg_max(u.body, u.seq) as body from x_chain u join x_won w on u.cfg_id = w.cfg_id and u.seq = w.seq
+  group by u.cfg_id) n on c.cfg_id = n.cfg_id""")
+
+
 def quantity_mem(col: str, headroom: str = "") -> str:
     return f"concat(cast(cast(trunc(cast({col} as double) / 1000000{headroom}) as bigint) as varchar), 'Mi')"
 
@@ -301,6 +318,11 @@ sql("avg_over_time", f"select pod, container, {secs('t')}, {rnd('avg_mem', 3, 'a
 sql("max_rate_subquery", f"select {SERIES}, {secs('t')}, {rnd('max_cpu', 6, 'max_rate')} from x_cpuover")
 sql("avg_rate_subquery", f"select {SERIES}, {secs('t')}, {rnd('avg_cpu', 6, 'avg_rate')} from x_cpuover")
 sql("instant_lookup", f"select {SERIES}, {secs('t')}, v from x_look")
+CTE["x_memory"] = "select pod, us, max(v) as v from x_gauge where container <> 'purchase' group by pod, us"
+sql("event_lookup", f"""select b.event_id, b.pod, case when b.us - m.us < {HOUR} then m.v end as v
+  from x_base b asof left join x_memory m on b.pod = m.pod and b.us >= m.us where b.event_type = 'purchase'""")
+sql("event_instance", """select b.event_id, b.node, i.instance_type from x_base b
+  asof left join (select node, us, max(instance_type) as instance_type from x_info group by all) i on b.node = i.node and b.us >= i.us""")
 sql("window_slice", f"select {secs('obs_t')}, {secs('t')}, throughput from x_win")
 CTE["x_win10"] = windows_of("x_totals", 10 * HOUR)
 sql("range_literal", f"""select {secs('obs_t')}, count(*) as points, arg_max(throughput, t) as newest, cast(10 as bigint) as hours from x_win10 group by obs_t

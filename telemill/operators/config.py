@@ -3,10 +3,16 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from telemill.operators.asof import asof_join
+from telemill.session import written
+
+SEQS = 10_000  # sequence numbers of a config and version that are looked at together
+
 # fixed value: where a pod's document keeps its node selection
 SELECTOR = "affinity.nodeAffinity.requiredDuringSchedulingIgnoredDuringExecution.nodeSelectorTerms"
 
@@ -76,18 +82,51 @@ def judge_updates(current: DataFrame, updates: DataFrame) -> DataFrame:
     return updates.join(winners, ["cfg_id", "seq"], "left").withColumn("accepted", F.coalesce("_won", F.lit(False))).drop("_won")
 
 
-def apply_updates(current: DataFrame, updates: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Compare-and-set: (accepted updates with their new ``sha``, rejected updates)."""
-    judged = judge_updates(current, updates)
+def judge_chains(current: DataFrame, updates: DataFrame) -> DataFrame:
+    """Add ``accepted`` to updates that may follow each other: what a compare-and-set of each in ``seq`` order accepts.
+
+    An accepted update makes ``sha2(body)`` the current version; the next accepted one is the first behind it that was made from that
+    version. So every update has one follower at most, and those accepted are the chain from the current version on. Its
+    links are found by an as-of join and doubled round by round: after k rounds 2^k links are known, so a
+    chain of a million updates takes twenty rounds and no task walks it. Updates of one branch, those made from a version that comes up only later, and
+    rings of updates that no current version leads to are rejected. ``current`` and ``updates`` are as for :func:`judge_updates`.
+    """
+    made = written(updates.select("cfg_id", "seq", "base_sha", F.sha2("body", 256).alias("sha")), "updates")
+    bases = made.select("cfg_id", F.col("base_sha").alias("sha"), "seq", F.col("seq").alias("to"))
+    follower = asof_join(made, bases, ["cfg_id", "sha"], "seq", ["to"], width=SEQS, direction="forward", exact=False)
+    links = written(follower.where("to is not null").select("cfg_id", "seq", "to"), "links")
+    first = made.groupBy("cfg_id", "base_sha").agg(F.min("seq").alias("seq"))
+    fresh = current.select("cfg_id", F.col("sha").alias("base_sha"))
+    reached = written(first.join(fresh, ["cfg_id", "base_sha"]).select("cfg_id", "seq"), "reached")
+    parts = [reached]
+    while True:
+        # what is known so far is the chain's beginning; the links lead as far again
+        further = written(reached.join(links, ["cfg_id", "seq"]).select("cfg_id", F.col("to").alias("seq")), "reached")
+        if further.isEmpty():
+            break
+        parts.append(further)
+        reached = reduce(DataFrame.unionByName, parts)
+        onward = links.select("cfg_id", F.col("seq").alias("to"), F.col("to").alias("far"))
+        links = written(links.join(onward, ["cfg_id", "to"]).select("cfg_id", "seq", F.col("far").alias("to")), "links")
+    won = reached.withColumn("_won", F.lit(True))
+    return updates.join(won, ["cfg_id", "seq"], "left").withColumn("accepted", F.coalesce("_won", F.lit(False))).drop("_won")
+
+
+def apply_updates(current: DataFrame, updates: DataFrame, chains: bool = False) -> tuple[DataFrame, DataFrame]:
+    """Compare-and-set: (accepted updates with their new ``sha``, rejected updates).
+
+    With ``chains`` updates may be built on each other, and the last accepted one of a config is its new version.
+    """
+    judged = (judge_chains if chains else judge_updates)(current, updates)
     accepted = judged.where("accepted").drop("accepted").withColumn("sha", F.sha2("body", 256))
     return accepted, judged.where("not accepted").drop("accepted")
 
 
 def next_versions(current: DataFrame, accepted: DataFrame) -> DataFrame:
-    """The config table after the accepted updates ``(cfg_id, sha, body)``."""
-    new = accepted.select("cfg_id", F.col("sha").alias("_sha"), F.col("body").alias("_body"))
-    return current.join(new, "cfg_id", "left").select(
-        "cfg_id", F.coalesce("_sha", "sha").alias("sha"), F.coalesce("_body", "body").alias("body")
+    """The config table after the accepted updates ``(cfg_id, seq, sha, body)``, of which the last of each config counts."""
+    last = accepted.groupBy("cfg_id").agg(F.max_by(F.struct("sha", "body"), "seq").alias("_new"))
+    return current.join(last, "cfg_id", "left").select(
+        "cfg_id", F.coalesce("_new.sha", "sha").alias("sha"), F.coalesce("_new.body", "body").alias("body")
     )
 
 

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from telemill.functions.timegrid import at, ceil_to, epoch_us, grid, micros
+from telemill.operators.asof import asof_join
 from telemill.operators.rangefn import present
 
 
@@ -32,6 +33,17 @@ def lookup_on_grid(
     return seen.select(*key, at(F.col("_t")).alias("t"), *([F.col("_v").alias(value)] if value else []))
 
 
+def lookup_at(
+    events: DataFrame, samples: DataFrame, key: Sequence[str], lookback="5 minutes", ts: str = "ts", value: str = "v"
+) -> DataFrame:
+    """``events`` with the newest sample of their series at their own times, no older than the lookback; NULL where there is none.
+
+    Times need not lie on a grid. NULL and NaN samples are gaps and hide nothing; of samples with the same time the greatest is taken.
+    """
+    back = micros(lookback)
+    return asof_join(events, present(samples, value), key, ts, [value], width=lookback, within=back - 1)
+
+
 def observation_windows(df: DataFrame, window, period, t: str = "t") -> DataFrame:
     """Give each row to the decision times ``obs_t`` (multiples of the period) whose window
     ``(obs_t - window, obs_t]`` holds it: at most ``ceil(window / period)`` copies of a row."""

@@ -7,6 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from telemill.operators.asof import asof_join
 from telemill.sources.dimensions import PRICES, price_dim
 
 
@@ -46,12 +47,20 @@ def with_instance(df: DataFrame, nodes: DataFrame, t: str = "t") -> DataFrame:
     return labelled(df, nodes, ["instance_type"], t)
 
 
-def labelled(df: DataFrame, nodes: DataFrame, columns: Sequence[str], t: str = "t", how: str = "inner") -> DataFrame:
+def labelled(df: DataFrame, nodes: DataFrame, columns: Sequence[str], t: str = "t", how: str = "inner", spread: str | None = None) -> DataFrame:
     """Add ``columns`` of the node dimension; of a node history, those in force at ``t``.
 
     Either is joined on the node. A history holds few ranges per node, of which one at most holds ``t``.
-    Whether the dimension is broadcast is left to its measured size.
+    Whether the dimension is broadcast is left to its measured size. Where a history is too large for that and single nodes
+    hold much of ``df``, ``spread`` names a width of time by which the rows of a node are dealt out (an as-of join).
     """
+    if spread and "valid_from" in nodes.columns:
+        ranges = nodes.select("node", F.col("valid_from").alias("_from"), F.struct("valid_to", *columns).alias("_range"))
+        found = asof_join(df, ranges, ["node"], t, ["_range"], "_from", width=spread)
+        over = F.col("_range").isNull() | F.col("node").isNull() | (F.col(t).cast("timestamp") >= F.col("_range.valid_to"))
+        over = F.coalesce(over, F.lit(False))
+        found = found.where(~over) if how == "inner" else found
+        return found.select(*df.columns, *[F.when(~over, F.col(f"_range.{c}")).alias(c) for c in columns])
     if "valid_from" not in nodes.columns:
         return df.join(nodes.select("node", *columns), "node", how)
     ranges = nodes.select(F.col("node").alias("_node"), F.col("valid_from").alias("_from"), F.col("valid_to").alias("_to"), *columns)

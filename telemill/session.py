@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def build_session(app: str = "telemill", master: str | None = None, shuffle_partitions: int | None = None) -> SparkSession:
@@ -31,16 +31,29 @@ def build_session(app: str = "telemill", master: str | None = None, shuffle_part
     return builder.getOrCreate()
 
 
+#: Folders of local sessions that run without ``spark.checkpoint.dir``, by application.
+_LOCAL: dict[str, str] = {}
+
+
 def scratch_dir(spark: SparkSession, name: str) -> str:
     """A new folder path below ``spark.checkpoint.dir``, the folder every executor can reach.
 
-    Only a local session may go without that setting; it then gets a temporary folder, which is
-    kept as the session's setting. Executors of a cluster could not see such a folder.
+    Only a local session may go without that setting; it then gets a temporary folder, the same one as long
+    as the application runs. Executors of a cluster could not see such a folder.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
-        if not spark.sparkContext.master.startswith("local"):
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        root = tempfile.mkdtemp(prefix="telemill-")
-        spark.conf.set("spark.checkpoint.dir", root)
+        application = spark.sparkContext.applicationId
+        if application not in _LOCAL:
+            _LOCAL[application] = tempfile.mkdtemp(prefix="telemill-")
+        root = _LOCAL[application]
     return f"{root.rstrip('/')}/telemill/{name}-{uuid.uuid4().hex}"
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written to the shared scratch folder and read again: lineage ends there, and lost executors lose nothing."""
+    path = scratch_dir(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

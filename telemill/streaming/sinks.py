@@ -47,31 +47,53 @@ def latest_counts(batches: DataFrame) -> DataFrame:
     return batches.groupBy("episode").agg(F.max("steps").alias("steps"))
 
 
-def config_updates(configs: DataFrame, path: str) -> Callable[[DataFrame, int], None]:
-    """Batch function that applies config updates by compare-and-set, once per batch.
+def config_updates(configs: DataFrame, path: str, every: int = 20) -> Callable[[DataFrame, int], None]:
+    """Batch function that applies config updates by compare-and-set, once per batch; updates may be built on each other.
 
     Accepted updates are written to ``path/batch=<id>``, rejected ones to ``path/rejected/batch=<id>``. A batch compares with the versions that the
-    batches before it left behind, never with its own output, so it can be repeated.
+    batches before it left behind, never with its own output, so it can be repeated. Every ``every`` batches all
+    versions are written to one of two snapshot folders in turn; a batch reads the newest snapshot and the batches since then, so its cost
+    does not grow with the number of batches. ``every`` must not change while a log is in use.
     """
 
     def apply(batch: DataFrame, batch_id: int) -> None:
-        now = current_versions(configs, path, batch_id)
-        accepted, rejected = apply_updates(now, batch.select("cfg_id", "seq", "base_sha", "body"))
+        now = versions_before(configs, path, batch_id, every)
+        accepted, rejected = apply_updates(now, batch.select("cfg_id", "seq", "base_sha", "body"), chains=True)
         rejected.write.mode("overwrite").parquet(f"{path}/rejected/batch={batch_id}")
         accepted.write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+        if (batch_id + 1) % every == 0:
+            # the other slot holds the snapshot before, which a repetition of this batch starts from
+            versions_before(configs, path, batch_id + 1, every, snapshots=batch_id // every).write.mode("overwrite").parquet(
+                f"{path}/snapshot/slot={batch_id // every % 2}"
+            )
 
     return apply
 
 
-def current_versions(configs: DataFrame, path: str, before_batch: int | None = None) -> DataFrame:
-    """Version hash of every config after the accepted updates of earlier batches ``(cfg_id, sha)``."""
-    start_rows = configs.select("cfg_id", "sha", F.lit(-1).cast("bigint").alias("_batch"))
-    if before_batch == 0:
-        return start_rows.drop("_batch")
-    log = read_batches(configs.sparkSession, path).select("cfg_id", "sha", F.col("batch").cast("bigint").alias("_batch"))
-    if before_batch is not None:
-        log = log.where(F.col("_batch") < before_batch)
-    return start_rows.unionByName(log).groupBy("cfg_id").agg(F.max_by("sha", "_batch").alias("sha"))
+def versions_before(configs: DataFrame, path: str, batch_id: int, every: int, snapshots: int | None = None) -> DataFrame:
+    """Version hash of every config ``(cfg_id, sha)`` as the batches before ``batch_id`` left it, from the last of ``snapshots`` and what came since."""
+    snapshots = batch_id // every if snapshots is None else snapshots
+    spark, since = configs.sparkSession, snapshots * every
+    given = configs.select("cfg_id", "sha")
+    if snapshots:
+        known = spark.read.schema(given.schema).parquet(f"{path}/snapshot/slot={(snapshots - 1) % 2}")
+        # configs that were added since have no version in the snapshot yet
+        given = given.join(known.withColumnRenamed("sha", "_sha"), "cfg_id", "left").select("cfg_id", F.coalesce("_sha", "sha").alias("sha"))
+    tail = [f"{path}/batch={b}" for b in range(since, batch_id)]
+    if not tail:
+        return given
+    return _newest(given, spark.read.option("basePath", path).parquet(*tail))
+
+
+def _newest(given: DataFrame, log: DataFrame) -> DataFrame:
+    order = F.struct(F.col("batch").cast("bigint"), "seq")
+    last = log.groupBy("cfg_id").agg(F.max_by("sha", order).alias("_sha"))
+    return given.join(last, "cfg_id", "left").select("cfg_id", F.coalesce("_sha", "sha").alias("sha"))
+
+
+def current_versions(configs: DataFrame, path: str) -> DataFrame:
+    """Version hash of every config after all batches of the log ``(cfg_id, sha)``."""
+    return _newest(configs.select("cfg_id", "sha"), read_batches(configs.sparkSession, path))
 
 
 class LateRows(StreamingQueryListener):
