@@ -113,34 +113,38 @@ def stream_rejected_updates(spark, d):
 
 def _transitions(spark, d):
     path = landed(spark, ad.steps(spark, d, with_ts=True))
-    return transitions.stream_transitions(stream_of(spark, path), stream_of(spark, path), ["seq", "throughput", "action"], GAP, DELAY)
+    return transitions.stream_transitions(stream_of(spark, path), ["seq", "throughput", "action"], GAP, DELAY)
 
 
 @query
 def stream_transitions(spark, d):
-    return shown(run(spark, _transitions(spark, d).drop("ts")))
+    with sinks.rocksdb(spark):
+        return shown(run(spark, _transitions(spark, d).drop("ts")))
 
 
 @query
 def stream_unpaired_steps(spark, d):
     """Steps whose successor came more than three days later or not at all."""
     path = landed(spark, ad.steps(spark, d, with_ts=True).select("episode", "step", "seq", "ts"))
-    waiting = transitions.stream_unpaired_steps(stream_of(spark, path), stream_of(spark, path), SHORT_GAP, DELAY)
-    return run(spark, waiting.drop("ts"))
+    waiting = transitions.stream_unpaired_steps(stream_of(spark, path), SHORT_GAP, DELAY)
+    with sinks.rocksdb(spark):
+        return run(spark, waiting.drop("ts"))
 
 
 @query
 def replay_stream(spark, d):
     """Every transition appended to the replay table."""
     out = scratch_dir(spark, "replay")
-    sinks.start(_transitions(spark, d), scratch_dir(spark, "checkpoint"), sinks.batch_folder(out), available_now=True).awaitTermination()
+    with sinks.rocksdb(spark):
+        query = sinks.start(_transitions(spark, d), scratch_dir(spark, "checkpoint"), sinks.batch_folder(out), available_now=True)
+        query.awaitTermination()
     return shown(sinks.read_batches(spark, out).select("episode", "step", "seq", "action", "next_seq", "next_throughput"))
 
 
 @query
 def stream_step_counter(spark, d):
     path = landed(spark, ad.steps(spark, d, with_ts=True))
-    counts, out = transitions.stream_step_counts(stream_of(spark, path)), scratch_dir(spark, "counts")
+    counts, out = transitions.stream_step_counts(stream_of(spark, path), DELAY), scratch_dir(spark, "counts")
     sinks.start(counts, scratch_dir(spark, "checkpoint"), sinks.batch_folder(out), "update", available_now=True).awaitTermination()
     return shown(sinks.latest_counts(sinks.read_batches(spark, out)))
 

@@ -12,7 +12,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from telemill.operators.chunked import dense_index, number_rows, range_start, with_rows_ahead
+from telemill.operators.chunked import dense_index, range_start
 
 CHUNK = 10_000
 
@@ -21,27 +21,49 @@ FIRST, MID = 0, 1
 
 
 def timesteps(obs: DataFrame, step: str = "step", episode: str = "episode") -> DataFrame:
-    """Observation rows with their discount and step type: 0 for the lowest step of an episode, 1 for the others."""
-    first = obs.groupBy(episode).agg(F.min(step).alias("_first"))
-    kind = F.when(F.col(f"x.{step}") == F.col("_first"), F.lit(FIRST)).otherwise(F.lit(MID))
-    return _null_safe(obs, first, [episode], "left").select(*[F.col(f"x.{c}") for c in obs.columns], F.lit(1.0).alias("discount"), kind.alias("step_type"))
+    """Observation rows with their discount and step type: 0 for the lowest step of an episode, 1 for the others.
 
+    Rows meet their episode's lowest step by episode and step, so a long episode is spread. A NULL step is never the lowest.
+    """
+    first = obs.where(F.col(step).isNotNull()).groupBy(episode).agg(F.min(step).alias(step)).withColumn("_first", F.lit(FIRST))
+    kind = F.coalesce("y._first", F.lit(MID))
+    return _null_safe(obs, first, [episode, step], "left").select(*[F.col(f"x.{c}") for c in obs.columns], F.lit(1.0).alias("discount"), kind.alias("step_type"))
+
+
+def _with_following(rows: DataFrame, ahead: int, episode: str, step: str, chunk: int, columns: Sequence[str]) -> DataFrame:
+    """Rows with ``_ahead``: ``columns`` of the next ``ahead`` rows of the episode as far as there are any, whatever the distance.
 
-def _with_following(rows: DataFrame, ahead: int, episode: str, step: str, chunk: int) -> DataFrame:
-    """Rows cut into chunks by their place in the episode, so that steps that are missing leave no hole."""
-    cut = rows.withColumn("_from", F.col(step) - F.pmod(F.col(step), F.lit(chunk)))
-    return with_rows_ahead(number_rows(cut, [episode], "_from", [step], "_place"), "_place", chunk, ahead)
+    Rows are shuffled once, by episode and block of ``chunk`` step numbers. A block's last rows take the first rows of the blocks
+    that follow; only those first rows meet per episode. NULL is an episode like others; a row with a NULL step has no next.
+    """
+    # a NULL inside a struct equals another one in joins, too
+    cut = rows.select(
+        F.struct(*rows.columns).alias("_row"), F.struct(episode).alias("_key"), F.col(step).alias("_step"), F.struct(*columns).alias("_next"),
+        (F.col(step) - F.pmod(F.col(step), F.lit(chunk))).alias("_block"),
+    )
+    inside = Window.partitionBy("_key", "_block").orderBy("_step")
+    after = F.collect_list("_next").over(inside.rowsBetween(1, ahead)) if ahead > 1 else F.array_compact(F.array(F.lead("_next").over(inside)))
+    heads = cut.select("_key", "_block", "_step", "_next", F.row_number().over(inside).alias("_place")).where((F.col("_place") <= ahead) & F.col("_block").isNotNull())
+    along = Window.partitionBy("_key").orderBy("_step")
+    beyond = heads.select(
+        "_key", "_block", F.collect_list("_next").over(along.rowsBetween(1, ahead)).alias("_beyond"), F.lead("_block").over(along).alias("_later")
+    ).where(F.col("_later") != F.col("_block"))
+    found = cut.withColumn("_after", after).join(beyond.drop("_later"), ["_key", "_block"], "left")
+    followed = F.concat("_after", F.slice(F.coalesce("_beyond", F.array()), F.lit(1), F.lit(ahead) - F.size("_after")))
+    known = F.when(F.col("_block").isNotNull(), followed).otherwise(F.array().cast(found.schema["_after"].dataType))
+    return found.select("_row.*", known.alias("_ahead"))
 
 
 def transition_pairs(
     steps: DataFrame, columns: Sequence[str], episode: str = "episode", step: str = "step", chunk: int = CHUNK
 ) -> DataFrame:
-    """Each step with ``next_<column>`` of the step after it, whatever the distance; an episode's last step has NULLs."""
-    spread = _with_following(steps, 1, episode, step, chunk)
-    ordered = Window.partitionBy(episode, "_chunk").orderBy(step)
-    following = F.lead(F.struct(step, *[c for c in columns if c != step])).over(ordered)
-    paired = spread.withColumn("_next", following).where(~F.col("_guest"))
-    return paired.select(*steps.columns, *[F.col(f"_next.{c}").alias(f"next_{c}") for c in columns])
+    """Each step with ``next_<column>`` of the step after it, whatever the distance; an episode's last step has NULLs.
+
+    NULL is an episode like others; a row with a NULL step is kept and has no next.
+    """
+    paired = _with_following(steps, 1, episode, step, chunk, columns)
+    following = F.get("_ahead", F.lit(0))
+    return paired.select(*steps.columns, *[following[c].alias(f"next_{c}") for c in columns])
 
 
 def trajectories(
@@ -66,10 +88,9 @@ def sequences(
     """All runs of ``n`` rows of an episode that follow each other ``(episode, step, items)``, one per start."""
     if n == 1:
         return rows.select(episode, step, F.array(F.struct(*rows.columns)).alias("items"))
-    spread = _with_following(rows, n - 1, episode, step, max(chunk, n))
-    run = Window.partitionBy(episode, "_chunk").orderBy(step).rowsBetween(0, n - 1)
-    listed = spread.withColumn("items", F.collect_list(F.struct(*rows.columns)).over(run)).where(~F.col("_guest"))
-    return listed.where(F.size("items") == n).select(episode, step, "items")
+    listed = _with_following(rows, n - 1, episode, step, chunk, rows.columns)
+    items = F.concat(F.array(F.struct(*rows.columns)), "_ahead")
+    return listed.where((F.size("_ahead") == n - 1) & F.col(step).isNotNull()).select(episode, step, items.alias("items"))
 
 
 def _null_safe(df: DataFrame, other: DataFrame, keys: Sequence[str], how: str) -> DataFrame:

@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 import threading
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -29,6 +30,24 @@ def start(
     return writer.start()
 
 
+PROVIDER = "spark.sql.streaming.stateStore.providerClass"
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+@contextmanager
+def rocksdb(spark: SparkSession) -> Iterator[None]:
+    """Streams started inside keep their state in RocksDB, which keyed state with timers needs; the session's own choice comes back after."""
+    before = spark.conf.get(PROVIDER, None)
+    spark.conf.set(PROVIDER, ROCKSDB)
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(PROVIDER)
+        else:
+            spark.conf.set(PROVIDER, before)
+
+
 def batch_folder(path: str) -> Callable[[DataFrame, int], None]:
     """Batch function that writes each batch to its own folder; a repeated batch replaces it."""
 
@@ -43,8 +62,9 @@ def read_batches(spark: SparkSession, path: str) -> DataFrame:
 
 
 def latest_counts(batches: DataFrame) -> DataFrame:
-    """Newest value of a running count from the batches of an update-mode stream."""
-    return batches.groupBy("episode").agg(F.max("steps").alias("steps"))
+    """Steps per episode from the batches of an update-mode stream of counts: the newest count of every width of time, added up."""
+    widths = batches.groupBy("episode", "since").agg(F.max("steps").alias("steps"))
+    return widths.groupBy("episode").agg(F.sum("steps").alias("steps"))
 
 
 def config_updates(configs: DataFrame, path: str, every: int = 20) -> Callable[[DataFrame, int], None]:

@@ -1,49 +1,184 @@
-"""Transitions and step counts on streams."""
+"""Transitions and step counts on streams.
+
+Steps follow each other by number, whatever the distance, as in the batch operators. A stream can tell which step comes next once
+the watermark has passed it; the state holds only steps that still wait for that.
+"""
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import sys
+from collections.abc import Iterator, Sequence
 
-from pyspark.sql import DataFrame
+from pyspark import cloudpickle
+from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor
+from pyspark.sql.types import StructType
+
+from telemill.functions.timegrid import micros
+
+BLOCK = 10_000  # step numbers of an episode that share a state
+
+# what the first stage tells: a step with its successor (or none), a block's first and newest step, a step nothing followed in its block
+DONE, HEAD, TAIL, EXPIRED = range(4)
+# the workers that keep the state need not have this module on their path
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
+LINKS = -(1 << 63)  # the second stage's part for messages between blocks; no block has that number
+
+
+def _values(row) -> tuple:
+    """A nested row's values; workers are handed such rows in more than one form."""
+    return tuple(row.values()) if isinstance(row, dict) else tuple(row)
+
+
+class _Blocks(StatefulProcessor):
+    """Pairs the steps of one block of an episode, and reports the block's edges."""
+
+    def __init__(self, gap: int, held: StructType):
+        self.gap, self.held = gap, held
+
+    def init(self, handle) -> None:
+        self.handle = handle
+        self.waiting = handle.getListState("waiting", self.held)
+        self.edges = handle.getValueState("edges", "head boolean, tail bigint")
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
+        yield from self._settled(key, [(r["_step"], r["_us"], False, _values(r["_row"])) for r in rows], timerValues)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
+        yield from self._settled(key, [], timerValues)
+
+    def close(self) -> None:
+        pass
+
+    def _settled(self, key, new: list[tuple], timers) -> Iterator[Row]:
+        block = key[1]
+        told = lambda kind, step, us, row, after=None: Row(_kind=kind, _episode=key[0], _part=block if kind == DONE else LINKS, _step=step, _us=us, _row=row, _next=after)
+        if block is None:  # steps without a number have no place in the order
+            yield from (told(DONE, None, us, row) for _, us, _, row in new)
+            return
+        mark = timers.getCurrentWatermarkInMs() * 1000
+        known = {step: (step, us, done, _values(row)) for step, us, done, row in (*new, *map(tuple, self.waiting.get() if self.waiting.exists() else []))}
+        steps = [known[s] for s in sorted(known)]
+        head, tail = self.edges.get() if self.edges.exists() else (False, None)
+        out, kept, newest = [], [], None
+        for k, (step, us, done, row) in enumerate(steps):
+            after = steps[k + 1] if k + 1 < len(steps) else None
+            final = us <= mark  # no earlier step can come any more
+            over = us + self.gap <= mark  # nor any later one that is near enough
+            if not done and after is not None and (after[0] == step + 1 or after[1] <= mark or over):
+                out.append(told(DONE, step, us, row, after[3] if after[1] - us <= self.gap else None))
+                done = True
+            if final:
+                newest = (step, us, row)
+                if not head:
+                    out.append(told(HEAD, step, us, row))
+                    head = True
+            expired = over and after is None and not done
+            if expired:
+                out.append(told(EXPIRED, step, us, row))
+            if not (expired or (done and final)):
+                kept.append((step, us, done, row))
+        if newest is not None and newest[0] != tail:
+            out.append(told(TAIL, *newest))
+            tail = newest[0]
+        if kept:
+            self.waiting.put(kept)
+            self.edges.update((head, tail))
+            due = min(us if us > mark else us + self.gap for _, us, _, _ in kept)
+            due = -(-due // 1000)
+            # a timer that has run out is still listed while it is handled
+            if not any(mark < t * 1000 <= due * 1000 for t in self.handle.listTimers()):
+                self.handle.registerTimer(due)
+        else:
+            self.waiting.clear()
+            self.edges.clear()
+        yield from out
+
+
+class _Links(StatefulProcessor):
+    """Pairs a block's newest step with the first step of the next block that has any; rows that are done pass through."""
+
+    def __init__(self, gap: int, held: StructType):
+        self.gap, self.held = gap, held
+
+    def init(self, handle) -> None:
+        self.last = handle.getValueState("last", self.held)
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
+        if key[1] != LINKS:
+            yield from (Row(_row=_values(r["_row"]), _next=None if r["_next"] is None else _values(r["_next"])) for r in rows)
+            return
+        last = self.last.get() if self.last.exists() else None
+        last = last and (*last[:3], _values(last[3]))
+        # what ran out does so only after all firsts and newest steps of the batch are known
+        for r in sorted(rows, key=lambda r: (r["_kind"] == EXPIRED, r["_step"], r["_kind"])):
+            kind, step, us = r["_kind"], r["_step"], r["_us"]
+            if kind == TAIL:
+                last = (step, us, False, _values(r["_row"]))
+            elif kind == HEAD:
+                if last is not None and not last[2] and step > last[0]:
+                    yield Row(_row=last[3], _next=_values(r["_row"]) if us - last[1] <= self.gap else None)
+                    last = (*last[:2], True, last[3])
+            elif last is not None and last[0] == step:
+                if not last[2]:
+                    yield Row(_row=last[3], _next=None)
+                last = None
+        if last is None:
+            self.last.clear()
+        else:
+            self.last.update(last)
+
+    def close(self) -> None:
+        pass
+
+
+def _followed(steps: DataFrame, max_gap: str, delay: str, ts: str, block: int) -> DataFrame:
+    """``(_row, _next)``: every step with the one after it, or with NULL when none came within ``max_gap``."""
+    row = StructType([f for f in steps.schema.fields])
+    gap = micros(max_gap)
+    packed = steps.withWatermark(ts, delay).select(
+        F.col("episode").alias("_episode"), F.expr(f"(step - pmod(step, {block}L)) div {block}L").alias("_block"), ts,
+        F.col("step").cast("bigint").alias("_step"), F.unix_micros(ts).alias("_us"), F.struct(*steps.columns).alias("_row"),
+    )
+    held = StructType.fromDDL("step bigint, us bigint, done boolean").add("row", row)
+    both = StructType().add("_row", row).add("_next", row)
+    told = StructType.fromDDL("_kind int").add("_episode", steps.schema["episode"].dataType).add("_part", "long").add("_step", "long").add("_us", "long")
+    told = StructType([*told.fields, *both.fields])
+    blocks = packed.groupBy("_episode", "_block").transformWithState(_Blocks(gap, held), told, "Append", "EventTime")
+    return blocks.groupBy("_episode", "_part").transformWithState(_Links(gap, held), both, "Append", "None")
 
 
 def stream_transitions(
-    steps: DataFrame, following: DataFrame, columns: Sequence[str], max_gap: str, delay: str = "5 minutes", ts: str = "ts"
+    steps: DataFrame, columns: Sequence[str], max_gap: str, delay: str = "5 minutes", ts: str = "ts", block: int = BLOCK
 ) -> DataFrame:
-    """Each step with ``next_<column>`` of the step after it, in any order of arrival.
+    """Each step with ``next_<column>`` of the step after it, in any order of arrival and across missing numbers.
 
-    ``steps`` and ``following`` are two reads of the same stream ``(episode, step, ts, ...)``. They
-    are joined on episode and step number, so an episode with very many steps is spread over all
-    tasks. A step waits for its successor until the watermark has passed ``max_gap``;
-    ``stream_unpaired_steps`` reports those that wait in vain. A step before a missing number is one of them:
-    unlike ``transition_pairs``, no pair is formed across it.
+    ``steps`` is a stream ``(episode, step, ts, ...)`` in which later steps have later times; of a step that comes twice one row
+    counts. The state is kept per episode and block of step numbers, so a very long episode is spread over tasks; a block
+    hands its newest step on to the next one that has any. A pair leaves at once when the numbers follow each other in a block, else when the
+    watermark has passed the later step. Steps wait until the watermark has passed ``max_gap`` after them; then they
+    are forgotten and ``stream_unpaired_steps`` reports them. Needs the RocksDB state store.
     """
-    joined = _followed(steps, following, columns, max_gap, delay, ts, "inner")
-    return joined.drop("_episode", "_step", "_ts")
+    found = _followed(steps, max_gap, delay, ts, block).where(F.col("_next").isNotNull())
+    return found.select("_row.*", *[F.col(f"_next.{c}").alias(f"next_{c}") for c in columns])
 
 
-def stream_unpaired_steps(
-    steps: DataFrame, following: DataFrame, max_gap: str, delay: str = "5 minutes", ts: str = "ts"
-) -> DataFrame:
-    """Steps that ``stream_transitions`` leaves out: no successor came within ``max_gap``.
+def stream_unpaired_steps(steps: DataFrame, max_gap: str, delay: str = "5 minutes", ts: str = "ts", block: int = BLOCK) -> DataFrame:
+    """Steps that ``stream_transitions`` leaves out: no later one came within ``max_gap``, or they have no number.
 
     A step is reported once the watermark has passed ``max_gap`` after it; an episode's last step is one of them.
     """
-    joined = _followed(steps, following, [], max_gap, delay, ts, "leftOuter")
-    return joined.where(F.col("_step").isNull()).drop("_episode", "_step", "_ts")
+    return _followed(steps, max_gap, delay, ts, block).where(F.col("_next").isNull()).select("_row.*")
 
 
-def _followed(steps: DataFrame, following: DataFrame, columns: Sequence[str], max_gap: str, delay: str, ts: str, how: str) -> DataFrame:
-    now = steps.withWatermark(ts, delay)
-    after = following.withWatermark(ts, delay).select(
-        F.col("episode").alias("_episode"), F.col("step").alias("_step"), F.col(ts).alias("_ts"),
-        *[F.col(c).alias(f"next_{c}") for c in columns],
-    )
-    in_reach = (F.col("_ts") >= F.col(ts)) & (F.col("_ts") <= F.col(ts) + F.expr(f"interval {max_gap}"))
-    return now.join(after, (F.col("episode") == F.col("_episode")) & (F.col("step") + 1 == F.col("_step")) & in_reach, how)
+def stream_step_counts(steps: DataFrame, delay: str = "5 minutes", ts: str = "ts", width: str = "1 day") -> DataFrame:
+    """Running number of steps per episode and ``width`` of time ``(episode, since, steps)``, for update mode.
 
-
-def stream_step_counts(steps: DataFrame) -> DataFrame:
-    """Running number of steps per episode, for update mode; combined before the shuffle."""
-    return steps.groupBy("episode").agg(F.count("*").alias("steps"))
+    Counts are combined before the shuffle. The state of a width is dropped once the watermark has passed it: its count is final then, and later steps
+    for it are late. ``sinks.latest_counts`` adds them up to running totals per episode.
+    """
+    return steps.withWatermark(ts, delay).groupBy("episode", F.window(ts, width).alias("_w")).agg(F.count("*").alias("steps")).select(
+        "episode", F.col("_w.start").alias("since"), "steps"
+    )

@@ -6,7 +6,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from telemill.operators import rangefn
+from telemill.operators import rangefn, replay
 from telemill.plans.right_sizing import right_sizing
 from telemill.session import scratch_dir
 from telemill.streaming import rates, right_size, sinks, transitions
@@ -88,27 +88,78 @@ def test_stream_right_size_equals_batch_on_closed_times(spark):
     assert len(got) > 20
 
 
+STEPS = "episode string, step bigint, ts timestamp, x int"
+
+
+def paired(spark, path, gap, delay, block, checkpoint, outs):
+    """Pairs and unpaired steps that both streams have written so far."""
+    found = []
+    for k, df in enumerate((
+        transitions.stream_transitions(stream(spark, path, STEPS), ["step", "x"], gap, delay, block=block).select("episode", "step", "next_step", "next_x"),
+        transitions.stream_unpaired_steps(stream(spark, path, STEPS), gap, delay, block=block).select("episode", "step"),
+    )):
+        with sinks.rocksdb(spark):
+            query = sinks.start(df, f"{checkpoint}{k}", outs[k], available_now=True)
+            query.awaitTermination()
+        found.append(([tuple(r) for r in spark.read.parquet(outs[k]).collect()], query))
+    return found
+
+
+@pytest.mark.parametrize("block", [4, 10_000])
+def test_transitions_equal_batch_across_missing_steps_late_rows_and_a_restart(spark, block):
+    rnd = random.Random(block)
+    rows = []
+    for e in ("a", "b", None):
+        numbers = sorted(rnd.sample(range(-20, 120), 50))
+        rows += [(e, i, T0 + dt.timedelta(seconds=10 * i + rnd.randint(0, 9)), i) for i in numbers]
+    rows += [("one", 7, T0, 1), ("far", 1, T0, 1), ("far", 2, T0 + dt.timedelta(minutes=9), 2), ("far", 900, T0 + dt.timedelta(minutes=9, seconds=5), 3)]
+    # rows arrive up to two minutes out of order
+    rows.sort(key=lambda r: (r[2] + dt.timedelta(seconds=rnd.randint(0, 100)), str(r[0])))
+    late = [("a", 1000, T0 - dt.timedelta(seconds=300), 0), ("one", 3, T0 - dt.timedelta(seconds=400), 0)]
+    end = [("end", k, T0 + dt.timedelta(days=k), 0) for k in (1, 2)]
+    path, checkpoint, outs = scratch_dir(spark, "in"), scratch_dir(spark, "cp"), [scratch_dir(spark, "out"), scratch_dir(spark, "out")]
+    for part in parts(rows, 5)[:3]:
+        deliver(frame(spark, part, STEPS), path)
+    paired(spark, path, "5 minutes", "2 minutes", block, checkpoint, outs)
+    for part in [*parts(rows, 5)[3:], late, end[:1], end[1:]]:
+        deliver(frame(spark, part, STEPS), path)
+    (pairs, first), (alone, second) = paired(spark, path, "5 minutes", "2 minutes", block, checkpoint, outs)
+    batch = replay.transition_pairs(frame(spark, rows, STEPS), ["step", "ts", "x"], chunk=7).collect()
+    near = [r for r in batch if r["next_ts"] is not None and r["next_ts"] - r["ts"] <= dt.timedelta(minutes=5)]
+    assert sorted(pairs, key=str) == sorted(((r["episode"], r["step"], r["next_step"], r["next_x"]) for r in near), key=str)
+    assert sum(r["next_step"] > r["step"] + 1 for r in near) > 30
+    left = {(r["episode"], r["step"]) for r in batch}.difference((r["episode"], r["step"]) for r in near)
+    assert sorted(alone, key=str) == sorted([*left, ("end", 1)], key=str)
+    # what waits is what the watermark has not passed
+    for query in (first, second):
+        assert query.lastProgress["stateOperators"][0]["numRowsTotal"] <= 8
+
+
 def test_transitions_in_any_order_of_arrival(spark):
-    schema = "episode string, step bigint, ts timestamp, x int"
     rows = [(e, i, T0 + dt.timedelta(seconds=10 * i), 100 * i) for e in "ab" for i in range(1, 21)]
     random.Random(1).shuffle(rows)
     path, out = scratch_dir(spark, "in"), scratch_dir(spark, "out")
     for part in parts(rows, 3):
-        deliver(frame(spark, part, schema), path)
-    df = transitions.stream_transitions(stream(spark, path, schema), stream(spark, path, schema), ["x"], "1 minute", "10 minutes")
-    sinks.start(df, scratch_dir(spark, "cp"), out, available_now=True).awaitTermination()
+        deliver(frame(spark, part, STEPS), path)
+    df = transitions.stream_transitions(stream(spark, path, STEPS), ["x"], "1 minute", "10 minutes")
+    with sinks.rocksdb(spark):
+        sinks.start(df, scratch_dir(spark, "cp"), out, available_now=True).awaitTermination()
     got = sorted((r["episode"], r["step"], r["next_x"]) for r in spark.read.parquet(out).collect())
     assert got == [(e, i, 100 * (i + 1)) for e in "ab" for i in range(1, 20)]
 
 
 def test_step_counts_over_batches(spark):
-    schema = "episode string, step bigint"
+    schema = "episode string, step bigint, ts timestamp"
     path, out = scratch_dir(spark, "in"), scratch_dir(spark, "out")
-    for part in ([("a", 1), ("b", 1)], [("a", 2)], [("a", 3), ("c", 1)]):
+    at = lambda day: T0 + dt.timedelta(days=day)
+    for part in ([("a", 1, at(0)), ("b", 1, at(0)), ("a", 2, at(0))], [("a", 3, at(1))], [("a", 4, at(9)), ("c", 1, at(9))], [("c", 2, at(30))], [("c", 3, at(30))]):
         deliver(frame(spark, part, schema), path)
-    counts = transitions.stream_step_counts(stream(spark, path, schema))
-    sinks.start(counts, scratch_dir(spark, "cp"), sinks.batch_folder(out), "update", available_now=True).awaitTermination()
-    assert {r["episode"]: r["steps"] for r in sinks.latest_counts(sinks.read_batches(spark, out)).collect()} == {"a": 3, "b": 1, "c": 1}
+    counts = transitions.stream_step_counts(stream(spark, path, schema), "1 hour")
+    query = sinks.start(counts, scratch_dir(spark, "cp"), sinks.batch_folder(out), "update", available_now=True)
+    query.awaitTermination()
+    assert {r["episode"]: r["steps"] for r in sinks.latest_counts(sinks.read_batches(spark, out)).collect()} == {"a": 4, "b": 1, "c": 3}
+    # idle episodes leave no state behind
+    assert query.lastProgress["stateOperators"][0]["numRowsTotal"] == 1
 
 
 def test_a_repeated_batch_replaces_its_own_output(spark):
@@ -160,12 +211,13 @@ def test_late_and_repeated_samples(spark):
 
 def test_steps_without_a_near_successor_are_reported(spark):
     schema = "episode string, step bigint, ts timestamp"
-    rows = [("a", 1, 0), ("a", 2, 30), ("a", 3, 300), ("b", 1, 10), ("c", 1, 9000)]
+    rows = [("a", 1, 0), ("a", 2, 30), ("a", 3, 300), ("b", 1, 10), ("c", 1, 9000), ("d", None, 20)]
     path, out = scratch_dir(spark, "in"), scratch_dir(spark, "out")
     deliver(frame(spark, [(e, i, T0 + dt.timedelta(seconds=s)) for e, i, s in rows], schema), path)
-    df = transitions.stream_unpaired_steps(stream(spark, path, schema), stream(spark, path, schema), "1 minute", "1 minute")
-    sinks.start(df, scratch_dir(spark, "cp"), out, available_now=True).awaitTermination()
-    assert sorted((r["episode"], r["step"]) for r in spark.read.parquet(out).collect()) == [("a", 2), ("a", 3), ("b", 1)]
+    df = transitions.stream_unpaired_steps(stream(spark, path, schema), "1 minute", "1 minute")
+    with sinks.rocksdb(spark):
+        sinks.start(df, scratch_dir(spark, "cp"), out, available_now=True).awaitTermination()
+    assert sorted(((r["episode"], r["step"]) for r in spark.read.parquet(out).collect()), key=str) == [("a", 2), ("a", 3), ("b", 1), ("d", None)]
 
 
 def test_scratch_needs_a_shared_folder_on_a_cluster(spark):
@@ -180,4 +232,4 @@ def test_scratch_needs_a_shared_folder_on_a_cluster(spark):
 
     with pytest.raises(ValueError, match="spark.checkpoint.dir"):
         scratch_dir(Cluster(), "x")
-    assert scratch_dir(spark, "x").startswith(spark.conf.get("spark.checkpoint.dir"))
+    assert scratch_dir(spark, "x").startswith(spark.conf.get("spark.checkpoint.dir", "/"))

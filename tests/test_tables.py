@@ -214,3 +214,25 @@ def test_samples_are_reproducible_and_with_replacement(spark):
 def test_episode_rollup(spark):
     got = {r["episode"]: (r["steps"], r["total_reward"], r["mean_reward"]) for r in replay.episode_rollup(steps(spark, 4)).collect()}
     assert got == {"a": (4, 10.0, 2.5), "b": (4, 10.0, 2.5)}
+
+
+def test_rows_without_key_or_step_are_kept(spark):
+    """A NULL episode is an episode; a NULL step has no neighbours."""
+    rows = [(None, 1, 10), (None, 5, 50), (None, None, 0), ("a", 3, 30), ("a", None, 1), ("a", 900_000, 9), ("a", None, 2)]
+    steps = spark.createDataFrame(rows, "episode string, step bigint, x bigint")
+    pairs = {(r["episode"], r["step"], r["x"]): r["next_x"] for r in replay.transition_pairs(steps, ["step", "x"], chunk=2).collect()}
+    assert pairs == {(None, 1, 10): 50, (None, 5, 50): None, (None, None, 0): None, ("a", 3, 30): 9, ("a", None, 1): None, ("a", 900_000, 9): None, ("a", None, 2): None}
+    runs = replay.sequences(steps, 2, chunk=2).collect()
+    assert sorted((str(r["episode"]), [i["x"] for i in r["items"]]) for r in runs) == [("None", [10, 50]), ("a", [30, 9])]
+    kinds = {(r["episode"], r["step"], r["x"]): r["step_type"] for r in replay.timesteps(steps).collect()}
+    assert len(kinds) == 7 and {k for k, v in kinds.items() if v == 0} == {(None, 1, 10), ("a", 3, 30)}
+
+
+@pytest.mark.parametrize("n", [2, 3, 5])
+@pytest.mark.parametrize("chunk", [1, 3, 50])
+def test_runs_over_several_sparse_blocks(spark, n, chunk):
+    r = random.Random(n * chunk)
+    rows = [(e, s, f"{e}{s}") for e in ("a", "b", "c") for s in sorted(r.sample(range(-60, 60), 17))] + [("d", 1, "d1")]
+    found = replay.sequences(spark.createDataFrame(rows, "episode string, step bigint, name string").repartition(3), n, chunk=chunk)
+    want = [(e, [x[2] for x in own[i : i + n]]) for e in "abcd" for own in [[x for x in rows if x[0] == e]] for i in range(len(own) - n + 1)]
+    assert sorted((x["episode"], [i["name"] for i in x["items"]]) for x in found.collect()) == sorted(want)
