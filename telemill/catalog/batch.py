@@ -23,7 +23,7 @@ from telemill.plans import observation, right_sizing, transitions
 from telemill.plans import trials as trial_plan
 from telemill.session import scratch_dir
 from telemill.sources import dimensions, responses
-from telemill.sources.queryset import QuerySet
+from telemill.sources.queryset import QuerySet, RangeQuery
 from telemill.sources.samples import read_samples, write_samples
 
 QUERIES: dict = {}
@@ -174,16 +174,13 @@ def sample_scan(spark, d):
 def cpu_mem_queries():
     """Highest and average CPU and memory per pod, as a query set."""
 
+    by = ("t", "pod")
+
     def cpu_by_pod(agg):
-        return lambda spark, d: rollup.sum_by(
-            rangefn.rate_over_time(cpu(spark, d), SERIES, RATE_D, OUTER_D, STEP, [agg]).withColumnRenamed(agg, "value"), ["t", "pod"], "value"
-        )
+        return RangeQuery(cpu, tuple(SERIES), agg, OUTER_D, STEP, RATE_D, by)
 
     def mem_by_pod(agg):
-        return lambda spark, d: rollup.sum_by(
-            rangefn.over_time(ad.gauges(spark, d), ["pod", "container"], OUTER_D, STEP, [agg]).withColumn("value", F.col(agg).cast("double")),
-            ["t", "pod"], "value",
-        )
+        return RangeQuery(ad.gauges, ("pod", "container"), agg, OUTER_D, STEP, None, by)
 
     return {"max_cpu": cpu_by_pod("max"), "avg_cpu": cpu_by_pod("avg"), "max_memory": mem_by_pod("max"), "avg_memory": mem_by_pod("avg")}
 
@@ -712,6 +709,17 @@ def replay_sample(spark, d):
     return shown(replay.sample_batches(ad.steps(spark, d), batch=10, seed=7))
 
 
+@query
+def replay_draw_counts(spark, d):
+    """A sample by counts: as many rows as asked for are drawn, none that the table does not have, about 63 in 100 distinct."""
+    steps = ad.steps(spark, d)
+    n = steps.count()
+    drawn = replay.draw_counts(steps, n, seed=7, rows=1_000)
+    known = drawn.join(steps.select("seq"), "seq", "left_semi").agg(F.sum("draws").alias("drawn"), F.count("*").alias("distinct"))
+    near = F.abs(F.col("distinct") / F.lit(n) - F.lit(1 - 2.718281828459045**-1)) < 0.05
+    return known.select("drawn", near.alias("as_expected"))
+
+
 @query
 def trial_ledger(spark, d):
     return shown(ledger(spark, d))

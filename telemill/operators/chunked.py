@@ -12,6 +12,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from telemill.session import written
+
 
 def running_total(
     df: DataFrame, key: Sequence[str], chunk: str, order: Sequence[str], value: Column, out: str, reset: Column | None = None
@@ -78,21 +80,18 @@ def range_start(seq: str, width: int) -> Column:
     return F.col(seq) - F.pmod(F.col(seq), F.lit(width))
 
 
-def dense_index(df: DataFrame, seq: str, width: int = 1_000_000, out: str = "idx") -> DataFrame:
-    """Number the rows 0, 1, 2, ... by the unique BIGINT ``seq``.
+def dense_index(df: DataFrame, seq: str, out: str = "idx") -> DataFrame:
+    """Number the rows 0, 1, 2, ... by the unique BIGINT ``seq``, however sparse it is.
 
-    Rows are numbered inside ranges of ``width`` sequence numbers, at most ``width`` rows each; the
-    only part in one task is the running count over the ranges, one row per range.
+    Rows are dealt into ranges of equal size and sorted there once; a range's rows count on from the
+    rows of the ranges before it, of which there are as many as the shuffle has partitions.
     """
-    ranged = df.withColumn("_range", range_start(seq, width))
+    # the place inside a range is in the low 33 bits, the range above them; written down, so that both uses see the same ranges
+    dealt = df.repartitionByRange(F.col(seq)).sortWithinPartitions(seq).withColumn("_at", F.monotonically_increasing_id())
+    dealt = written(dealt, "dealt").withColumn("_range", F.shiftright("_at", 33))
     before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = ranged.groupBy("_range").agg(F.count("*").alias("_rows")).select(
+    offsets = dealt.groupBy("_range").agg(F.count("*").alias("_rows")).select(
         "_range", F.coalesce(F.sum("_rows").over(before), F.lit(0)).alias("_offset")
     )
-    place = F.row_number().over(Window.partitionBy("_range").orderBy(seq)).cast("bigint") - 1
-    return (
-        ranged.withColumn("_place", place)
-        .join(offsets, "_range")
-        .withColumn(out, (F.col("_offset") + F.col("_place")).cast("bigint"))
-        .drop("_range", "_place", "_offset")
-    )
+    place = F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))
+    return dealt.join(F.broadcast(offsets), "_range").withColumn(out, (F.col("_offset") + place).cast("bigint")).drop("_range", "_at", "_offset")

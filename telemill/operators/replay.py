@@ -13,8 +13,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from telemill.operators.chunked import dense_index, range_start
+from telemill.session import written
 
 CHUNK = 10_000
+QUANTILES, SKETCH = 1_000, 10_000  # quantiles of a sequence that are known, and the ranks that its sketch tells apart
 
 # fixed values: step types
 FIRST, MID = 0, 1
@@ -30,23 +32,23 @@ def timesteps(obs: DataFrame, step: str = "step", episode: str = "episode") -> D
     return _null_safe(obs, first, [episode, step], "left").select(*[F.col(f"x.{c}") for c in obs.columns], F.lit(1.0).alias("discount"), kind.alias("step_type"))
 
 
-def _with_following(rows: DataFrame, ahead: int, episode: str, step: str, chunk: int, columns: Sequence[str]) -> DataFrame:
-    """Rows with ``_ahead``: ``columns`` of the next ``ahead`` rows of the episode as far as there are any, whatever the distance.
+def _with_following(rows: DataFrame, ahead: int, episode: str, step: str, chunk: int) -> DataFrame:
+    """Rows with ``_ahead``, the next ``ahead`` rows of the episode as far as there are any, whatever the distance.
 
     Rows are shuffled once, by episode and block of ``chunk`` step numbers. A block's last rows take the first rows of the blocks
     that follow; only those first rows meet per episode. NULL is an episode like others; a row with a NULL step has no next.
     """
-    # a NULL inside a struct equals another one in joins, too
+    # a NULL inside a struct equals another one in joins, too; first rows come from the same shuffle, so they carry whole rows
     cut = rows.select(
-        F.struct(*rows.columns).alias("_row"), F.struct(episode).alias("_key"), F.col(step).alias("_step"), F.struct(*columns).alias("_next"),
+        F.struct(*rows.columns).alias("_row"), F.struct(episode).alias("_key"), F.col(step).alias("_step"),
         (F.col(step) - F.pmod(F.col(step), F.lit(chunk))).alias("_block"),
     )
     inside = Window.partitionBy("_key", "_block").orderBy("_step")
-    after = F.collect_list("_next").over(inside.rowsBetween(1, ahead)) if ahead > 1 else F.array_compact(F.array(F.lead("_next").over(inside)))
-    heads = cut.select("_key", "_block", "_step", "_next", F.row_number().over(inside).alias("_place")).where((F.col("_place") <= ahead) & F.col("_block").isNotNull())
+    after = F.collect_list("_row").over(inside.rowsBetween(1, ahead)) if ahead > 1 else F.array_compact(F.array(F.lead("_row").over(inside)))
+    heads = cut.withColumn("_earlier", F.lag(F.lit(1), ahead).over(inside)).where(F.col("_earlier").isNull())
     along = Window.partitionBy("_key").orderBy("_step")
     beyond = heads.select(
-        "_key", "_block", F.collect_list("_next").over(along.rowsBetween(1, ahead)).alias("_beyond"), F.lead("_block").over(along).alias("_later")
+        "_key", "_block", F.collect_list("_row").over(along.rowsBetween(1, ahead)).alias("_beyond"), F.lead("_block").over(along).alias("_later")
     ).where(F.col("_later") != F.col("_block"))
     found = cut.withColumn("_after", after).join(beyond.drop("_later"), ["_key", "_block"], "left")
     followed = F.concat("_after", F.slice(F.coalesce("_beyond", F.array()), F.lit(1), F.lit(ahead) - F.size("_after")))
@@ -61,7 +63,7 @@ def transition_pairs(
 
     NULL is an episode like others; a row with a NULL step is kept and has no next.
     """
-    paired = _with_following(steps, 1, episode, step, chunk, columns)
+    paired = _with_following(steps, 1, episode, step, chunk)
     following = F.get("_ahead", F.lit(0))
     return paired.select(*steps.columns, *[following[c].alias(f"next_{c}") for c in columns])
 
@@ -88,7 +90,7 @@ def sequences(
     """All runs of ``n`` rows of an episode that follow each other ``(episode, step, items)``, one per start."""
     if n == 1:
         return rows.select(episode, step, F.array(F.struct(*rows.columns)).alias("items"))
-    listed = _with_following(rows, n - 1, episode, step, chunk, rows.columns)
+    listed = _with_following(rows, n - 1, episode, step, chunk)
     items = F.concat(F.array(F.struct(*rows.columns)), "_ahead")
     return listed.where((F.size("_ahead") == n - 1) & F.col(step).isNotNull()).select(episode, step, items.alias("items"))
 
@@ -102,9 +104,9 @@ def _null_safe(df: DataFrame, other: DataFrame, keys: Sequence[str], how: str) -
 def retain_latest(df: DataFrame, n: int, seq: str = "seq", by: Sequence[str] = (), width: int = 1_000_000) -> DataFrame:
     """The newest ``n`` rows by the unique BIGINT ``seq``, overall or per group.
 
-    Overall: rows are counted per range of ``width`` sequence numbers; older ranges that the newest
-    ``n`` rows cannot reach are dropped by a filter, so at most ``n + width`` rows meet in the final
-    sort, however large the table is. Per group, too: ranges that the group's newest ``n`` rows cannot
+    Overall: one aggregate counts the rows and sketches the distribution of ``seq``; a filter on the scan then drops what is below
+    a quantile that the newest ``n`` rows cannot reach, so that little more than a thousandth of the table (and ``n``) is sorted, however the
+    numbers are spread. Per group: ranges of ``width`` sequence numbers that the group's newest ``n`` rows cannot
     reach are dropped first, so a group with very many rows brings few to the sort.
     """
     if by:
@@ -115,11 +117,11 @@ def retain_latest(df: DataFrame, n: int, seq: str = "seq", by: Sequence[str] = (
         df = _null_safe(df.withColumn("_range", range_start(seq, width)), reach.drop("_rows", "_newer"), [*by, "_range"], "left_semi").drop("_range")
         newest = Window.partitionBy(*by).orderBy(F.desc(seq))
         return df.withColumn("_rank", F.row_number().over(newest)).where(F.col("_rank") <= n).drop("_rank")
-    newer = Window.orderBy(F.desc("_range")).rowsBetween(Window.unboundedPreceding, -1)
-    counts = df.groupBy(range_start(seq, width).alias("_range")).agg(F.count("*").alias("_rows"))
-    reach = counts.withColumn("_newer", F.coalesce(F.sum("_rows").over(newer), F.lit(0))).where(F.col("_newer") < n)
-    oldest = reach.agg(F.min("_range")).scalar()
-    # a range is known by its first number, so that the scan itself can skip older rows
+    marks = F.percentile_approx(seq, [k / QUANTILES for k in range(QUANTILES + 1)], SKETCH)
+    found = df.agg(F.count(seq).alias("_rows"), marks.alias("_marks"), F.min(seq).alias("_least"))
+    # the sketch may be off by one rank in SKETCH; twice that and one row are left as a margin
+    reach = F.floor(F.lit(QUANTILES) * (1 - (F.lit(n) + 1) / F.greatest("_rows", F.lit(1)) - F.lit(2.0 / SKETCH))).cast("int")
+    oldest = found.select(F.when(reach > 0, F.get("_marks", reach)).otherwise(F.col("_least"))).scalar()
     return df.where(F.col(seq) >= oldest).orderBy(F.desc(seq)).limit(n)
 
 
@@ -130,15 +132,15 @@ def draw(k: Column, seed: int, n: Column) -> Column:
 
 
 def sample_batches(
-    df: DataFrame, batch: int = 10, batches: int | None = None, seed: int = 0, seq: str = "seq", width: int = 1_000_000
+    df: DataFrame, batch: int = 10, batches: int | None = None, seed: int = 0, seq: str = "seq"
 ) -> DataFrame:
     """Uniform sample with replacement ``(batch_no, draw_no, <columns>)``.
 
     ``batches=None`` draws as many rows as the table has. Draws meet rows in an equi-join on the
-    dense row number, which a hash spreads evenly.
+    dense row number, which a hash spreads evenly; ``seq`` may be as sparse as it likes.
     """
-    indexed = dense_index(df, seq, width, "_idx")
-    n = df.agg(F.count("*")).scalar()
+    indexed = dense_index(df, seq, "_idx")
+    n = indexed.agg(F.count("*")).scalar()
     if batches is None:
         numbers = indexed.select(F.col("_idx").alias("draw_no"))
     else:
@@ -149,6 +151,38 @@ def sample_batches(
     ).select("batch_no", "draw_no", *df.columns)
 
 
+def draw_counts(df: DataFrame, draws: int, seed: int = 0, seq: str = "seq", rows: int = 1_000_000) -> DataFrame:
+    """``df`` with ``draws``: how often each row is drawn when ``draws`` rows are taken uniformly with replacement, rows not drawn left out.
+
+    The number of draws that fall on each range of about ``rows`` rows is drawn first, from the multinomial law of the ranges' sizes; only those numbers, one per
+    range, pass the driver. A range's draws are then dealt out inside it by row number. No draw is shuffled and no row
+    is numbered across ranges. The same table, seed and ranges give the same sample.
+    """
+    import numpy as np
+
+    ranged = written(df.select(F.struct(*df.columns).alias("_row"), F.col(seq).alias("_seq"), F.pmod(F.xxhash64(seq), F.lit(_ranges(df, rows))).alias("_range")), "ranges")
+    sizes = sorted(tuple(r) for r in ranged.groupBy("_range").count().collect())
+    if not sizes or draws <= 0:
+        return df.limit(0).withColumn("draws", F.lit(0).cast("bigint"))
+    total = sum(n for _, n in sizes)
+    dealt = np.random.default_rng(seed).multinomial(draws, [n / total for _, n in sizes]).tolist()
+    table = [(r, n, k) for (r, n), k in zip(sizes, dealt, strict=True) if k]
+    falls = df.sparkSession.createDataFrame(table, "_range bigint, _size bigint, _draws bigint")
+    # draws of a range: numbers 0.. hashed to places in it, and counted there
+    number = F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("_draws") - 1))
+    hits = falls.repartition("_range").select("_range", "_size", number.alias("_k"))
+    key = F.concat_ws("-", F.lit(seed), "_range", "_k")
+    place = F.pmod(F.conv(F.substring(F.md5(key), 1, 15), 16, 10).cast("bigint"), F.col("_size")).alias("_place")
+    counts = hits.select("_range", place).groupBy("_range", "_place").agg(F.count("*").alias("draws"))
+    placed = ranged.withColumn("_place", F.row_number().over(Window.partitionBy("_range").orderBy("_seq")).cast("bigint") - 1)
+    return placed.join(counts, ["_range", "_place"]).select("_row.*", "draws")
+
+
+def _ranges(df: DataFrame, rows: int) -> int:
+    """How many ranges of about so many rows a table has."""
+    return max(1, -(-df.count() // rows))
+
+
 def episode_rollup(steps: DataFrame, episode: str = "episode") -> DataFrame:
     """Step count, total and mean reward per episode."""
     return steps.groupBy(episode).agg(

@@ -145,7 +145,7 @@ def test_running_total_over_chunks(spark):
 
 def test_dense_index_over_gaps(spark):
     seqs = random.Random(4).sample(range(10_000), 300)
-    got = dense_index(spark.createDataFrame([(s,) for s in seqs], "seq bigint"), "seq", width=500)
+    got = dense_index(spark.createDataFrame([(s,) for s in seqs], "seq bigint"), "seq")
     assert [r["idx"] for r in got.orderBy("seq").collect()] == list(range(300))
 
 
@@ -203,7 +203,7 @@ def test_samples_are_reproducible_and_with_replacement(spark):
     one = replay.sample_batches(df, batch=10, batches=30, seed=1)
     rows = {(r["batch_no"], r["draw_no"]): r["name"] for r in one.collect()}
     assert len(rows) == 300
-    assert rows == {(r["batch_no"], r["draw_no"]): r["name"] for r in replay.sample_batches(df, 10, 30, 1, width=7).collect()}
+    assert rows == {(r["batch_no"], r["draw_no"]): r["name"] for r in replay.sample_batches(df.repartition(5), 10, 30, 1).collect()}
     assert rows != {(r["batch_no"], r["draw_no"]): r["name"] for r in replay.sample_batches(df, 10, 30, 2).collect()}
     counts = [list(rows.values()).count(f"r{i}") for i in range(50)]
     assert 0 < max(counts) < 20
@@ -236,3 +236,18 @@ def test_runs_over_several_sparse_blocks(spark, n, chunk):
     found = replay.sequences(spark.createDataFrame(rows, "episode string, step bigint, name string").repartition(3), n, chunk=chunk)
     want = [(e, [x[2] for x in own[i : i + n]]) for e in "abcd" for own in [[x for x in rows if x[0] == e]] for i in range(len(own) - n + 1)]
     assert sorted((x["episode"], [i["name"] for i in x["items"]]) for x in found.collect()) == sorted(want)
+
+
+def test_draws_by_counts_follow_the_law(spark):
+    df = spark.createDataFrame([(10**12 * k + k % 3, f"n{k}") for k in range(200)], "seq bigint, name string")
+    counts = dict.fromkeys([f"n{k}" for k in range(200)], 0)
+    for seed in range(5):
+        found = {r["name"]: r["draws"] for r in replay.draw_counts(df, 4_000, seed, rows=30).collect()}
+        assert sum(found.values()) == 4_000
+        for name, k in found.items():
+            counts[name] += k
+    # chi-square of 199 degrees of freedom: mean 199, standard deviation 20
+    assert 120 < sum((k - 100) ** 2 / 100 for k in counts.values()) < 290
+    again = {r["name"]: r["draws"] for r in replay.draw_counts(df.repartition(3), 4_000, 4, rows=30).collect()}
+    assert again == found
+    assert replay.draw_counts(df.limit(0), 10).count() == 0 and replay.draw_counts(df, 0).count() == 0
