@@ -10,11 +10,10 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import tiktoken
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.functions import pandas_udf
 
-from telemill.llm.tables import stored
 from telemill.llm.words import mixed, text_batches
 
 #: How the vocabulary cuts text before merging.
@@ -24,6 +23,7 @@ END = 50256  # ends a document, and fills up its last sequence
 SHARD = 1024  # sequences of a shard
 TOGETHER = 16  # shards that one task writes
 ROUNDS = 6
+BITS = 16  # first bits of a row's hash by which rows are numbered
 SECTION = 1 << 20  # characters tokenised at once; cut where white space begins, which no token spans
 
 
@@ -67,62 +67,66 @@ def tokens_of(text: str | None, path: str) -> np.ndarray:
 
 
 def sequences(docs: DataFrame, path: str, length: int = LENGTH) -> DataFrame:
-    """Per sequence: index (gapless from 0), doc_id, part (from 0), n_tokens, record (``length`` little-endian 16-bit ids).
+    """Per sequence: index (gapless from 0), size (how many there are), doc_id, part (from 0), n_tokens, record (``length`` little-endian 16-bit ids).
 
     A document's tokens and ``END`` are cut into sequences of ``length``, the last one filled up with ``END``; null
-    and empty texts give one sequence. Written down once: the index counts rows in the order written.
+    and empty texts give one sequence. The index follows a hash of doc_id and text, then doc_id, part and record, so it depends on the rows alone,
+    not on how they are read: rows are dealt by the hash's first bits, numbered among those, and
+    the numbers before are added, one per value of these bits. Rows alike in all that are alike in every way.
     """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in text_batches(batch):
-                ids, parts, counts, records = [], [], [], []
-                for doc_id, text in zip(part.column("doc_id").to_pylist(), part.column("text").to_pylist(), strict=True):
+                hashes, ids, parts, counts, records = [], [], [], [], []
+                columns = (part.column(c).to_pylist() for c in ("hash", "doc_id", "text"))
+                for value, doc_id, text in zip(*columns, strict=True):
                     tokens = tokens_of(text, path)
                     rows = -(-len(tokens) // length)
                     filled = np.full(rows * length, END, dtype="<u2")
                     filled[: len(tokens)] = tokens
                     raw = filled.tobytes()
+                    hashes += [value] * rows
                     ids += [doc_id] * rows
                     parts += range(rows)
                     counts += [min(length, len(tokens) - k * length) for k in range(rows)]
                     records += [raw[2 * length * k : 2 * length * (k + 1)] for k in range(rows)]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(ids, pa.int64()), pa.array(parts, pa.int32()), pa.array(counts, pa.int32()), pa.array(records, pa.binary())], ["doc_id", "part", "n_tokens", "record"]
-                )
-
-    cut = docs.select("doc_id", "text").mapInArrow(run, "doc_id long, part int, n_tokens int, record binary")
-    cut = stored(cut.withColumn("row", F.monotonically_increasing_id()), "sequences")
-    # the number counts rows within a partition, so a count per partition makes it gapless
-    task = F.shiftright("row", 33)
-    starts, at = [], 0
-    for r in cut.groupBy(task.alias("task")).count().orderBy("task").collect():
-        starts.append((r["task"], at))
-        at += r["count"]
-    table = cut.sparkSession.createDataFrame(starts, "task long, start long")
-    return cut.withColumn("task", task).join(F.broadcast(table), "task").select(
-        (F.col("start") + F.col("row").bitwiseAND(F.lit((1 << 33) - 1))).alias("index"), "doc_id", "part", "n_tokens", "record"
+                kinds = (hashes, pa.int64()), (ids, pa.int64()), (parts, pa.int32()), (counts, pa.int32()), (records, pa.binary())
+                yield pa.RecordBatch.from_arrays([pa.array(x, kind) for x, kind in kinds], ["hash", "doc_id", "part", "n_tokens", "record"])
+
+    cut = docs.select(F.xxhash64("doc_id", "text").alias("hash"), "doc_id", "text").mapInArrow(
+        run, "hash long not null, doc_id long, part int, n_tokens int not null, record binary"
+    ).withColumn("bucket", F.shiftrightunsigned("hash", 64 - BITS))
+    place = F.row_number().over(Window.partitionBy("bucket").orderBy("hash", "doc_id", "part", "record"))
+    numbered = cut.withColumn("place", place)
+    # the counts look at all columns that the numbers need, so that one shuffle serves both and texts are tokenised once
+    counts = numbered.groupBy("bucket").agg(F.max("place").alias("rows"), F.max("n_tokens").alias("most"))
+    along = Window.orderBy("bucket")  # 2^BITS rows at most
+    starts = counts.where("most > 0").select(
+        "bucket", (F.sum("rows").over(along) - F.col("rows")).alias("start"), F.sum("rows").over(Window.partitionBy()).alias("size")
+    )
+    return numbered.join(F.broadcast(starts), "bucket").select(
+        (F.col("start") + F.col("place") - 1).alias("index"), "size", "doc_id", "part", "n_tokens", "record"
     )
 
 
-def placed(rows: DataFrame, size: int, key: int, shard: int = SHARD) -> DataFrame:
-    """``rows`` of ``sequences`` with slot (their place among ``size``) and shard."""
+def placed(rows: DataFrame, key: int, shard: int = SHARD) -> DataFrame:
+    """``rows`` of ``sequences`` with slot (their place among all) and shard."""
     @pandas_udf("long")
-    def slot(index: pd.Series) -> pd.Series:
-        return pd.Series(feistel(index.to_numpy(), size, key))
+    def slot(index: pd.Series, size: pd.Series) -> pd.Series:
+        return pd.Series(feistel(index.to_numpy(), int(size.iloc[0]), key) if len(index) else index)
 
-    return rows.withColumn("slot", slot("index")).withColumn("shard", F.floor(F.col("slot") / shard).cast("long")).drop("index")
+    return rows.withColumn("slot", slot("index", "size")).withColumn("shard", F.floor(F.col("slot") / shard).cast("long")).drop("index", "size")
 
 
 def shards(docs: DataFrame, path: str, key: int = 20240607, length: int = LENGTH, shard: int = SHARD) -> DataFrame:
     """A row per shard, in training order: shard, first_slot, stride (bytes), doc_ids, parts, n_tokens, payload.
 
     Sequence s of the order lies in shard s // ``shard`` at byte (s % ``shard``) * ``stride`` of its payload. All
-    shards but the last hold equally many sequences. Ranges of shards are one partition each.
+    shards but the last hold equally many sequences. Ranges of shards go to a task together; the same rows,
+    key and lengths give the same shards, however the rows are split when read.
     """
-    rows = sequences(docs, path, length)
-    size = rows.count()
-    count = max(1, -(-size // (shard * TOGETHER)))
-    ordered = placed(rows, size, key, shard).repartitionByRange(count, "shard").sortWithinPartitions("slot")
+    ranges = F.expr(f"shard div {TOGETHER}")
+    ordered = placed(sequences(docs, path, length), key, shard).repartition(ranges).sortWithinPartitions("slot")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
@@ -154,7 +158,10 @@ def _shard(held: list[pa.RecordBatch], stride: int) -> pa.RecordBatch:
 
 
 def write(found: DataFrame, path: str) -> None:
-    """Adds the shards that ``path`` does not hold yet, so that a write that broke off can be taken up again."""
+    """Adds the shards that ``path`` does not hold yet, so that a write that broke off can be taken up again.
+
+    ``found`` must come from the same rows, key and lengths as before; how they are split when read does not matter.
+    """
     try:
         done = found.sparkSession.read.parquet(path).select("shard")
     except Exception as error:  # nothing written yet
@@ -162,7 +169,7 @@ def write(found: DataFrame, path: str) -> None:
             raise
         found.write.mode("append").parquet(path)
         return
-    found.join(F.broadcast(done.distinct()), "shard", "left_anti").write.mode("append").parquet(path)
+    found.join(done.distinct(), "shard", "left_anti").write.mode("append").parquet(path)
 
 
 def read(spark: SparkSession, path: str, slot: int = 0, shard: int = SHARD) -> DataFrame:

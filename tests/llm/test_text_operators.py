@@ -4,6 +4,8 @@ import re
 
 import numpy as np
 import public_tokenizers
+import collections
+
 import pytest
 from tokenizers import Tokenizer
 
@@ -136,3 +138,23 @@ def test_sections_change_no_token(monkeypatch):
     whole = training_order.tokens_of(text, BYTES).tolist()
     monkeypatch.setattr(training_order, "SECTION", 7)
     assert training_order.tokens_of(text, BYTES).tolist() == whole
+
+
+def test_a_resumed_write_is_whole_however_the_rows_are_read(spark, tmp_path):
+    rows = [(k % 150, f"text number {k % 150} " * (k % 40)) for k in range(300)] + [(None, None), (None, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    one, two, path = str(tmp_path / "one"), str(tmp_path / "two"), str(tmp_path / "out")
+    docs.repartition(3).write.parquet(one)
+    docs.orderBy("text").coalesce(1).write.parquet(two)
+    first = training_order.shards(spark.read.parquet(one), BYTES, key=7, length=16, shard=10)
+    second = training_order.shards(spark.read.parquet(two), BYTES, key=7, length=16, shard=10)
+    assert sorted(map(str, first.collect())) == sorted(map(str, second.collect()))
+    training_order.write(first.where("shard % 2 = 0"), path)
+    training_order.write(second, path)
+    found = training_order.read(spark, path, shard=10).collect()
+    assert [r["slot"] for r in found] == list(range(len(found)))
+    have = collections.Counter((r["doc_id"], r["part"], bytes(r["record"])) for r in found)
+    want = collections.Counter((r["doc_id"], r["part"], bytes(r["record"])) for r in training_order.sequences(docs, BYTES, 16).collect())
+    assert have == want and len(found) > 300
+    # texts are tokenised once, though numbers and rows both need them
+    assert "Reused" in first._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
