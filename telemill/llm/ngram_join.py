@@ -236,7 +236,7 @@ class Join:
         return self._paired(docs)[1:]
 
     def linked(self, docs: DataFrame) -> DataFrame:
-        """Per row of ``docs``: doc_id, n_shingles, n_links (other documents similar to it), component_id as ``clusters`` has it."""
+        """Per row of ``docs``: doc_id, n_shingles, component_id as ``clusters`` has it, n_links (other documents similar to it)."""
         sizes, member, links = self._paired(docs)
         several = member.groupBy("doc_id").agg(F.min("class").alias("a"), F.max("class").alias("last")).where("a < last")
         several = stored(member.join(several.select("doc_id", "a"), "doc_id"), "several")
@@ -262,8 +262,8 @@ class Join:
         least = within.groupBy("component").agg(F.min("doc_id").alias("component_id"))
         least = within.select("doc_id", "component").distinct().join(least, "component").drop("component")
         return sizes.join(counts, "doc_id", "left").join(least, "doc_id", "left").select(
-            "doc_id", F.col("n").alias("n_shingles"), F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"),
-            F.coalesce("component_id", "doc_id").alias("component_id"),
+            "doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"),
+            F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"),
         )
 
     def clusters(self, docs: DataFrame) -> DataFrame:

@@ -108,7 +108,7 @@ def test_every_link_is_found(spark, monkeypatch, words, percent, group):
 
 def test_links_of_odd_rows(spark, odd):
     have = Join(3, 90).linked(odd)
-    assert have.columns == ["doc_id", "n_shingles", "n_links", "component_id"]
+    assert have.columns == ["doc_id", "n_shingles", "component_id", "n_links"]
     rows = have.collect()
     assert len(rows) == odd.count() and all(r["n_links"] == 0 and r["component_id"] == r["doc_id"] for r in rows)
     assert Join(3, 90).linked(odd.limit(0)).collect() == []
