@@ -13,6 +13,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from telemill.functions.timegrid import at, epoch_us, floor_to, micros
+from telemill.operators.asof import asof_join
+from telemill.operators.chunked import number_rows
 
 OBS = ("obs_t",)
 
@@ -29,12 +31,18 @@ def bin_mean(df: DataFrame, step, by: Sequence[str] = OBS, t: str = "t", value:
     return df.groupBy(*by, bins.alias("_bin")).agg(F.avg(F.when(~F.isnan(value), F.col(value))).alias(value)).withColumn(t, at(F.col("_bin"))).drop("_bin")
 
 
-def resample(df: DataFrame, step, by: Sequence[str] = OBS, t: str = "t", value: str = "v") -> DataFrame:
-    """Bin means on the regular grid from the first to the last bin; empty bins are NULL."""
+def resample(df: DataFrame, step, by: Sequence[str] = OBS, t: str = "t", value: str = "v", spread: str | None = None) -> DataFrame:
+    """Bin means on the regular grid from the first to the last bin; empty bins are NULL.
+
+    ``spread`` names a width of time by which long groups are dealt out, so that none has to fit into one task.
+    """
     s = micros(step)
     bins = bin_mean(df, step, by, t, value).withColumn("_e", epoch_us(t))
-    following = F.lead("_e").over(Window.partitionBy(*by).orderBy("_e"))
-    filled = bins.withColumn("_stop", F.coalesce(following - F.lit(s), F.col("_e"))).withColumn(
+    if spread:
+        bins = asof_join(bins, bins.select(*by, "_e", F.col("_e").alias("_later")), by, "_e", ["_later"], width=micros(spread), direction="forward", exact=False)
+    else:
+        bins = bins.withColumn("_later", F.lead("_e").over(Window.partitionBy(*by).orderBy("_e")))
+    filled = bins.withColumn("_stop", F.coalesce(F.col("_later") - F.lit(s), F.col("_e"))).withColumn(
         "_slot", F.explode(F.sequence("_e", "_stop", F.lit(s).cast("bigint")))
     )
     return filled.select(
@@ -42,8 +50,14 @@ def resample(df: DataFrame, step, by: Sequence[str] = OBS, t: str = "t", value:
     )
 
 
-def interpolate(df: DataFrame, by: Sequence[str] = OBS, t: str = "t", value: str = "v") -> DataFrame:
-    """Linear between known values by row position; leading NULLs stay, trailing ones take the last value."""
+def interpolate(df: DataFrame, by: Sequence[str] = OBS, t: str = "t", value: str = "v", spread: str | None = None) -> DataFrame:
+    """Linear between known values by row position; leading NULLs stay, trailing ones take the last value.
+
+    ``spread`` names a width of time by which long groups are dealt out: rows are numbered in pieces, and the known values before and
+    after a row are found by as-of joins, with one carry per piece. Times must be unique in a group then, and group columns not NULL.
+    """
+    if spread:
+        return _interpolate_spread(df, by, t, value, spread)
     ordered = Window.partitionBy(*by).orderBy(t)
     back = ordered.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     known = F.when(F.col(value).isNotNull() & ~F.isnan(F.col(value).cast("double")), F.col("_row"))
@@ -61,6 +75,20 @@ def interpolate(df: DataFrame, by: Sequence[str] = OBS, t: str = "t", value: str
     return rows.withColumn(value, F.coalesce(v, between, F.col("_pv"))).drop("_row", "_at", "_pv", "_pr", "_nv", "_nr")
 
 
+def _interpolate_spread(df: DataFrame, by: Sequence[str], t: str, value: str, spread: str) -> DataFrame:
+    pieces = df.withColumn("_piece", floor_to(epoch_us(t), micros(spread)))
+    rows = number_rows(pieces, by, "_piece", [t], "_row").drop("_piece")
+    v = F.col(value).cast("double")
+    known = rows.where(v.isNotNull() & ~F.isnan(v)).select(*by, t, F.struct("_row", v.alias("v")).alias("_before"))
+    rows = asof_join(rows, known, by, t, ["_before"], width=spread)
+    rows = asof_join(rows, known.withColumnRenamed("_before", "_after"), by, t, ["_after"], width=spread, direction="forward")
+    share = (F.col("_row") - F.col("_before._row")) / F.nullif(F.col("_after._row") - F.col("_before._row"), F.lit(0))
+    between = F.col("_before.v") + (F.col("_after.v") - F.col("_before.v")) * share
+    # a known row is its own neighbour on both sides
+    own = F.when(F.col("_before._row") == F.col("_row"), F.col("_before.v"))
+    return rows.withColumn(value, F.coalesce(own, between, F.col("_before.v"))).drop("_row", "_before", "_after")
+
+
 def update_flags(grid: DataFrame, marks: DataFrame, flags: Sequence[str], by: Sequence[str] = OBS, t: str = "t") -> DataFrame:
     """Overwrite flag columns where a mark has exactly the grid row's time and a value.
 

@@ -175,3 +175,20 @@ def test_bounds_violations(spark):
     got = {(r["id"], r["field"]) for r in bounds_violations(df, {"a": (0, 1), "b": (0, float("inf"))}, ["id"]).collect()}
     assert got == {(2, "a"), (2, "b"), (3, "b")}
     assert bounds_violations(df.where(F.col("id") == 1), {"a": (0, 1), "b": (0, 1)}, ["id"]).count() == 0
+
+
+def test_long_groups_are_filled_in_pieces_as_in_one(spark):
+    import random
+
+    r = random.Random(4)
+    rows = [(k, s, r.choice([None, float("nan"), r.random(), r.random()])) for k in (1, 2) for s in sorted(r.sample(range(9000), 150))]
+    rows += [(3, s, None) for s in range(0, 500, 100)] + [(4, 7, 1.0)]
+    df = table(spark, rows)
+    close = lambda found: {(x[0], x[1]): None if x[2] is None else round(x[2], 9) for x in map(tuple, found.collect())}
+    for width in ("1 minute", "10 minutes"):
+        assert close(interpolate(df, spread=width).select(*df.columns)) == close(interpolate(df))
+        assert close(resample(df, "15 seconds", spread=width).where("not isnan(v) or v is null")) == close(resample(df, "15 seconds"))
+        whole = interpolate(resample(df, "15 seconds", spread=width), spread=width)
+        assert close(whole) == close(interpolate(resample(df, "15 seconds")))
+    spread = interpolate(df, spread="1 minute").withColumn("task", F.spark_partition_id())
+    assert spread.where(F.col(df.columns[0]) == df.first()[0]).select("task").distinct().count() > 1
