@@ -52,7 +52,8 @@ def manifest(docs: DataFrame, leaf: Column, group: str = "source", order: str =
     key = F.concat(F.lit("="), F.col(f"`{group}`").cast("string"))
     rest = F.struct(*carried) if carried else F.lit(0)
     rows = docs.select(F.coalesce(key, F.lit("")).alias("g"), F.col(f"`{order}`").alias("o"), leaf.alias("node"), rest.alias("rest"))
-    leaves, tops = _proved(numbered(rows, "g", ["o", "node"], "leaves").withColumnRenamed("_pos", "pos"))
+    # written first, so that texts are read and hashed once although ranges are sampled before they are dealt
+    leaves, tops = _proved(numbered(stored(rows, "digests"), "g", ["o", "node"], "leaves").withColumnRenamed("_pos", "pos"))
     tops = numbered(tops.select(F.lit(0).alias("one"), F.col("g").alias("of"), F.col("top").alias("node")), "one", ["of"], "subroots")
     above, _ = _proved(tops.select(F.lit("").alias("g"), F.col("_pos").alias("pos"), "node", F.struct("of").alias("rest")))
     above = small(above.select(F.col("rest.of").alias("g"), F.col("top").alias("root"), F.col("path").alias("above")), GROUPS)
