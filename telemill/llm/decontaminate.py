@@ -2,18 +2,24 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from telemill.llm.tables import only, small, stored, without
 
-#: Word positions that each mask looks at; the ones between are free to differ.
-MASKS = ((0, 1, 3, 4, 6), (0, 2, 3, 5, 8), (0, 3, 4, 7, 8), (0, 1, 2, 3))
-#: Items of fewer words need the last mask too: the others leave some of the allowed changes without a seed.
-SHORT = 18
-SPAN = 1 + max(max(m) for m in MASKS)
+#: Word positions that each mask looks at (the ones between are free to differ), and the sizes of the items it is laid on.
+#: Whatever words of an item differ, as far as ``AGREE`` allows, one of its masks sees none of them.
+ENDLESS = 1 << 30
+MASKS = (
+    ((0, 1, 3, 4, 6), 9, ENDLESS), ((0, 2, 3, 5, 8), 9, ENDLESS), ((0, 3, 4, 7, 8), 9, ENDLESS), ((0, 1, 2, 3), 4, 17),
+    ((0, 1, 3, 4), 5, 7), ((0, 2, 3, 4), 5, 5), ((0, 1, 2, 4), 5, 5), ((0, 1, 2), 3, 3), ((0, 1), 2, 2), ((0,), 1, 1),
+)
 #: Words of an item that are held against a document at once, and the percentage of them that must agree.
 WINDOW, AGREE = 20, 80
+#: ``clean`` takes items of fewer words for ordinary phrases.
+EVIDENCE = 5
 #: Seeds sent to all executors at most (some 100 MB as a hash table); beyond it windows are shuffled to them.
 BROADCAST_SEEDS = 2_000_000
 
@@ -27,23 +33,24 @@ def _hashes(text: Column) -> Column:
     return F.transform(words_of(text), lambda w: F.xxhash64(w))
 
 
-def _seeds(rows: DataFrame) -> DataFrame:
+def _seeds(rows: DataFrame, masks: Sequence[int] = range(len(MASKS))) -> DataFrame:
     """A row per mask and position at which it fits into the words ``h``: key, mask, at; ``h`` itself goes."""
     keep = [c for c in rows.columns if c != "h"]
-    spans = [1 + max(m) for m in MASKS]
-    last = F.size("h") - min(spans)
-    every = rows.where(last >= 0).select("*", F.explode(F.sequence(F.lit(0), (last + 1) * len(MASKS) - 1)).alias("i"))
-    at = F.floor(F.col("i") / len(MASKS)).cast("int")
-    every = every.select("*", (F.col("i") % len(MASKS)).cast("int").alias("mask"), at.alias("at"))
-    every = every.where(F.col("at") + F.array(*map(F.lit, spans))[F.col("mask")] <= F.size("h"))
-    keys = [F.xxhash64(F.lit(k), *[F.get("h", F.col("at") + p) for p in mask]) for k, mask in enumerate(MASKS)]
-    key = keys[-1]
-    for k in range(len(MASKS) - 1):
+    spans = {k: 1 + max(MASKS[k][0]) for k in masks}
+    last = F.size("h") - min(spans.values())
+    every = rows.where(last >= 0).select("*", F.explode(F.sequence(F.lit(0), (last + 1) * len(masks) - 1)).alias("i"))
+    mask, at = F.array(*map(F.lit, masks))[(F.col("i") % len(masks)).cast("int")], F.floor(F.col("i") / len(masks)).cast("int")
+    every = every.select("*", mask.alias("mask"), at.alias("at"))
+    span = F.array(*map(F.lit, spans.values()))[(F.col("i") % len(masks)).cast("int")]
+    every = every.where(F.col("at") + span <= F.size("h"))
+    keys = {k: F.xxhash64(F.lit(k), *[F.get("h", F.col("at") + p) for p in MASKS[k][0]]) for k in masks}
+    key = keys[masks[-1]]
+    for k in masks[:-1]:
         key = F.when(F.col("mask") == k, keys[k]).otherwise(key)
     return every.select(*keep, key.alias("key"), "mask", "at")
 
 
-def overlaps(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+def overlaps(docs: DataFrame, benchmark: DataFrame, least: int = 1) -> DataFrame:
     """Items that documents hold: doc_id, item_id, agreeing, window, start (word of the document), and the row's ``uid``.
 
     A mask's hash at some words of an item that equals the same mask's hash in a document fixes how the two lie
@@ -51,16 +58,20 @@ def overlaps(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     the document in at least ``AGREE`` percent of its places; places beyond the document's ends do not agree. One
     row per document and item: the most agreeing words, then the smallest start.
 
-    Items of fewer than ``SPAN`` words are no evidence and never found. Null texts have no words, and null ids are
-    values like others. Rows alike in doc_id and text are one, as are items. Other columns are not looked at.
+    Items of fewer than ``least`` words, or none, are left out. Of one to four words all must agree, and such items
+    may be met by chance. Documents are cut under those masks alone that some item needs. Null texts have no words,
+    and null ids are values like others. Rows alike in doc_id and text are one, as are items. Other columns are not
+    looked at.
     """
     docs, uid = _with_uid(docs)
-    items = benchmark.select("item_id", _hashes(F.col("text")).alias("h")).where(F.size("h") >= SPAN).distinct()
+    items = benchmark.select("item_id", _hashes(F.col("text")).alias("h")).where(F.size("h") >= max(least, 1)).distinct()
     items = stored(items.withColumn("item", F.monotonically_increasing_id()), "items")
-    seeds = _seeds(items.select("item", F.size("h").alias("size"), "h")).where((F.col("mask") < len(MASKS) - 1) | (F.col("size") < SHORT))
-    seeds = small(seeds.select("key", "item", F.col("at").alias("item_at")), BROADCAST_SEEDS)
-    windows = _seeds(docs.select(uid, _hashes(F.col("text")).alias("h")))
-    hits = windows.join(seeds, "key").select("uid", "item", (F.col("at") - F.col("item_at")).alias("shift"))
+    low, high = (F.array(*[F.lit(m[k]) for m in MASKS])[F.col("mask")] for k in (1, 2))
+    seeds = _seeds(items.select("item", F.size("h").alias("size"), "h")).where(F.col("size").between(low, high))
+    seeds = stored(seeds.select("key", "item", F.col("at").alias("item_at"), "mask"), "seeds")
+    needed = sorted(r["mask"] for r in seeds.select("mask").distinct().collect()) or [0]
+    windows = _seeds(docs.select(uid, _hashes(F.col("text")).alias("h")), needed)
+    hits = windows.join(small(seeds.drop("mask"), BROADCAST_SEEDS), "key").select("uid", "item", (F.col("at") - F.col("item_at")).alias("shift"))
     hits = stored(hits.distinct(), "hits")
 
     held = stored(only(docs, hits, "uid").select("uid", "doc_id", _hashes(F.col("text")).alias("doc_h")).distinct(), "held")
@@ -88,7 +99,8 @@ def _with_uid(docs: DataFrame) -> tuple[DataFrame, str]:
     return named.withColumn("uid", F.xxhash64(F.col("doc_id").isNull(), "doc_id", "text")), "uid"
 
 
-def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """``docs`` without the documents that hold an item."""
-    found = overlaps(docs, benchmark).select(F.col("uid").alias("_uid"))
-    return without(docs.withColumn("_uid", F.xxhash64(F.col("doc_id").isNull(), "doc_id", "text")), found, "_uid").drop("_uid")
+def clean(docs: DataFrame, benchmark: DataFrame, least: int = EVIDENCE) -> DataFrame:
+    """``docs`` without the documents that hold an item of at least ``least`` words. Columns may have any names."""
+    own = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    rows = docs.select(F.xxhash64(F.col("doc_id").isNull(), "doc_id", "text").alias("uid"), own.alias("own"))
+    return without(rows, overlaps(docs, benchmark, least).select("uid"), "uid").select("own.*")

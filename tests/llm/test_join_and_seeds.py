@@ -132,17 +132,11 @@ def brute_leaks(docs, items):
         words = split(text)
         for item_id, item in items:
             own = split(item)
-            if len(own) < decontaminate.SPAN:
+            if not own:
                 continue
             width = min(len(own), decontaminate.WINDOW)
             for shift in range(-len(own) + 1, len(words)):
                 same = [0 <= shift + k < len(words) and words[shift + k] == w for k, w in enumerate(own)]
-                seeded = any(
-                    all(same[k + p] for p in mask)
-                    for k in range(len(own) - decontaminate.SPAN + 1) if 0 <= shift + k and shift + k + decontaminate.SPAN <= len(words) for mask in decontaminate.MASKS
-                )
-                if not seeded:
-                    continue
                 best = max((sum(same[s : s + width]), -s) for s in range(len(own) - width + 1))
                 if best[0] * 100 >= width * decontaminate.AGREE:
                     key = (best[0], -(shift - best[1]))
@@ -153,7 +147,7 @@ def brute_leaks(docs, items):
 def test_leaks_are_brute_force(spark):
     pick = random.Random(3)
     word = lambda: f"w{pick.randrange(60)}"
-    items = [(k, " ".join(word() for _ in range(pick.choice([5, 8, 9, 15, 25, 60])))) for k in range(14)]
+    items = [(k, " ".join(word() for _ in range(pick.choice([1, 2, 3, 4, 5, 6, 7, 8, 9, 15, 25, 60])))) for k in range(24)]
     docs = []
     for k in range(60):
         words = [word() for _ in range(pick.randrange(0, 60))]
@@ -169,9 +163,9 @@ def test_leaks_are_brute_force(spark):
     assert len(want) > 20
 
 
-def test_short_items_are_found_with_any_fifth_of_the_words_replaced(spark):
+def test_items_of_all_sizes_are_found_with_any_fifth_of_the_words_replaced(spark):
     items, docs = [], []
-    for size in range(decontaminate.SPAN, decontaminate.WINDOW):
+    for size in range(1, decontaminate.WINDOW + 1):
         item = [f"i{size}w{k}" for k in range(size)]
         items.append((size, " ".join(item)))
         for places in combinations(range(size), size - -(-size * decontaminate.AGREE // 100)):
@@ -180,6 +174,22 @@ def test_short_items_are_found_with_any_fifth_of_the_words_replaced(spark):
     assert {(r["doc_id"], r["item_id"]) for r in found.collect()} == {(d, size) for d, size, _ in docs}
 
 
+def test_short_phrases_do_not_remove_documents(spark):
+    docs = spark.createDataFrame([(1, "it is yes or no"), (2, "take one two three four five now"), (3, None)], "doc_id long, text string")
+    items = spark.createDataFrame([(7, "Yes"), (8, "one two three four five"), (9, "one two three")], "item_id long, text string")
+    assert {(r["doc_id"], r["item_id"]) for r in decontaminate.overlaps(docs, items).collect()} == {(1, 7), (2, 8), (2, 9)}
+    assert [r["doc_id"] for r in decontaminate.clean(docs, items).orderBy("doc_id").collect()] == [1, 3]
+    assert [r["doc_id"] for r in decontaminate.clean(docs, items, least=1).collect()] == [3]
+
+
+def test_cleaning_keeps_columns_of_any_name(spark):
+    names = ["uid", "own", "_uid", "key", "h", "mask", "at", "i", "item", "shift", "item_id", "a.b"]
+    docs = spark.createDataFrame([(1, "one two three four five", *names), (2, "else", *names)], ["doc_id", "text", *names])
+    items = spark.createDataFrame([(8, "one two three four five")], "item_id long, text string")
+    left = decontaminate.clean(docs, items)
+    assert left.columns == docs.columns and [tuple(r) for r in left.collect()] == [(2, "else", *names)]
+
+
 def test_leaks_of_odd_rows(spark, odd, benchmark_table):
     assert decontaminate.overlaps(odd, benchmark_table).collect() == []
     assert decontaminate.overlaps(odd.limit(0), benchmark_table).collect() == []
