@@ -255,26 +255,31 @@ def encoded(docs: DataFrame, path: str, text: str = "text", ids: str = "ids", de
 
     ``path`` must be readable on every executor. Null texts have no tokens and decode to the empty text.
     """
-    return _coded(docs, path, text, {ids: "array<long>", decoded: "string"}, lambda codes, text: (np.frombuffer(codes, "<u4").tolist(), text))
+    return _coded(docs, path, text, {ids: "array<long>", decoded: "string"}, (), lambda codes, text: (np.frombuffer(codes, "<u4").tolist(), text))
 
 
 def digests(docs: DataFrame, path: str, text: str = "text") -> DataFrame:
     """``docs`` without ``text`` but with n_tokens, ids_sha256 (ids as little-endian 32-bit integers), decoded_sha256 (UTF-8)."""
     kinds = {"n_tokens": "long", "ids_sha256": "string", "decoded_sha256": "string"}
-    return _coded(docs, path, text, kinds, lambda codes, text: (len(codes) // 4, sha256(codes).hexdigest(), sha256(text.encode()).hexdigest())).drop(text)
+    return _coded(docs, path, text, kinds, (text,), lambda codes, text: (len(codes) // 4, sha256(codes).hexdigest(), sha256(text.encode()).hexdigest()))
 
 
-def _coded(docs: DataFrame, path: str, text: str, kinds: dict[str, str], of: Callable[[bytes, str], tuple]) -> DataFrame:
-    kept = docs.select(*[F.col(f"`{c}`") for c in docs.columns if c.lower() not in {k.lower() for k in kinds}])
-    schema = StructType([*kept.schema.fields, *StructType.fromDDL(", ".join(f"`{k}` {v}" for k, v in kinds.items())).fields])
-    new = to_arrow_schema(StructType(schema.fields[len(kept.columns) :]))
+def _coded(docs: DataFrame, path: str, text: str, kinds: dict[str, str], without: tuple[str, ...], of: Callable[[bytes, str], tuple]) -> DataFrame:
+    taken = {k.lower() for k in (*kinds, *without)}
+    kept = [F.col(f"`{c}`") for c in docs.columns if c.lower() not in taken]
+    # the caller's columns travel in one struct, so that none can meet a working name
+    rows = docs.select(F.struct(*kept).alias("row") if kept else F.lit(0).alias("row"), F.col(f"`{text}`").alias("text"))
+    new = StructType.fromDDL(", ".join(f"_{n} {v}" for n, v in enumerate(kinds.values())))
+    schema = StructType([rows.schema["row"], *new.fields])
+    fields = to_arrow_schema(schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = word_bpe(path)
         for batch in batches:
-            for part in text_batches(batch, column=text):
-                rows = [of(*found) for found in bpe.both(part.column(text).to_pylist())]
-                columns = [pa.array([r[k] for r in rows], field.type) for k, field in enumerate(new)]
-                yield pa.RecordBatch.from_arrays([*part.columns, *columns], [*part.schema.names, *new.names])
+            for part in text_batches(batch):
+                found = [of(*codes) for codes in bpe.both(part.column("text").to_pylist())]
+                columns = [pa.array([r[k] for r in found], fields.field(k + 1).type) for k in range(len(kinds))]
+                yield pa.RecordBatch.from_arrays([part.column("row"), *columns], fields.names)
 
-    return kept.mapInArrow(run, schema)
+    coded = rows.mapInArrow(run, schema)
+    return coded.select(*(["row.*"] if kept else []), *[F.col(f"_{n}").alias(k) for n, k in enumerate(kinds)])

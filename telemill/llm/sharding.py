@@ -60,11 +60,11 @@ def uniform_shards(df: DataFrame, by: list[Column], shards: int, seed: int = 0,
     nothing else. A row's block and its random order inside follow from ``by``, ``seed`` and a row number that is
     written down first, so a lost executor's rows come out the same again, and a row of which there are copies
     by the million is dealt out like any others. Nulls are values like others; an empty table gives an empty
-    result. Columns named like the two new ones are replaced.
+    result. Columns named like the two new ones, in whatever case, are replaced; others may have any name.
     """
-    own = [c for c in df.columns if c not in (name, slot)]
+    own = [F.col(f"`{c}`") for c in df.columns if c.lower() not in (name.lower(), slot.lower())]
     key = F.xxhash64(F.lit(seed), *[F.coalesce(c.cast("string"), F.lit("\0")) for c in by])
-    rows = df.select(*[F.col(f"`{c}`") for c in own], key.alias("_key"))
+    rows = df.select(F.struct(*own).alias("_own") if own else F.lit(0).alias("_own"), key.alias("_key"))
     # copies have the same key and would meet in one block: where they were read tells them apart
     rows = stored(rows.withColumn("_copy", F.monotonically_increasing_id()), "rows")
     rows = rows.withColumn("_random", F.xxhash64(F.lit(seed + 1), "_key", "_copy"))
@@ -93,5 +93,5 @@ def uniform_shards(df: DataFrame, by: list[Column], shards: int, seed: int = 0,
     offsets = df.sparkSession.createDataFrame(starts, f"{name} int, _cell int, _start long")
     inside = F.row_number().over(Window.partitionBy(name, "_cell").orderBy("_again", "_key", "_copy"))
     return dealt.withColumn("_inside", inside).join(F.broadcast(offsets), [name, "_cell"]).select(
-        *[F.col(f"`{c}`") for c in own], name, (F.col("_start") + F.col("_inside") - 1).cast("long").alias(slot)
+        *(["_own.*"] if own else []), name, (F.col("_start") + F.col("_inside") - 1).cast("long").alias(slot)
     )

@@ -59,54 +59,90 @@ def plain(url: Column) -> Column:
     return F.when(F.instr(url, "://") > 0, F.concat(host, path))
 
 
+def resolved(base: Column, target: Column) -> Column:
+    """``target`` as a whole address, a relative one seen from ``base``; null for an empty one and other kinds, such as ``mailto:``."""
+    site = F.regexp_extract(base, r"^(.*?://[^/?#]*)", 1)
+    folder = F.regexp_replace(path_of(base), r"[^/]*$", "")
+    own = F.when(target.rlike("^[?#]"), path_of(base)).otherwise(folder)
+    place = F.when(target.startswith("/"), target).otherwise(F.concat(F.when(own == "", F.lit("/")).otherwise(own), target))
+    steps = F.split(F.regexp_extract(place, r"^([^?#]*)", 1), "/")
+    up = lambda done: F.when(F.size(done) > 1, F.slice(done, F.lit(1), F.size(done) - 1)).otherwise(done)
+    walked = F.aggregate(
+        steps, F.array().cast("array<string>"), lambda done, step: F.when(step == "..", up(done)).when(step == ".", done).otherwise(F.array_append(done, step))
+    )
+    return (
+        F.when(F.coalesce(target, F.lit("")) == "", None)
+        .when(target.rlike("^[A-Za-z][A-Za-z0-9+.-]*://"), target)
+        .when(target.startswith("//"), F.concat(F.substring_index(base, "://", 1), F.lit(":"), target))
+        .when(target.rlike("^[A-Za-z][A-Za-z0-9+.-]*:"), None)
+        .otherwise(F.concat(site, F.array_join(walked, "/"), F.regexp_extract(place, r"^[^?#]*(.*)$", 1)))
+    )
+
+
 def links(pages: DataFrame) -> DataFrame:
-    """(source, target): a page's address with its plain form, the canonical link and the refresh target its html names."""
-    address = F.col("url")
-    tag = r"(?i)<link\b[^>]*\brel\s*=\s*[\"']?canonical\b[^>]*>"
-    refresh = r"(?i)<meta\b[^>]*http-equiv\s*=\s*[\"']?refresh\b[^>]*>"
-    canonical = F.regexp_extract(F.regexp_extract("html", tag, 0), r"(?i)\bhref\s*=\s*[\"']?([^\"'\s>]+)", 1)
-    target = F.regexp_extract(F.regexp_extract("html", refresh, 0), r"(?i)\burl\s*=\s*[\"']?([^\"'\s>]+)", 1)
-    named = pages.select(address.alias("url"), F.explode(F.array(canonical, target)).alias("target")).where("target like '%://%'")
-    return named.select(F.col("url").alias("source"), "target")
+    """(source, target): a page's address with every canonical link and refresh target its html names.
+
+    Relative targets are resolved against the page's address. Pages whose address has no ``://`` name none, nor do
+    null ones.
+    """
+    tag = F.lit(r"(?i)<link\b[^>]*\brel\s*=\s*[\"']?canonical\b[^>]*>")
+    refresh = F.lit(r"(?i)<meta\b[^>]*http-equiv\s*=\s*[\"']?refresh\b[^>]*>")
+    canonical = F.transform(F.regexp_extract_all("html", tag, F.lit(0)), lambda t: F.regexp_extract(t, r"(?i)\bhref\s*=\s*[\"']?([^\"'\s>]+)", 1))
+    target = F.transform(F.regexp_extract_all("html", refresh, F.lit(0)), lambda t: F.regexp_extract(t, r"(?i)\burl\s*=\s*[\"']?([^\"'\s>]+)", 1))
+    named = pages.where(F.instr("url", "://") > 0).select(F.col("url").alias("source"), F.explode(F.concat(canonical, target)).alias("target"))
+    return named.select("source", resolved(F.col("source"), F.col("target")).alias("target")).where("target is not null")
 
 
 def judged(urls: DataFrame, rules: Sequence[Rule], edges: DataFrame | None = None, column: str = "url") -> DataFrame:
     """``urls`` (any columns, one of them the address) with host, path, rule and verdict.
 
-    ``edges`` (source, target) are redirects and canonical links beyond the usual ones that ``plain`` undoes.
-    Of a rule's verdict nothing is changed. Other addresses are blocked if an address of the same resource is
-    blocked by a rule and none is allowed by one; else they are allowed. Nulls and addresses without ``://``
-    fit no rule, belong to no resource and are allowed. Columns of the input with these four names are replaced.
+    ``edges`` (source, target) are redirects and canonical links beyond the usual ones that ``plain`` undoes; both
+    kinds are edges of one graph, and a resource is a component of it. Of a rule's verdict nothing is changed. Other
+    addresses are blocked if an address of the same resource is blocked by a rule and none is allowed by one; else
+    they are allowed. Nulls and addresses without ``://`` fit no rule, belong to no resource and are allowed; edges
+    with such an end count for nothing. Columns of the input with these four names are replaced, others may have any
+    name.
     """
-    keep = [F.col(f"`{c}`") for c in urls.columns if c.lower() not in ("host", "path", "rule", "verdict")]
+    kept = [F.col(f"`{c}`") for c in urls.columns if c.lower() not in ("host", "path", "rule", "verdict")]
     address = F.col(f"`{column}`")
+    blocked = _blocked(_addresses(urls.select(address.alias("url")), edges, rules))
+    # addresses that are none would all meet in one task of the join
+    alone = F.concat(F.lit("\0"), F.monotonically_increasing_id().cast("string"))
     rows = urls.select(
-        *keep, host_of(address).alias("host"), path_of(address).alias("path"), plain(address).alias("_plain")
-    ).withColumn("_fit", fitting_rule(F.col("host"), F.col("path"), rules))
-    names = rows.groupBy("_plain").agg(F.max(F.col("_fit.verdict") == "allow").alias("allow"), F.max(F.col("_fit.verdict") == "block").alias("block"))
-    names = names.where("_plain is not null").select(F.col("_plain").alias("node"), F.coalesce("allow", F.lit(False)).alias("allow"), F.coalesce("block", F.lit(False)).alias("block"))
-    if edges is not None:
-        # read once: finding edges may mean reading whole pages
-        names = _with_edges(stored(names, "names"), stored(edges.select("source", "target"), "edges"), rules)
-    spread = names.select(F.col("node").alias("_plain"), (F.col("block") & ~F.col("allow")).alias("_block"))
-    # addresses without a resource would all meet in one task of the join
-    rows = rows.withColumn("_plain", F.coalesce("_plain", F.concat(F.lit("\0"), F.monotonically_increasing_id().cast("string"))))
-    return rows.join(spread.where("_block"), "_plain", "left").select(
-        *keep, "host", "path", F.col("_fit.rule").alias("rule"),
-        F.coalesce("_fit.verdict", F.when(F.col("_block"), "block"), F.lit("allow")).alias("verdict"),
+        F.struct(*kept).alias("own") if kept else F.lit(0).alias("own"), F.when(F.instr(address, "://") > 0, address).otherwise(alone).alias("url"),
+        host_of(address).alias("host"), path_of(address).alias("path"),
+    ).withColumn("fit", fitting_rule(F.col("host"), F.col("path"), rules))
+    rows = rows.join(blocked.withColumn("blocked", F.lit("block")), "url", "left")
+    return rows.select(
+        *(["own.*"] if kept else []), "host", "path", F.col("fit.rule").alias("rule"),
+        F.coalesce("fit.verdict", "blocked", F.lit("allow")).alias("verdict"),
     )
 
 
-def _with_edges(names: DataFrame, edges: DataFrame, rules: Sequence[Rule]) -> DataFrame:
-    """``names`` with the flags of the whole component each lies in; targets that are no rows bring their own rule."""
-    ends = edges.select(F.explode(F.array("source", "target")).alias("url"))
-    fit = fitting_rule(host_of(F.col("url")), path_of(F.col("url")), rules)
-    ends = ends.select(plain(F.col("url")).alias("node"), fit.getField("verdict").alias("verdict")).where("node is not null")
-    ends = ends.groupBy("node").agg(
-        F.coalesce(F.max(F.col("verdict") == "allow"), F.lit(False)).alias("allow"), F.coalesce(F.max(F.col("verdict") == "block"), F.lit(False)).alias("block")
-    )
-    found = components(edges.select(plain(F.col("source")).alias("a"), plain(F.col("target")).alias("b")))
-    flags = names.unionByName(ends).join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    flags = stored(flags, "flags")
-    whole = flags.groupBy("component").agg(F.max("allow").alias("allow"), F.max("block").alias("block"))
-    return flags.select("node", "component").distinct().join(whole, "component").select("node", "allow", "block")
+def _addresses(urls: DataFrame, edges: DataFrame | None, rules: Sequence[Rule]) -> DataFrame:
+    """(url, component, allow, block): every address of the rows and edges, the resource it lies in, what its rule says."""
+    known = urls.where(F.instr("url", "://") > 0)
+    graph = None
+    if edges is not None:
+        # read once: finding edges may mean reading whole pages
+        edges = stored(edges.select("source", "target").where((F.instr("source", "://") > 0) & (F.instr("target", "://") > 0)), "edges")
+        known = known.unionByName(edges.select(F.explode(F.array("source", "target")).alias("url")))
+        graph = edges.select(_node("source").alias("a"), _node("target").alias("b"))
+    known = known.distinct().withColumn("verdict", fitting_rule(host_of(F.col("url")), path_of(F.col("url")), rules).getField("verdict"))
+    known = stored(known, "addresses")
+    # a plain form is smaller than any address, so these edges alone are stars already
+    usual = known.select(_node("url").alias("a"), F.concat(F.lit("-"), plain(F.col("url"))).alias("b"))
+    found = components(usual if graph is None else usual.unionByName(graph))
+    flags = [F.coalesce(F.col("verdict") == v, F.lit(False)).alias(v) for v in ("allow", "block")]
+    return known.withColumn("node", _node("url")).join(found, "node").select("url", "component", *flags)
+
+
+def _node(url: str) -> Column:
+    return F.concat(F.lit("a"), F.col(url))
+
+
+def _blocked(addresses: DataFrame) -> DataFrame:
+    """Addresses of the resources of which a rule blocks one and none allows any."""
+    addresses = stored(addresses, "resources")
+    whole = addresses.groupBy("component").agg(F.max("allow").alias("allow"), F.max("block").alias("block"))
+    return addresses.join(whole.where("block and not allow"), "component", "left_semi").select("url")

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from telemill.llm import cotraining, pivot_search, sharding, toxicity, url_rules
 from telemill.llm.catalog import URL_RULES, sharded
+from telemill.llm.graph import components
 
 
 def test_matrix_has_exact_margins_and_the_right_law():
@@ -78,9 +79,50 @@ def test_blocks_follow_redirects(spark):
 def test_links_of_pages(spark):
     pages = spark.createDataFrame(
         [("https://a.org/1", '<LINK href="https://b.org/2" rel="canonical">'), ("https://a.org/2", "<meta http-equiv='refresh' content='0; url=https://c.org/3'>"),
-         ("https://a.org/3", "<link rel=canonical href=/local>"), ("https://a.org/4", None)], "url string, html string",
+         ("https://a.org/x/3?q", "<link rel=canonical href=/local> <link rel=canonical href=../up/./4#f> <link rel='canonical' href='//d.org/5'>"), ("https://a.org/4", None),
+         ("https://a.org", '<link rel="canonical" href="page"><link rel="canonical" href="mailto:x@y"><link rel="canonical" href="">'), ("none", "<link rel=canonical href=/x>"),
+         ("https://a.org/x/5", "<meta http-equiv=refresh content='0; url=?page=2'> <link rel=next href=/no>"), (None, "<link rel=canonical href=https://b.org>")], "url string, html string",
     )
-    assert {tuple(r) for r in url_rules.links(pages).collect()} == {("https://a.org/1", "https://b.org/2"), ("https://a.org/2", "https://c.org/3")}
+    assert {tuple(r) for r in url_rules.links(pages).collect()} == {
+        ("https://a.org/1", "https://b.org/2"), ("https://a.org/2", "https://c.org/3"), ("https://a.org/x/3?q", "https://a.org/local"), ("https://a.org/x/3?q", "https://a.org/up/4#f"),
+        ("https://a.org/x/3?q", "https://d.org/5"), ("https://a.org", "https://a.org/page"), ("https://a.org/x/5", "https://a.org/x/5?page=2"),
+    }
+
+
+def test_usual_redirects_are_edges_of_the_graph(spark, monkeypatch):
+    given = []
+    monkeypatch.setattr(url_rules, "components", lambda edges: given.append(edges) or components(edges))
+    rows = spark.createDataFrame([(1, "https://b.org/1/"), (2, "http://www.b.org/1.html"), (3, "b://b.org/1")], "page_id long, url string")
+    assert {r["verdict"] for r in url_rules.judged(rows, [("block", "www.b.org", "/")]).collect()} == {"block"}
+    assert given[0].count() == 3
+
+
+NAMES = ["own", "url_", "fit", "blocked", "node", "component", "allow", "_plain", "_block", "_fit", "_key", "_copy", "_random", "_place", "_ends", "_cell", "_again", "_inside", "_start", "Shard", "row", "rand", "a.b"]
+
+
+def test_operators_keep_columns_of_any_name(spark):
+    rows = spark.createDataFrame([(k, f"https://b.org/{k}", *NAMES) for k in range(7)], ["doc_id", "url", *NAMES])
+    judged = url_rules.judged(rows, URL_RULES)
+    assert judged.columns == [*rows.columns, "host", "path", "rule", "verdict"] and {tuple(r)[: len(rows.columns)] for r in judged.collect()} == {tuple(r) for r in rows.collect()}
+    dealt = sharding.uniform_shards(rows, [F.col("doc_id")], 3)
+    own = [c for c in rows.columns if c != "Shard"]
+    assert dealt.columns == [*own, "shard", "slot"]
+    assert {tuple(r)[: len(own)] for r in dealt.collect()} == {tuple(r) for r in rows.select(*[f"`{c}`" for c in own]).collect()}
+
+
+def test_shuffle_is_uniform(spark, monkeypatch):
+    monkeypatch.setattr(sharding, "BLOCK_ROWS", 50)  # many blocks, so that rows are exchanged
+    rows, parts = 4000, 20
+    found = sharding.uniform_shards(spark.range(rows).selectExpr("id as doc_id"), [F.col("doc_id")], 8, 5).orderBy("shard", "slot").collect()
+    order = np.array([r["doc_id"] for r in found])
+    assert sorted(order) == list(range(rows))
+    part = order * parts // rows
+    free, most = (parts - 1) ** 2, 4 * math.sqrt(2 * (parts - 1) ** 2)
+    # where a row ends does not depend on where it was, nor on which row stands before it
+    for a, b in ((part, np.arange(rows) * parts // rows), (part[:-1], part[1:])):
+        table = np.histogram2d(a, b, bins=parts, range=[[0, parts], [0, parts]])[0]
+        chance = np.outer(table.sum(1), table.sum(0)) / table.sum()
+        assert abs(((table - chance) ** 2 / chance).sum() - free) < most
 
 
 def test_search_is_brute_force(spark):
