@@ -233,3 +233,13 @@ def responses(spark: SparkSession, sf_dir: str, kind: str) -> DataFrame:
     return rows.groupBy("body_id").agg(
         F.concat(F.lit(head), F.array_join(F.collect_list("_one"), ","), F.lit(tail)).alias("body")
     )
+
+
+def mixed_responses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Answers of all kinds ``(body_id, body)``: vectors, matrices, and some of either replaced by an error or cut off."""
+    vector = responses(spark, sf_dir, "vector").withColumn("kind", F.lit(0))
+    both = vector.unionByName(responses(spark, sf_dir, "matrix").withColumn("kind", F.lit(1)))
+    error = F.lit('{"status":"error","errorType":"timeout","error":"query timed out"}')
+    cut = F.substring("body", F.lit(1), F.length("body") - 2)
+    body = F.when(F.col("body_id") % 7 == 3, error).when(F.col("body_id") % 11 == 5, cut).otherwise(F.col("body"))
+    return both.select((F.col("body_id") * 2 + F.col("kind")).alias("body_id"), body.alias("body"))

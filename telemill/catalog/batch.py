@@ -22,7 +22,7 @@ from telemill.operators import config, grid, lookup, quality, rangefn, replay, r
 from telemill.plans import observation, right_sizing, transitions
 from telemill.plans import trials as trial_plan
 from telemill.session import scratch_dir
-from telemill.sources import dimensions, responses
+from telemill.sources import answers, dimensions, replay_table, responses
 from telemill.sources.queryset import QuerySet, RangeQuery
 from telemill.sources.samples import read_samples, write_samples
 
@@ -164,6 +164,17 @@ def range_vector_parse(spark, d):
     return _flat(responses.parse_range(ad.responses(spark, d, "matrix")))
 
 
+@query
+def mixed_answers(spark, d):
+    parsed = answers.good(answers.parse_answers(ad.mixed_responses(spark, d)))
+    return parsed.select("kind", F.col("labels")["pod"].alias("pod"), F.col("labels")["container"].alias("container"), us(), F.col("v").cast("bigint").alias("v"))
+
+
+@query
+def rejected_answers(spark, d):
+    return answers.rejected(answers.parse_answers(ad.mixed_responses(spark, d))).select("reason", "rejects")
+
+
 @query
 def sample_scan(spark, d):
     path = scratch_dir(spark, "samples")
@@ -704,6 +715,15 @@ def replay_retain(spark, d):
     return shown(replay.retain_latest(ad.steps(spark, d), 128))
 
 
+@query
+def replay_kept(spark, d):
+    """The newest steps of a table on storage that four batches were appended to."""
+    path, steps = scratch_dir(spark, "replay"), ad.steps(spark, d)
+    for batch in range(4):
+        replay_table.append(steps.where(F.pmod(F.col("seq"), F.lit(4)) == batch), path, batch, 128, width=500)
+    return shown(replay_table.kept(spark, path, 128))
+
+
 @query
 def replay_sample(spark, d):
     return shown(replay.sample_batches(ad.steps(spark, d), batch=10, seed=7))

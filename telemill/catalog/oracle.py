@@ -252,6 +252,11 @@ CTE["x_ledgerr"] = "select *, throughput * (cast(3.33 as double) / 1000000000) *
 
 sql("instant_vector_parse", "select pod, container, us, v from x_gauge")
 sql("range_vector_parse", "select pod, container, us, v from x_gauge")
+CTE["x_bodies"] = "select *, event_id // 100 as body_id from x_gauge"
+sql("mixed_answers", """select kind, pod, container, us, v from x_bodies, (values ('vector'), ('matrix')) k(kind)
+  where body_id % 7 <> 3 and body_id % 11 <> 5""")
+sql("rejected_answers", """select reason, 2 * count(*) as rejects from (select distinct body_id,
+  case when body_id % 7 = 3 then 'error timeout' when body_id % 11 = 5 then 'no JSON' end as reason from x_bodies) where reason is not null group by reason""")
 sql("sample_scan", """select event_id, pod, node, iface, us, v from x_counter where kind = 'tx'
   and ts >= timestamp '2024-01-10' and ts < timestamp '2024-01-20'""")
 sql("query_set", f"""select {secs('t')}, pod, {rnd('value', 3)}, query_name from (
@@ -404,6 +409,7 @@ sql("trajectory_table", f"""select a.episode, a.step, cast(a.step_type as bigint
 sql("replay_sequences", f"""select a.episode, a.step, a.seq as seq_1, b.seq as seq_2, a.action as action_1, b.action as action_2,
   {rnd('b.reward', 6, 'reward_2')} from x_usersteps a join x_usersteps b on a.episode = b.episode and b.step = a.step + 1""")
 sql("replay_retain", "select * from x_steps order by seq desc limit 128")
+sql("replay_kept", "select * from x_steps order by seq desc limit 128")
 CTE["x_numbered"] = "select *, row_number() over (order by seq) - 1 as idx, count(*) over () as n from x_steps"
 sql("replay_sample", """select k.idx // 10 as batch_no, k.idx as draw_no, r.episode, r.step, r.seq, r.action, r.throughput
   from (select idx, cast('0x' || substr(md5(concat('7-', cast(idx as varchar))), 1, 15) as bigint) % n as pick from x_numbered) k

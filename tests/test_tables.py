@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 from telemill.operators import config, replay
 from telemill.operators.chunked import dense_index, number_rows, running_total, with_rows_ahead
 from telemill.session import scratch_dir
+from telemill.sources import replay_table
+from telemill.sources.answers import good, parse_answers, rejected
 from telemill.sources.responses import failed_responses, parse_instant, parse_range, read_responses
 from telemill.sources.samples import read_samples, write_samples
 
@@ -251,3 +253,66 @@ def test_draws_by_counts_follow_the_law(spark):
     again = {r["name"]: r["draws"] for r in replay.draw_counts(df.repartition(3), 4_000, 4, rows=30).collect()}
     assert again == found
     assert replay.draw_counts(df.limit(0), 10).count() == 0 and replay.draw_counts(df, 0).count() == 0
+
+
+def test_answers_of_all_kinds_in_one_pass(spark):
+    scalar = '{"status":"success","data":{"resultType":"scalar","result":[1700000000.5,"7"]}}'
+    broken = (
+        '{"status":"success","data":{"resultType":"matrix","result":[{"metric":{"pod":"a"},"values":[[1700000000,"1"],["soon","2"],[1700000060,"x"],7]},'
+        '{"values":[[1700000000,"1"]]},{"metric":{"pod":"b"},"values":[]},{"metric":{"pod":"c"}},null]}}'
+    )
+    empty = '{"status":"success","data":{"resultType":"vector","result":[]}}'
+    odd = ['{"status":"success"}', '{"status":"success","data":{"resultType":"vector","result":3}}', '{"data":{}}', "[1, 2]", '"text"', "", None]
+    given = bodies(spark, VECTOR, MATRIX, scalar, FAILED, "no json", broken, empty, *odd).withColumn("kind_", F.lit("mine")).withColumn("own", F.lit(1))
+    parsed = parse_answers(given)
+    assert parsed.columns == ["id", "kind_", "own", "kind", "labels", "ts", "v", "reason"]
+    rows = good(parsed).select("id", "kind", F.to_json("labels").alias("labels"), F.unix_micros("ts").alias("us"), F.col("v").cast("string").alias("v")).collect()
+    assert sorted(map(tuple, rows)) == [
+        (0, "vector", '{"pod":"web-7"}', 1700000000250000, "4096.0"), (0, "vector", "{}", 1700000000250000, "NaN"),
+        (1, "matrix", '{"node":"n","pod":"a"}', 1700000000000000, "1.0"), (1, "matrix", '{"node":"n","pod":"a"}', 1700000060500000, "2.5"),
+        (2, "scalar", "{}", 1700000000500000, "7.0"), (5, "matrix", '{"pod":"a"}', 1700000000000000, "1.0"),
+    ]
+    wrong = sorted((r["id"], r["reason"]) for r in parsed.where("reason is not null").collect())
+    assert wrong == sorted([
+        (0, "value is no number"), (3, "error timeout"), (4, "no JSON"), (5, "time is no number"), (5, "value is no number"), (5, "time is no number"), (5, "series without labels"),
+        (5, "series without samples"), (5, "series without samples"), (5, "series without labels"), (7, "unknown result type"), (8, "no result"), (9, "error"), (10, "error"), (11, "error"),
+        (12, "no JSON"), (13, "no JSON"),
+    ])
+    assert rejected(parsed).agg(F.sum("rejects")).scalar() is not None
+    assert parse_answers(given.limit(0)).collect() == []
+
+
+def test_answers_equal_the_parsers_of_one_kind(spark):
+    given = bodies(spark, VECTOR, MATRIX, FAILED)
+    shown = lambda df: sorted((r["id"], sorted(r["labels"].items()), r["ts"], r["v"]) for r in df.where("v = v and v < 1e300").collect())
+    parsed = good(parse_answers(given))
+    assert shown(parsed.where("kind = 'vector'")) == shown(parse_instant(given))
+    assert shown(parsed.where("kind = 'matrix'")) == shown(parse_range(given))
+
+
+def test_replay_table_is_bounded_when_written(spark):
+    path, pick = scratch_dir(spark, "replay"), random.Random(4)
+    seqs, seen, n, width = pick.sample(range(5_000), 1_500), [], 120, 50
+    for b in range(6):
+        # mostly newer rows, some late ones
+        part = sorted(seqs)[b * 250 : (b + 1) * 250][5:] + [s for s in sorted(seqs)[:5] if b == 5]
+        rows = spark.createDataFrame([(s, f"r{s}") for s in part], "seq long, item string").repartition(3)
+        for _ in range(1 + (b == 2)):  # a repeated batch
+            replay_table.append(rows, path, b, n, width=width)
+        seen += part
+        newest = sorted(seen)[::-1][:n]
+        assert [tuple(r) for r in replay_table.kept(spark, path, n).collect()] == [(s, f"r{s}") for s in newest]
+        held = [r["seq"] for r in spark.read.parquet(path).collect()]
+        assert len(held) == len(set(held)) <= n + width and min(held) >= newest[-1] // width * width
+    replay_table.append(rows.limit(0), path, 6, n, width=width)
+    assert replay_table.kept(spark, path, n).count() == n
+
+
+def test_replay_table_of_sparse_numbers_and_fewer_rows(spark):
+    path = scratch_dir(spark, "replay")
+    replay_table.append(spark.createDataFrame([], "seq long, item string"), path, 0, 5)
+    rows = spark.createDataFrame([(s * 10**12, "x") for s in range(-3, 9)], "seq long, item string")
+    replay_table.append(rows, path, 1, 20)
+    assert replay_table.kept(spark, path, 20).count() == 12
+    replay_table.append(spark.createDataFrame([(10**14, "y")], rows.schema), path, 2, 5)
+    assert sorted(r["seq"] for r in spark.read.parquet(path).collect()) == [s * 10**12 for s in range(5, 9)] + [10**14]
