@@ -132,15 +132,19 @@ def test_lookup_takes_the_newest_sample_within_the_lookback(spark):
     assert {secs(r["t"]): r["v"] for r in df.collect()} == {60: 2, 120: 4, 180: 4}
 
 
-def test_lookup_equals_merge_asof(spark):
+@pytest.mark.parametrize(("step", "back"), [(60, 300), (60, 60), (60, 45), (60, 90), (20, 300), (300, 299)])
+def test_lookup_equals_merge_asof(spark, step, back):
     rnd = random.Random(3)
-    rows = [(k, s, rnd.random()) for k in "ab" for s in rnd.sample(range(1, 5000), 60)]
+    rows = [(k, s, rnd.random()) for k in ("a", "b", None) for s in rnd.sample(range(-2000, 5000), 80)]
     df = spark.createDataFrame([(k, at(s), v) for k, s, v in rows], "k string, ts timestamp, v double")
-    got = {(r["k"], secs(r["t"])): r["v"] for r in lookup_on_grid(df, ["k"], 60, 300).collect()}
-    left = pd.DataFrame([(k, t) for k in "ab" for t in range(0, 6000, 60)], columns=["k", "t"]).sort_values("t")
-    right = pd.DataFrame(rows, columns=["k", "s", "v"]).sort_values("s")
-    merged = pd.merge_asof(left, right, left_on="t", right_on="s", by="k", tolerance=299).dropna(subset="v")
-    assert got == {(r.k, float(r.t)): r.v for r in merged.itertuples()}
+    got = [(r["k"], secs(r["t"]), r["v"]) for r in lookup_on_grid(df, ["k"], step, back).collect()]
+    grid_times = range(-2100 // step * step, 6000, step)
+    want = []
+    for k in ("a", "b", None):
+        right = pd.DataFrame([(s, v) for o, s, v in rows if o == k], columns=["s", "v"]).sort_values("s")
+        merged = pd.merge_asof(pd.DataFrame({"t": grid_times}), right, left_on="t", right_on="s", tolerance=back - 1).dropna(subset="v")
+        want += [(k, float(r.t), r.v) for r in merged.itertuples()]
+    assert sorted(got, key=str) == sorted(want, key=str)
 
 
 def test_observation_windows_are_open_at_the_start(spark):

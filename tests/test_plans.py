@@ -61,9 +61,12 @@ def test_rate_over_time_computes_the_rate_once(samples):
 
 
 def test_lookup_hashes_and_combines(samples):
-    text = plan(lookup.lookup_on_grid(samples, ["k"], "1 minute"))
-    assert "SortAggregate" not in text
-    assert "partial_max_by" in text
+    df = lookup.lookup_on_grid(samples, ["k"], "1 minute")
+    assert "SortAggregate" not in plan(df)
+    assert "partial_max_by" in plan(df)
+    # one row per cell is shuffled, never a row per grid time
+    assert shuffles(df) == ["k, _block", "k, _cell"]
+    assert shuffles(lookup.lookup_on_grid(samples, ["k"], "5 minutes")) == ["k, _cell"]
 
 
 def test_transitions_shuffle_rows_by_chunk(samples):
