@@ -24,12 +24,22 @@ def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest doc_id of every group of similar ones; repeated ids keep one row, null ids stay."""
-    found = stored(Join(words=5, percent=80).clusters(docs), "clusters")
-    docs = without(docs, found.where("doc_id <> component_id"), "doc_id")
-    twice = small(found.groupBy("doc_id").count().where("count > 1 and doc_id is not null").select("doc_id"))
-    once = docs.join(twice, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return docs.join(twice, "doc_id", "left_anti").unionByName(once)
+    """The document with the smallest doc_id (null last) of every group of similar ones.
+
+    Rows are told apart by a 64-bit hash of doc_id and text, so rows of one id with different texts are documents of their own,
+    and rows alike in both are one, of which any stays. Null ids are values like others.
+    """
+    key = F.xxhash64(F.col("doc_id").isNull(), "doc_id", "text")
+    found = stored(Join(words=5, percent=80).clusters(docs.select(key.alias("doc_id"), "text")), "clusters")
+    linked = found.where("doc_id <> component_id").select(F.explode(F.array("doc_id", "component_id")).alias("key"), "component_id").distinct()
+    linked = small(linked)
+    named = docs.select(key.alias("key"), "doc_id").join(linked, "key")
+    first = named.groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key"))["key"].alias("first"))
+    others = linked.join(first, "component_id").where("key <> first")
+    rows = without(docs.select(key.alias("key"), F.struct(*docs.columns).alias("own")), others, "key")
+    twice = small(found.groupBy(F.col("doc_id").alias("key")).count().where("count > 1").select("key"))
+    once = rows.join(twice, "key", "left_semi").dropDuplicates(["key"])
+    return rows.join(twice, "key", "left_anti").unionByName(once).select("own.*")
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -41,3 +41,12 @@ def test_stages_take_odd_and_empty_documents(spark, sf_dir, odd, documents):
 def test_near_duplicate_stage_keeps_one_of_repeated_rows(spark, sf_dir, odd, documents):
     kept = corpus_pipeline.near_duplicates(spark, odd.select(*documents.columns), sf_dir)
     assert sorted(r["doc_id"] or 0 for r in kept.collect()) == [0, 1, 2, 3, 4, 5, 6, 7, 8]
+
+
+def test_near_duplicate_stage_judges_rows_not_ids(spark, sf_dir):
+    a, b, c = ("one two three four five six seven", "p q r s t u v w", "else entirely and not like any of them")
+    rows = [(2, a), (2, b), (1, a), (1, a), (None, b), (None, c), (3, c), (4, ""), (5, None), (6, "")]
+    docs = spark.createDataFrame([(*r, "x") for r in rows], "doc_id long, text string, key string")
+    kept = corpus_pipeline.near_duplicates(spark, docs, sf_dir)
+    assert kept.columns == docs.columns
+    assert sorted(((r["doc_id"], r["text"]) for r in kept.collect()), key=str) == sorted([(1, a), (2, b), (3, c), (4, ""), (5, None), (6, "")], key=str)
