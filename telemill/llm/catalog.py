@@ -30,10 +30,12 @@ def tokenizer(name: str) -> str:
 
 
 def decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every benchmark item that a document holds, with the words that agree."""
     return decontaminate.overlaps(load(spark, sf_dir, "documents"), load(spark, sf_dir, "benchmark")).drop("uid")
 
 
 def sharded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents in eight shards whose row counts are at most one apart."""
     text = F.coalesce("text", F.lit(""))
     size = (F.octet_length(text) + 1).cast("long").alias("size")
     rows = load(spark, sf_dir, "documents").select("doc_id", size, F.crc32(F.encode(text, "UTF-8")).alias("text_crc32"))
@@ -42,40 +44,49 @@ def sharded(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Score and verdict of every document, and the probability of each view."""
     return cotraining.scored(load(spark, sf_dir, "documents"), load(spark, sf_dir, "labels"))
 
 
 def toxic(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Score and prediction of every document."""
     return toxicity.scored(load(spark, sf_dir, "documents"), load(spark, sf_dir, "labels"))
 
 
 def ordered_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All sequences in training order, one row per shard of fixed stride."""
     return training_order.shards(load(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.tiktoken"))
 
 
 def encoded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digests of the token ids of every text and of the text decoded from them."""
     return bpe.digests(load(spark, sf_dir, "documents").select("doc_id", "text"), tokenizer("word_bpe_49k.json"))
 
 
 def nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten nearest vectors by integer inner product for every hundredth vector."""
     rows = load(spark, sf_dir, "embeddings").select("vec_id", pivot_search.whole_numbers(F.col("embedding")).alias("vector"))
     return pivot_search.nearest(rows, F.col("vec_id") % 100 == 0, 10)
 
 
 def judged_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Host, path, rule and verdict of every page, with blocks carried along redirects and canonical links."""
     pages = load(spark, sf_dir, "pages")
     return url_rules.judged(pages.select("page_id", "url"), URL_RULES, url_rules.links(pages)).drop("url")
 
 
 def similar(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Number of shingles and component of every document."""
     return Join(words=3, percent=90).clusters(load(spark, sf_dir, "documents"))
 
 
 def similar_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same with the number of documents that each one is similar to."""
     return Join(words=3, percent=90).linked(load(spark, sf_dir, "documents"))
 
 
 def licensed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """License phrases and labels of every document."""
     return licenses.scanned(load(spark, sf_dir, "documents")).select(
         "doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score"
     )
