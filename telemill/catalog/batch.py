@@ -21,7 +21,7 @@ from telemill.functions.urls import parse_config_url
 from telemill.operators import config, grid, lookup, quality, rangefn, replay, rollup, sizing, trials
 from telemill.plans import observation, right_sizing, transitions
 from telemill.plans import trials as trial_plan
-from telemill.session import scratch_dir
+from telemill.session import scratch_dir, written
 from telemill.sources import answers, dimensions, replay_table, responses
 from telemill.sources.queryset import QuerySet, RangeQuery
 from telemill.sources.samples import read_samples, write_samples
@@ -718,7 +718,7 @@ def replay_retain(spark, d):
 @query
 def replay_kept(spark, d):
     """The newest steps of a table on storage that four batches were appended to."""
-    path, steps = scratch_dir(spark, "replay"), ad.steps(spark, d)
+    path, steps = scratch_dir(spark, "replay"), written(ad.steps(spark, d), "steps")
     for batch in range(4):
         replay_table.append(steps.where(F.pmod(F.col("seq"), F.lit(4)) == batch), path, batch, 128, width=500)
     return shown(replay_table.kept(spark, path, 128))

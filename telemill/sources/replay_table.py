@@ -1,7 +1,7 @@
 """A replay table on storage that keeps the newest rows: bounded when it is written, not when it is read.
 
-Rows lie in one folder per range of sequence numbers. An append writes its rows, counts the ranges that are there, and deletes
-the folders that the newest rows cannot reach any more, so the table never holds many more rows than asked for.
+Rows lie in one folder per range of sequence numbers. An append writes those of its rows that its own newest rows reach, counts the
+ranges that are there, and deletes the folders that the newest rows cannot reach any more, so the table never holds many more rows than asked for.
 """
 
 from __future__ import annotations
@@ -23,10 +23,13 @@ def append(rows: DataFrame, path: str, batch_id: int, n: int, seq: str = "seq",
     At most ``n`` rows and those of one range of ``width`` numbers stay. A batch that is repeated replaces what it wrote before; an
     append that was stopped leaves at most some folders too many, which the next one deletes. One writer at a time. Rows
     that are older than everything kept are dropped again, and an empty batch changes nothing. ``n`` must not grow from one append to the next,
-    for what is gone does not come back.
+    for what is gone does not come back. ``rows`` are read twice: their ranges are counted first, so that no folder is written to be deleted at once.
     """
     spark = rows.sparkSession
     placed = rows.withColumn(RANGE, range_start(seq, width)).withColumn("batch", F.lit(batch_id))
+    reached = _oldest_range(placed.select(RANGE), n)
+    if reached is not None:
+        placed = placed.where(F.col(RANGE).isNull() | (F.col(RANGE) >= reached))
     # few files a folder; a range with most of a batch's rows is still split
     placed = placed.hint("rebalance", RANGE)
     placed.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(RANGE, "batch").parquet(path)
@@ -44,20 +47,27 @@ def replay_folder(path: str, n: int, seq: str = "seq", width: int = 10_000) -> C
     """Batch function of a stream that appends each batch to the table."""
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        append(batch, path, batch_id, n, seq, width)
+        batch.persist()  # read twice
+        try:
+            append(batch, path, batch_id, n, seq, width)
+        finally:
+            batch.unpersist()
 
     return write
 
 
 def _oldest_kept(spark: SparkSession, path: str, n: int) -> int | None:
-    """The lowest range that holds one of the newest ``n`` rows. Rows are counted from the files' footers.
+    """The lowest range of the table that holds one of the newest ``n`` rows. Rows are counted from the files' footers."""
+    counts = _rows(spark, path)
+    return None if counts is None else _oldest_range(counts, n)
+
+
+def _oldest_range(ranges: DataFrame, n: int) -> int | None:
+    """The lowest range that holds one of the newest ``n`` rows, of which ``ranges`` has the range each.
 
     A range has a row at least, so the newest ``n`` ranges suffice, and the window sorts no more of them.
     """
-    counts = _rows(spark, path)
-    if counts is None:
-        return None
-    newest = counts.groupBy(RANGE).agg(F.count("*").alias("rows")).orderBy(F.desc(RANGE)).limit(max(n, 1))
+    newest = ranges.groupBy(RANGE).agg(F.count("*").alias("rows")).orderBy(F.desc(RANGE)).limit(max(n, 1))
     newer = F.coalesce(F.sum("rows").over(Window.orderBy(F.desc(RANGE)).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     return newest.withColumn("newer", newer).where(F.col("newer") < max(n, 1)).agg(F.min(RANGE)).first()[0]
 

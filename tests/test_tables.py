@@ -308,6 +308,16 @@ def test_replay_table_is_bounded_when_written(spark):
     assert replay_table.kept(spark, path, n).count() == n
 
 
+def test_replay_table_writes_no_range_that_goes_at_once(spark, monkeypatch):
+    path = scratch_dir(spark, "replay")
+    rows = spark.range(4_000).selectExpr("id as seq", "'x' as item")
+    monkeypatch.setattr(replay_table, "_drop_below", lambda *_: None)
+    for b in range(2):
+        replay_table.append(rows.where(F.col("seq") % 2 == b), path, b, 100, width=50)
+        assert sorted(start for start, _ in replay_table._ranges(spark, path)) == [3_800, 3_850, 3_900, 3_950]
+    assert [r["seq"] for r in replay_table.kept(spark, path, 100).collect()] == list(range(3_999, 3_899, -1))
+
+
 def test_replay_table_of_sparse_numbers_and_fewer_rows(spark):
     path = scratch_dir(spark, "replay")
     replay_table.append(spark.createDataFrame([], "seq long, item string"), path, 0, 5)
