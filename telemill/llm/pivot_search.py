@@ -113,7 +113,11 @@ def _look(queries: DataFrame, chunks: DataFrame, width: int, k: int) -> DataFram
     packed = held.join(F.broadcast(table), "pivot").groupBy("pivot", (F.col("part") % F.col("blocks")).alias("block")).agg(
         F.collect_list(F.struct("id", "v", "bound", "cells")).alias("queries")
     )
-    pairs = packed.withColumn("cell", F.explode(F.array_distinct(F.flatten("queries.cells")))).select("cell", "queries").join(chunks, "cell")
+    wanted = F.filter("queries", lambda q: F.array_contains(q["cells"], F.col("cell")))
+    wanted = F.transform(wanted, lambda q: F.struct(q["id"].alias("id"), q["v"].alias("v"), q["bound"].alias("bound")))
+    asking = packed.withColumn("cell", F.explode(F.array_distinct(F.flatten("queries.cells")))).select("cell", wanted.alias("queries"))
+    # a block is as many rows as its queries have rings: estimates leave that out and would send all of them through the driver
+    pairs = asking.join(chunks.hint("merge"), "cell")
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -125,13 +129,11 @@ def _look(queries: DataFrame, chunks: DataFrame, width: int, k: int) -> DataFram
 
 def _best(pair: pa.RecordBatch, width: int, k: int) -> pa.RecordBatch:
     queries, rows = pair.column("queries").flatten(), pair.column("rows").flatten()
-    cell = pair.column("cell")[0].as_py()
-    wanted = np.array([cell in c for c in queries.field("cells").to_pylist()])
     asked, ids = queries.field("id").to_numpy(zero_copy_only=False), rows.field("id").to_numpy(zero_copy_only=False)
     scores = _products(_matrix(queries.field("v"), width), _matrix(rows.field("v"), width))
     out: list[tuple[int, int, object]] = []
     bounds = queries.field("bound").to_pylist()
-    for q in np.flatnonzero(wanted):
+    for q in range(len(queries)):
         fits = np.flatnonzero(ids != asked[q])
         if bounds[q] is not None:
             fits = fits[scores[q, fits] >= bounds[q]]

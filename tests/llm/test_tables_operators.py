@@ -151,6 +151,15 @@ def test_search_of_few_and_large_numbers(spark):
     assert pivot_search._products(np.array([[2**30, 5]]), np.array([[2**31, 7]])).tolist() == [[2**61 + 35]]
 
 
+def test_search_joins_no_exploded_queries_by_broadcast(spark):
+    rows = spark.range(400).selectExpr("id", "array(id, id + 1) as v", "cast(id % 2 as int) as pivot", "cast(null as long) as bound", "sequence(0, 15) as cells")
+    chunks = spark.range(16).selectExpr("cast(id as int) as cell", "array(named_struct('id', id, 'v', array(id, id))) as rows")
+    found = pivot_search._look(rows, chunks, 2, 3)
+    assert found.groupBy("query").count().where("count = 16 or (query < 16 and count = 15)").count() == 400
+    plan = found._jdf.queryExecution().toString().split("== Physical Plan ==")[1]
+    assert "SortMergeJoin [cell#" in plan and "BroadcastHashJoin [cell#" not in plan
+
+
 def auc(y, score):
     y, rank = np.array(y), np.argsort(np.argsort(score, kind="stable"), kind="stable") + 1
     return (rank[y == 1].sum() - y.sum() * (y.sum() + 1) / 2) / (y.sum() * (len(y) - y.sum()))
