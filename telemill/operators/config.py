@@ -5,13 +5,13 @@ from __future__ import annotations
 from collections.abc import Callable
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from telemill.operators.asof import asof_join
 from telemill.session import written
 
-SEQS = 10_000  # sequence numbers of a config and version that are looked at together
+SEQS = 10_000  # sequence numbers of a config and version that are looked at together, and updates of a version that one task links
 
 # fixed value: where a pod's document keeps its node selection
 SELECTOR = "affinity.nodeAffinity.requiredDuringSchedulingIgnoredDuringExecution.nodeSelectorTerms"
@@ -87,17 +87,15 @@ def judge_chains(current: DataFrame, updates: DataFrame) -> DataFrame:
 
     An accepted update makes ``sha2(body)`` the current version; the next accepted one is the first behind it that was made from that
     version. So every update has one follower at most, and those accepted are the chain from the current version on. Its
-    links are found by an as-of join and doubled round by round: after k rounds 2^k links are known, so a
+    links are found in one shuffle and doubled round by round: after k rounds 2^k links are known, so a
     chain of a million updates takes twenty rounds and no task walks it. Updates of one branch, those made from a version that comes up only later, and
     rings of updates that no current version leads to are rejected. ``current`` and ``updates`` are as for :func:`judge_updates`.
     """
-    made = written(updates.select("cfg_id", "seq", "base_sha", F.sha2("body", 256).alias("sha")), "updates")
-    bases = made.select("cfg_id", F.col("base_sha").alias("sha"), "seq", F.col("seq").alias("to"))
-    follower = asof_join(made, bases, ["cfg_id", "sha"], "seq", ["to"], width=SEQS, direction="forward", exact=False)
-    links = written(follower.where("to is not null").select("cfg_id", "seq", "to"), "links")
-    first = made.groupBy("cfg_id", "base_sha").agg(F.min("seq").alias("seq"))
-    fresh = current.select("cfg_id", F.col("sha").alias("base_sha"))
-    reached = written(first.join(fresh, ["cfg_id", "base_sha"]).select("cfg_id", "seq"), "reached")
+    made = F.sha2("body", 256).alias("_made")
+    updates = written(updates.select("*", made), "updates")
+    followed = written(_followed(current, updates), "links")
+    links = followed.where("seq is not null")
+    reached = followed.where("seq is null").select("cfg_id", F.col("to").alias("seq"))
     parts = [reached]
     while True:
         # what is known so far is the chain's beginning; the links lead as far again
@@ -109,7 +107,34 @@ def judge_chains(current: DataFrame, updates: DataFrame) -> DataFrame:
         onward = links.select("cfg_id", F.col("seq").alias("to"), F.col("to").alias("far"))
         links = written(links.join(onward, ["cfg_id", "to"]).select("cfg_id", "seq", F.col("far").alias("to")), "links")
     won = reached.withColumn("_won", F.lit(True))
-    return updates.join(won, ["cfg_id", "seq"], "left").withColumn("accepted", F.coalesce("_won", F.lit(False))).drop("_won")
+    return updates.drop("_made").join(won, ["cfg_id", "seq"], "left").withColumn("accepted", F.coalesce("_won", F.lit(False))).drop("_won")
+
+
+def _followed(current: DataFrame, updates: DataFrame) -> DataFrame:
+    """Links ``(cfg_id, seq, to)``: the first update behind ``seq`` that was made from its version; ``seq`` is NULL for the current version.
+
+    Those that make a version and those made from it meet by (config, version) in one shuffle of narrow rows. Versions that
+    more than ``SEQS`` of them share are linked by an as-of join, which spreads them.
+    """
+    makers = updates.where("seq is not null").select("cfg_id", F.col("_made").alias("sha"), "seq", F.lit(False).alias("uses"))
+    users = updates.where("seq is not null").select("cfg_id", F.col("base_sha").alias("sha"), "seq", F.lit(True).alias("uses"))
+    start = current.where("cfg_id is not null and sha is not null").select("cfg_id", "sha", F.lit(None).cast(updates.schema["seq"].dataType).alias("seq"), F.lit(False).alias("uses"))
+    ends = makers.unionByName(users).unionByName(start)
+    crowd = F.xxhash64("cfg_id", "sha").alias("crowd")
+    crowded = written(ends.groupBy(crowd).count().where(F.col("count") > SEQS).select("crowd"), "crowded")
+    few = crowded.isEmpty()
+    plain = ends if few else ends.withColumn("crowd", crowd).join(crowded, "crowd", "left_anti")
+    # from the last to the first; of one number the maker comes before the user, whom it does not serve
+    back = Window.partitionBy("cfg_id", "sha").orderBy(F.desc_nulls_last("seq"), "uses").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    found = plain.withColumn("to", F.min(F.when(F.col("uses"), F.col("seq"))).over(back)).where("not uses and to is not null").select("cfg_id", "seq", "to")
+    if few:
+        return found
+    ends = ends.withColumn("crowd", crowd).join(crowded, "crowd", "left_semi")
+    makers, users, start = ends.where("not uses and seq is not null"), ends.where("uses"), ends.where("seq is null")
+    behind = asof_join(makers, users.withColumn("to", F.col("seq")), ["cfg_id", "sha"], "seq", ["to"], width=SEQS, direction="forward", exact=False)
+    first = users.groupBy("cfg_id", "sha").agg(F.min("seq").alias("to"))
+    begun = start.join(first, ["cfg_id", "sha"])
+    return found.unionByName(behind.where("to is not null").select("cfg_id", "seq", "to")).unionByName(begun.select("cfg_id", "seq", "to"))
 
 
 def apply_updates(current: DataFrame, updates: DataFrame, chains: bool = False) -> tuple[DataFrame, DataFrame]:

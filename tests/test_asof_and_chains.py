@@ -123,6 +123,34 @@ def test_chains_are_accepted_as_one_after_the_other(spark):
     assert {x["cfg_id"]: x["sha"] for x in config.next_versions(bodies, accepted).collect()} == last
 
 
+def test_chains_through_versions_that_many_updates_share(spark, monkeypatch):
+    current, updates = chain_updates()
+    updates += [("long", -s, sha("start"), f"early {s}") for s in range(1, 40)]  # the last of them is the first
+    now = spark.createDataFrame(list(current.items()), "cfg_id string, sha string")
+    rows = spark.createDataFrame(updates, "cfg_id string, seq long, base_sha string, body string")
+    won, _ = plain_chain(current, updates)
+    for most in (5, 10_000):
+        monkeypatch.setattr(config, "SEQS", most)
+        assert {(x["cfg_id"], x["seq"]) for x in config.judge_chains(now, rows).where("accepted").collect()} == won
+
+
+def test_chains_read_their_updates_once_and_shuffle_links_once(spark):
+    current, updates = chain_updates()
+    now = spark.createDataFrame(list(current.items()), "cfg_id string, sha string")
+    rows = spark.createDataFrame(updates, "cfg_id string, seq long, base_sha string, body string")
+    read = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for batch in batches:
+            read.add(batch.num_rows)
+            yield batch
+
+    assert config.judge_chains(now, rows.mapInArrow(counted, rows.schema)).count() == len(updates)
+    assert read.value == len(updates)
+    links = config._followed(now, rows.withColumn("_made", F.sha2("body", 256)))
+    assert links._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[-1].count("Exchange hashpartitioning") == 1
+
+
 def test_version_log_costs_a_snapshot_and_a_few_batches(spark, tmp_path):
     r = random.Random(3)
     start = {f"c{c}": sha(f"c{c}:0") for c in range(5)}
