@@ -148,6 +148,69 @@ def test_transitions_in_any_order_of_arrival(spark):
     assert got == [(e, i, 100 * (i + 1)) for e in "ab" for i in range(1, 20)]
 
 
+def test_steps_that_are_done_leave_the_state_and_count_once(spark):
+    rows = [(e, i, T0 + dt.timedelta(seconds=10 * i), 100 * i) for e in "ab" for i in range(1, 101)]
+    path, out, cp = scratch_dir(spark, "in"), scratch_dir(spark, "out"), scratch_dir(spark, "cp")
+    # the second delivery repeats steps of the first and has the one after them
+    for part in (rows[:90] + rows[100:190], rows[20:95], rows[90:100] + rows[150:160] + rows[190:]):
+        deliver(frame(spark, part, STEPS), path)
+        df = transitions.stream_transitions(stream(spark, path, STEPS), ["x", "ts"], "1 minute", "1 hour")
+        with sinks.rocksdb(spark):
+            sinks.start(df, cp, out, available_now=True).awaitTermination()
+    got = sorted(tuple(r) for r in spark.read.parquet(out).collect())
+    assert got == [(e, i, t, x, x + 100, t + dt.timedelta(seconds=10)) for e, i, t, x in rows if i < 100]
+
+
+def test_state_holds_runs_and_not_their_steps():
+    class Held:
+        def __init__(self):
+            self.value = None
+
+        exists = lambda self: self.value is not None
+        get = lambda self: self.value
+        put = update = lambda self, value: setattr(self, "value", value)
+        clear = lambda self: setattr(self, "value", None)
+
+    class Handle:
+        def __init__(self):
+            self.states, self.timers = {}, []
+
+        def getListState(self, name, _):
+            return self.states.setdefault(name, Held())
+
+        getValueState = getListState
+        listTimers = lambda self: self.timers
+        registerTimer = lambda self, at: self.timers.append(at)
+
+    class Watermark:
+        ms = 0
+        getCurrentWatermarkInMs = lambda self: self.ms
+
+    handle, mark, second = Handle(), Watermark(), 1_000_000
+    blocks = transitions._Blocks(60 * second, None, [0])
+    blocks.init(handle)
+
+    def told(*steps):
+        rows = [{"_step": s, "_us": s * second, "_row": (f"row {s}",)} for s in steps]
+        return [(r["_kind"], r["_step"], r["_next"]) for r in blocks.handleInputRows(("e", 0), iter(rows), mark)]
+
+    done = lambda steps: [(transitions.DONE, s, (f"row {s + 1}",)) for s in steps]
+    assert told(*range(100, 200)) == done(range(100, 199))
+    assert len(handle.states["waiting"].value) == 2  # the run of those that are done, and the newest
+    assert told(*range(120, 130), 199) == []
+    assert told(200, 98) == done([199])
+    assert told(99, 201) == done([98, 99, 200])
+    assert len(handle.states["waiting"].value) == 2
+    mark.ms = 150_000
+    assert told() == [(transitions.HEAD, 98, None)]
+    assert told(160, 180) == [] and len(handle.states["waiting"].value) == 2
+    mark.ms = 201_000
+    assert told() == [(transitions.TAIL, 201, None)]
+    assert [e[0] for e in handle.states["waiting"].value] == [201]
+    mark.ms = 300_000
+    assert told() == [(transitions.EXPIRED, 201, None)] and not handle.states["waiting"].exists()
+
+
 def test_step_counts_over_batches(spark):
     schema = "episode string, step bigint, ts timestamp"
     path, out = scratch_dir(spark, "in"), scratch_dir(spark, "out")
